@@ -18,3 +18,17 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).drop("bound")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quernstone.llm.packing import PackParams, pack
+
+    return pack(spark, table(spark, sf_dir, "documents"), PackParams(public_tokenizers.path("byte_bpe_50k.json")))
