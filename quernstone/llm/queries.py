@@ -32,3 +32,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.packing import PackParams, pack
 
     return pack(spark, table(spark, sf_dir, "documents"), PackParams(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.ppm import score_texts
+
+    return score_texts(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.toxicity import score_toxicity
+
+    return score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
