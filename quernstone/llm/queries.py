@@ -44,3 +44,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.toxicity import score_toxicity
 
     return score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.decontamination import find_leaks
+
+    return find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
