@@ -50,3 +50,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.decontamination import find_leaks
 
     return find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.near_dup import duplicate_groups
+
+    return duplicate_groups(spark, table(spark, sf_dir, "documents"))
