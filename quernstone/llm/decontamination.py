@@ -269,12 +269,16 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, params: L
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they were."""
     for part in shards(items, params):
-        shared = spark.sparkContext.broadcast(Index(part, params))
+        docs = docs.where(_clean(spark, Index(part, params))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([not x for x in shared.value.leaks(list(texts))], dtype=bool)
 
-        docs = docs.where(clean("text"))
-    return docs
+def _clean(spark: SparkSession, index: Index):
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not x for x in shared.value.leaks(list(texts))], dtype=bool)
+
+    return clean
