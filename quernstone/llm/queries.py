@@ -56,3 +56,9 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.near_dup import duplicate_groups
 
     return duplicate_groups(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.cover_tree import vector_groups
+
+    return vector_groups(spark, table(spark, sf_dir, "embeddings"))
