@@ -62,3 +62,9 @@ def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.cover_tree import vector_groups
 
     return vector_groups(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.html_main import extract
+
+    return extract(table(spark, sf_dir, "pages"))
