@@ -68,3 +68,9 @@ def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.html_main import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.licenses import scan_licenses
+
+    return scan_licenses(spark, table(spark, sf_dir, "documents"))
