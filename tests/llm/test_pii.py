@@ -1,0 +1,64 @@
+import hashlib
+import random
+import re
+
+from quernstone.llm import pii
+
+from .data import documents, no_documents
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def brute(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if k == 1 and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if k == 2 and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if k == 3 and not 9 <= len(digits) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_plain_patterns():
+    r = random.Random(3)
+    bits = ["1", "2", "4", ".", "-", " ", "+", "@", "a", "(", ")", "4539148803436467", "192.168.1.1", "x@y.z", "é", "256", "+1 415 555 0132"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        assert sorted(pii.base_spans(text)) == brute(text), text
+
+
+def test_rows_and_edges(spark):
+    docs = documents(spark)
+    found = pii.find_pii(docs).collect()
+    assert len(found) == docs.count()
+    empty = hashlib.sha256(b"").hexdigest()
+    by_id = {r.doc_id: r for r in found}
+    assert all(by_id[i].base_sha256 == empty and by_id[i].spans == "" for i in (5, 6, 7))
+    assert (by_id[12].n_email, by_id[12].n_ip, by_id[12].n_card, by_id[12].n_phone) == (1, 1, 1, 1)
+    assert pii.find_pii(no_documents(spark)).count() == 0
+
+
+def test_added_spans_keep_base_and_masks(spark):
+    text = "Dear Mr. John Smith, password=hunter2secret or ana (at) mail (dot) example (dot) org, call phone 415-555-0132. a.b@c.org"
+    docs = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
+    row = pii.find_pii(docs).first()
+    assert row.n_email == 1
+    assert {"secret", "phone"} <= {x.split(":")[0] for x in row.spans.split(",")}
+    masked = pii.redact(docs).first().text
+    assert "a.b@c.org" not in masked and "<email>" in masked and "hunter2secret" not in masked
+
+
+def test_em_trusts_the_better_labeler():
+    import pandas as pd
+
+    rows = [(3, 1, 1, 0, 1, 1, 500), (3, 0, -1, 0, -1, -1, 300), (3, 0, 1, 0, -1, -1, 20), (3, 1, -1, 0, 1, 1, 20)]
+    table = pd.DataFrame(rows, columns=["kind", *pii.LABELERS, "n"])
+    post = pii.fit_reliabilities(table, 30)
+    assert post[3, 1, 1, 0, 1, 1] > 0.9 > 0.1 > post[3, 0, -1, 0, -1, -1]
+    weights = pii.fit_classifier(table, post)
+    assert pii.features(3, (1, 1, 0, 1, 1)) @ weights > 0 > pii.features(3, (0, -1, 0, -1, -1)) @ weights
