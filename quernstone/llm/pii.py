@@ -35,7 +35,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Patterns of the further candidates.
 EMAIL_WORDS = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.I)
-PHONE_PLAIN = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+PHONE_PLAIN = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-]|\.[0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<=password=)[^\s\"']{6,}|AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")
