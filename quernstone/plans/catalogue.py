@@ -1,15 +1,317 @@
-"""The registered queries over the tables of a scale-factor folder, and their DuckDB SQL."""
+"""The registered queries over the tables of a scale-factor folder. Their DuckDB SQL is in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quernstone.config import CacheParams, ChunkParams, LimiterParams, QuotaParams, Topic, UrlRules
+from quernstone.functions import text as T
+from quernstone.functions import urls as U
+from quernstone.operators import answer, checklist, corpus, intent, search
+from quernstone.plans import oracle
+from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOWS, FOLLOW_UPS, INTENTS, PAGE_QUERY, STEPS, STRINGS, TOPIC_PHRASES, TOPICS, VISITOR
+from quernstone.streaming import limits
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One passage per document; the source stands for the page."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_ord"), F.lit(0).alias("chunk_index"), F.col("source").alias("url"), none.alias("title"), none.alias("description"), "text")
+
+
+def fixed_queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIXED_QUERIES, "query_id long, text string")
+
+
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'user'")
+
+
+# --- text and index ----------------------------------------------------------------------------------------------
+
+
+@query
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+@query
+def token_stems(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query
+def term_frequency(spark, sf_dir):
+    return search.build_index(doc_passages(spark, sf_dir)).postings.select(F.col("page_ord").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query
+def document_frequency(spark, sf_dir):
+    return search.build_index(doc_passages(spark, sf_dir)).term_df
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return search.build_index(doc_passages(spark, sf_dir)).stats.select("n", F.round("avg_length", 6).alias("avg_length"), "page_count")
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("page_ord").alias("doc_id"), "score")
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    index = search.build_index(doc_passages(spark, sf_dir))
+    return _ranked(search.search(index, fixed_queries(spark), 10, page="page_ord"))
+
+
+def flagship(spark, sf_dir):
+    return bm25_topk(spark, sf_dir)
+
+
+@query
+def bm25_page_cap(spark, sf_dir):
+    return _ranked(search.search(search.build_index(doc_passages(spark, sf_dir)), fixed_queries(spark), 20))
+
+
+@query
+def bm25_phrase_path_boost(spark, sf_dir):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_ord"), F.lit(0).alias("chunk_index"), "url", title.alias("title"), F.lit(None).cast("string").alias("description"), title.alias("text"))
+    topics = [Topic("page", (PAGE_QUERY.split()[0],), (), ("/de/",))]
+    asked = spark.createDataFrame([(0, PAGE_QUERY)], "query_id long, text string")
+    return _ranked(search.search(search.build_index(pages), asked, 20, topics, page="page_ord")).withColumnRenamed("doc_id", "page_id")
+
+
+@query
+def topic_expansion(spark, sf_dir):
+    turns = user_turns(spark, sf_dir).withColumn("query_id", F.struct("conv_id", "turn"))
+    return search.analyze_queries(turns, TOPICS).select("query_id.conv_id", "query_id.turn", F.array_join("terms", " ").alias("terms"), F.array_join("paths", " ").alias("paths"))
+
+
+@query
+def batch_search(spark, sf_dir):
+    turns = user_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return _ranked(search.search(search.build_index(doc_passages(spark, sf_dir)), turns, 3, TOPICS))
+
+
+@query
+def relative_cut(spark, sf_dir):
+    index = search.build_index(doc_passages(spark, sf_dir))
+    return _ranked(search.relative_cut(search.search(index, fixed_queries(spark), 10, page="page_ord")))
+
+
+# --- chunks and pages --------------------------------------------------------------------------------------------
+
+
+@query
+def split_oversized(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(corpus.split_oversized(F.col("text"))).alias("part", "text"))
+    return d.select("doc_id", F.col("part").cast("long").alias("part"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query
+def pack_paragraphs(spark, sf_dir):
+    lines = ChunkParams(separator="\n+", joiner="\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(corpus.pack_paragraphs(F.col("text"), lines)).alias("part", "text"))
+    return d.select("doc_id", F.col("part").cast("long").alias("part"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query
+def html_extract(spark, sf_dir):
+    return corpus.extract_pages(table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "title", "text", F.size("chunks").cast("long").alias("n_chunks"))
+
+
+@query
+def normalize_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url"), U.origin(F.col("url"))).alias("normalized"), U.host(F.col("url")).alias("host"))
+
+
+SYNTHETIC_RULES = UrlRules(include_prefixes=("/en", "/de"), include_exact=("/fr",), exclude_exact=("/en/1",), exclude_prefixes=("/en/2",), exclude_extensions=("html",))
+
+
+@query
+def url_relevance(spark, sf_dir):
+    """The rules on each page's path, put on the rules' own origin."""
+    on_origin = F.concat(F.lit(SYNTHETIC_RULES.origin), U.path(F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", U.is_relevant(on_origin, SYNTHETIC_RULES, ("/de/9",)).alias("relevant"))
+
+
+def _found_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://[^/]*/([a-z]*)", 1).alias("last_modified"))
+    return corpus.last_wins(p, "url", "page_id")
+
+
+@query
+def incremental_pending(spark, sf_dir):
+    """Cached: the https pages, as they were when all were English."""
+    found = _found_pages(spark, sf_dir)
+    cached = found.where(F.col("url").startswith("https:")).select("url", F.lit("en").alias("last_modified"))
+    return corpus.pending(found, cached).select("page_id", "url", "last_modified")
+
+
+@query
+def corpus_merge(spark, sf_dir):
+    """Cached: https pages; fetched: those of ``.org`` hosts; approved: all but French ones."""
+    found = _found_pages(spark, sf_dir)
+    cached = found.where(F.col("url").startswith("https:")).select("url", F.lit("old").alias("state"))
+    fetched = found.where(F.col("url").rlike("://[^/]*[.]org(/|$)")).select("url", F.lit("new").alias("state"))
+    return corpus.merge(cached, fetched, found.where("last_modified <> 'fr'"))
+
+
+@query
+def dedupe_last_wins(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), "url")
+    return corpus.last_wins(p, "host", "page_id")
+
+
+@query
+def source_dedup(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("").alias("title"), F.regexp_extract("url", "://[^/]*/([a-z]*)", 1).alias("lang"))
+    return answer.unique_sources(p, ["lang"], "page_id", DOMAINS).select("lang", "url", "page_id", F.col("source_rank").cast("long").alias("source_rank"))
+
+
+# --- questions and conversations ---------------------------------------------------------------------------------
+
+
+@query
+def pii_guard(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", *[t.rlike(p).alias(k) for k, p in answer.SENSITIVE_PATTERNS.items()])
+
+
+@query
+def request_validation(spark, sf_dir):
+    """Every turn as a request, its text as question."""
+    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.lit("").alias("conversation"), F.lit("").alias("checklist_context"), F.lit("en").alias("language"))
+    return answer.validate(r).select("conv_id", "turn", F.col("status").cast("long").alias("status"), "error")
+
+
+@query
+def last_user_turn(spark, sf_dir):
+    return answer.last_user_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "question")
+
+
+@query
+def prior_different_question(spark, sf_dir):
+    return answer.last_user_turns(table(spark, sf_dir, "conversations")).select("conv_id", "has_prior_different")
+
+
+@query
+def retrieval_query(spark, sf_dir):
+    t = answer.last_user_turns(table(spark, sf_dir, "conversations"))
+    return t.select("conv_id", answer.retrieval_query(F.col("question"), F.col("previous")).alias("query"))
+
+
+@query
+def transcript_last8(spark, sf_dir):
+    return answer.transcript(table(spark, sf_dir, "conversations"))
+
+
+@query
+def intent_scores(spark, sf_dir):
+    return intent.intent_scores(user_turns(spark, sf_dir), INTENTS).select("conv_id", "turn", *[F.col(n).cast("long").alias(n) for n in INTENTS])
+
+
+@query
+def topic_argmax(spark, sf_dir):
+    return intent.best_topic(user_turns(spark, sf_dir), TOPIC_PHRASES).select("conv_id", "turn", "topic", "topic_score")
+
+
+@query
+def flow_match(spark, sf_dir):
+    return intent.flow_match(user_turns(spark, sf_dir), FLOWS).select("conv_id", "turn", "flow_id")
+
+
+@query
+def followup_rules(spark, sf_dir):
+    t = user_turns(spark, sf_dir).withColumn("plain", T.normalize_routing(F.col("text")))
+    return t.select("conv_id", "turn", intent.first_rule(F.col("plain"), FOLLOW_UPS, "next,documents,official").alias("followups"))
+
+
+@query
+def domain_routing(spark, sf_dir):
+    t = user_turns(spark, sf_dir).withColumn("plain", T.normalize_routing(F.col("text")))
+    return t.select("conv_id", "turn", F.array_join(answer.domains_for(F.col("plain"), VISITOR), ",").alias("domains"))
+
+
+@query
+def useful_sentences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("excerpt"), F.lit(FIXED_QUERIES[0][1]).alias("question"))
+    return answer.useful_sentences(d).select("doc_id", "passage")
+
+
+@query
+def extractive_answer(spark, sf_dir):
+    turns = user_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    hits = search.search(search.build_index(doc_passages(spark, sf_dir)), turns, 1, TOPICS)
+    return answer.local_answer(turns.select("query_id", F.col("text").alias("question"), F.lit("en").alias("language")), hits)
+
+
+@query
+def citation_alignment(spark, sf_dir):
+    """Each document as an answer with three marks at fixed offsets."""
+    marks = F.array(*[F.struct(F.lit(s).alias("start_index"), F.lit(e).cast("int").alias("end_index"), F.lit(u).alias("url")) for s, e, u in ((0, 10, "a"), (150, 400, "b"), (300, None, "c"))])
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"), marks.alias("annotations"))
+    s = answer.sections(d)
+    return s.select("answer_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph", "start", "end")], F.array_join("cited", ",").alias("cited"))
+
+
+# --- state, checklists, quality ----------------------------------------------------------------------------------
+
+
+@query
+def rate_limit(spark, sf_dir):
+    return limits.admit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", LimiterParams(3, 86_400))
+
+
+@query
+def cache_ttl_hits(spark, sf_dir):
+    return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", CacheParams(ttl_seconds=86_400))
+
+
+@query
+def monthly_quota(spark, sf_dir):
+    return limits.monthly_quota(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", QuotaParams(5)).withColumn("used", F.col("used").cast("long"))
+
+
+@query
+def progress_rollup(spark, sf_dir):
+    steps = spark.createDataFrame([(s,) for s in STEPS], "step string")
+    done = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("step"))
+    return checklist.progress(steps, done, ["user_id"]).withColumn("percent", F.col("percent").cast("long"))
+
+
+@query
+def key_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(checklist.key_dates(F.to_date("o_orderdate"))).alias("d"))
+    return o.select("o_orderkey", "d.id", "d.iso")
+
+
+@query
+def key_parity(spark, sf_dir):
+    return checklist.key_parity(spark.createDataFrame(STRINGS, "lang string, key_path string, value string"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.sql().items() if k in _FOUND}
