@@ -54,3 +54,42 @@ def test_scores_follow_the_language(spark):
     got = {r.doc_id: r.score / r.n_tokens for r in score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[99] < min(got[i] for i in range(30)) or zlib.crc32(b"99") % 10
     assert all(s < 0 for s in got.values())
+
+
+def byte_model(texts):
+    """log10 of a byte after its context, straight from the definition: method D, exclusion, five context bytes to none."""
+    counts = {}
+    for t in texts:
+        b = b"\n" * 5 + t + b"\xff"
+        for i in range(5, len(b)):
+            for k in range(6):
+                counts.setdefault(b[i - k : i], Counter())[b[i]] += 1
+
+    def p(context, symbol):
+        below = (lambda x: p(context[1:], x)) if context else (lambda x: 1 / 256)
+        c = counts.get(context)
+        if not c:
+            return below(symbol)
+        if symbol in c:
+            return (c[symbol] - 0.5) / sum(c.values())
+        return len(c) / (2 * sum(c.values())) * below(symbol) / (1 - sum(map(below, c)))
+
+    return lambda t: sum(math.log10(p((b := b"\n" * 5 + t + b"\xff")[i - 5 : i], b[i])) for i in range(5, len(t) + 6))
+
+
+def test_score_against_the_definition_in_all_scripts(spark):
+    latin = [prose(i, 40) + " ÀÉÎÕÜ 0123456789 ~!@#$%^&*()_+{}|:<>?[];',./-=" for i in range(12)]
+    other = [f"слово мир и снег {i} δρόμος λόγος 漢字 仮名" for i in range(12)]
+    rows = [*enumerate([*latin, *other, "", None]), (207, "снег и слово"), (213, "оволс и генс")]  # the last two are held out
+    model = byte_model([(t or "").encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 10])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for params in (PpmParams(), PpmParams(head_grams=7, flush=20), PpmParams(head_grams=0)):
+        got = {r.doc_id: r.score for r in score_texts(spark, docs, params).collect()}
+        assert all(abs(got[i] - model((t or "").encode().lower())) < 1e-6 for i, t in rows)
+
+
+def test_other_scripts_are_learnt_beside_a_hot_one(spark):
+    hot = " ".join(chr(c) for c in range(33, 127)) + " "
+    rows = [*((i, hot * 20) for i in range(20)), *((100 + i, "снег и слово мир ") for i in range(20)), (207, "слово и снег"), (213, "оволс и генс")]  # the last two are held out
+    got = {r.doc_id: r.score for r in score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[207] > got[213] + 5
