@@ -2,7 +2,8 @@
 
 Labelled page outcomes are counted per host. The bad rate of a suffix shrinks to the global rate, that of a
 registered domain to its suffix's, that of a host to its domain's; each level's prior strength comes from the
-spread between its groups (method of moments). A host is blocked when the lower posterior bound of its bad rate
+spread between its groups (method of moments). A host without labels has its domain's rate, else its suffix's, else
+the global one, at the prior's strength. A host is blocked when the lower posterior bound of its bad rate
 is above a threshold, so hosts with few labels are not blocked on noise.
 
 Edge cases: a null url, or one without ``://``, has host and path ``''`` and is judged as that (empty) host. A page
@@ -52,8 +53,8 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def reputations(outcomes: DataFrame, params: ReputationParams) -> DataFrame:
-    """(host, bound): the lower posterior bound of each labelled host's bad rate.
+def reputations(outcomes: DataFrame, every: DataFrame, params: ReputationParams) -> DataFrame:
+    """(host, bound): the lower posterior bound of the bad rate of each host of ``every`` (host); null without any outcome.
 
     ``outcomes``: host, bad (0/1). One small row per host is kept after a partial aggregation.
     """
@@ -71,13 +72,20 @@ def reputations(outcomes: DataFrame, params: ReputationParams) -> DataFrame:
         found = F.when((F.col("g") > 1) & (between > 0), m * (1 - m) / between - 1).otherwise(F.lit(p.max_strength))
         return one.select(m.alias("m0"), F.greatest(F.lit(p.min_strength), F.least(F.lit(p.max_strength), found)).alias(name))
 
-    s = suffixes.crossJoin(F.broadcast(strength(suffixes, "s0")))  # each one row
-    s = s.select("suffix", ((F.col("k") + F.col("s0") * F.col("m0")) / (F.col("n") + F.col("s0"))).alias("ms"))
-    d = domains.join(s, "suffix").crossJoin(F.broadcast(strength(domains, "s1").select("s1")))
-    d = d.select("domain", ((F.col("k") + F.col("s1") * F.col("ms")) / (F.col("n") + F.col("s1"))).alias("md"))
-    h = hosts.join(d, "domain").crossJoin(F.broadcast(strength(hosts, "s2").select("s2")))
-    mean = (F.col("k") + F.col("s2") * F.col("md")) / (F.col("n") + F.col("s2"))
-    h = h.select("host", mean.alias("mean"), (F.col("n") + F.col("s2")).alias("weight"))
+    def counted(groups: DataFrame, by: str) -> DataFrame:
+        return groups.select(by, F.col("n").alias(f"n_{by}"), F.col("k").alias(f"k_{by}"))
+
+    def shrunk(by: str, strength: str, above: str) -> Column:
+        n, k = (F.coalesce(F.col(f"{x}_{by}"), F.lit(0.0)) for x in "nk")
+        return (k + F.col(strength) * F.col(above)) / (n + F.col(strength))
+
+    h = every.select("host").distinct().withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    for groups, by in ((suffixes, "suffix"), (domains, "domain"), (hosts, "host")):
+        h = h.join(counted(groups, by), by, "left")
+    for one in (strength(suffixes, "s0"), strength(domains, "s1").select("s1"), strength(hosts, "s2").select("s2")):
+        h = h.crossJoin(F.broadcast(one))  # each one row
+    h = h.withColumn("ms", shrunk("suffix", "s0", "m0")).withColumn("md", shrunk("domain", "s1", "ms"))
+    h = h.select("host", shrunk("host", "s2", "md").alias("mean"), (F.coalesce("n_host", F.lit(0.0)) + F.col("s2")).alias("weight"))
     return h.select("host", (F.col("mean") - p.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))).alias("bound"))
 
 
@@ -89,7 +97,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], params: R
     host, path = url_parts(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    found = reputations(p.select("page_id", "host").join(known, "page_id").select("host", "bad"), params)
+    found = reputations(p.select("page_id", "host").join(known, "page_id").select("host", "bad"), p, params)
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > params.block_above, "block").otherwise("allow")
     return p.join(found, "host", "left").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bound")

@@ -27,5 +27,15 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got[130].bound < got[200].bound < got[3].bound
 
 
+def test_hosts_without_labels_have_their_domain_or_suffix(spark):
+    rows = [(i, f"http://h{i % 40}.bad.org/{i}") for i in range(400)] + [(1000 + i, f"http://good{i % 40}.net/{i}") for i in range(400)]
+    rows += [(2000, "http://new.bad.org/"), (2001, "http://new.good1.net/"), (2002, "http://new.net/"), (2003, "http://new.xyz/"), (2004, None)]
+    got = judged(spark, rows, [(i, 1) for i in range(400)] + [(1000 + i, 0) for i in range(400)])
+    assert [got[i].verdict for i in (2000, 2001, 2002, 2003, 2004)] == ["block", "allow", "allow", "allow", "allow"]
+    assert got[2002].bound < 0.1 and got[2002].bound < got[2003].bound < got[2000].bound <= got[0].bound
+    assert got[2003].bound == got[2004].bound
+    assert judged(spark, [(1, "http://a.org/")])[1].bound is None
+
+
 def test_empty(spark):
     assert judged(spark, []) == {} and ReputationParams().block_above == 0.5
