@@ -4,10 +4,12 @@ Sparse word n-gram counts (one to three words) feed a multinomial logistic regre
 unknown class. It is trained on varied forms of the templates below, on sentences that only sound like licences, and
 on a bounded sample of corpus paragraphs as unknowns; a temperature fitted on left-out forms calibrates the
 probabilities. A predicted family must be confirmed: enough of the word pairs of one of its templates must be in the
-paragraph, else it counts as unknown. Paragraphs are lines.
+paragraph, else it counts as unknown. Paragraphs are lines; where a line is none by itself, it is joined with the
+lines after it, up to the next blank one, as long as each goes on with the same template. Such a paragraph is
+reported at its first line.
 
-A paragraph without any word that speaks for a family cannot be confirmed and is not scored. Texts are read once
-where they are; nothing is shuffled.
+A paragraph with too few word pairs of every template cannot be confirmed and is not scored; no figure of the corpus
+decides on that. Texts are read once where they are; nothing is shuffled.
 
 Edge cases: null and empty texts have no licence; very long lines are scored whole; repeated rows are each reported;
 further columns are ignored; an empty table gives an empty result (the unknown class then has the fixed sentences).
@@ -98,10 +100,27 @@ class Model:
     index: dict[str, int]
     weights: np.ndarray  # [grams + 1, families]; the last row is the bias
     temperature: float
-    telling: frozenset[str]  # words that speak for a family
     params: LicenseParams
     templates: dict[str, list[set[tuple[str, ...]]]] = field(default_factory=lambda: {f: [pairs(words(t)) for t in ts] for f, ts in TEMPLATES.items()})
 
+    def __post_init__(self) -> None:
+        self.flat = [t for ts in self.templates.values() for t in ts]
+        self.holders: dict[tuple[str, ...], list[int]] = {}  # templates with a word pair
+        for i, t in enumerate(self.flat):
+            for x in t:
+                self.holders.setdefault(x, []).append(i)
+
+    def shared(self, tokens: list[str]) -> dict[int, set[tuple[str, ...]]]:
+        """The word pairs of each template that are in ``tokens``."""
+        out: dict[int, set[tuple[str, ...]]] = {}
+        for x in zip(tokens, tokens[1:], strict=False):
+            for i in self.holders.get(x, ()):
+                out.setdefault(i, set()).add(x)
+        return out
+
+    def enough(self, shared: dict[int, set[tuple[str, ...]]]) -> bool:
+        return any(len(x) >= self.params.overlap * len(self.flat[i]) for i, x in shared.items())
+
     def vector(self, tokens: list[str]) -> tuple[list[int], np.ndarray]:
         c = Counter(i for g in grams(tokens) if (i := self.index.get(g)) is not None)
         return list(c), np.sqrt(np.fromiter(c.values(), float, len(c)))
@@ -115,8 +134,9 @@ class Model:
     def judge(self, line: str) -> tuple[str, float, float] | None:
         """(family, probability, overlap with its best template) of a licence paragraph."""
         tokens = words(line)
-        if not self.telling.intersection(tokens):
-            return None
+        return self.classify(tokens) if self.enough(self.shared(tokens)) else None
+
+    def classify(self, tokens: list[str]) -> tuple[str, float, float] | None:
         p = self.probabilities(tokens)
         k = int(p.argmax())
         family = self.families[k]
@@ -128,7 +148,32 @@ class Model:
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
         """(paragraph, family, probability, overlap) of a text's licence paragraphs."""
-        return [(i, *found) for i, line in enumerate((text or "").split("\n")) if (found := self.judge(line))]
+        lines = [words(line) for line in (text or "").split("\n")]
+        has = [self.shared(x) for x in lines]
+        out = [(i, *found) for i, x in enumerate(lines) if has[i] and self.enough(has[i]) and (found := self.classify(x))]
+        alone, at = {i for i, *_ in out}, 0
+        while at < len(lines) - 1:
+            end, found = self.wrapped(lines, has, at, alone)
+            if found:
+                out.append((at, *found))
+            at = end + 1 if found else at + 1
+        return sorted(out)
+
+    def wrapped(self, lines: list[list[str]], has: list[dict], at: int, alone: set[int]) -> tuple[int, tuple[str, float, float] | None]:
+        """The paragraph that begins in line ``at`` and goes on in the next ones: its last line, what it is."""
+        tokens, shared, end = lines[at], has[at], at + 1
+        while tokens and at not in alone and end < len(lines) and lines[end] and end not in alone:
+            border = self.shared([lines[end - 1][-1], lines[end][0]])
+            if end == at + 1:
+                shared = {i: shared.get(i, set()) for i in shared.keys() | border.keys()}
+            shared = {i: x | more for i, x in shared.items() if (more := has[end].get(i, set()) | border.get(i, set()))}
+            if not shared:
+                break
+            tokens = tokens + lines[end]
+            if self.enough(shared) and (found := self.classify(tokens)):
+                return end, found
+            end += 1
+        return at, None
 
 
 def softmax_fit(rows: list[tuple[list[int], np.ndarray]], y: np.ndarray, m: int, k: int, ridge: float = 0.02, steps: int = 150) -> np.ndarray:
@@ -162,9 +207,7 @@ def fit(unknown: list[str], params: LicenseParams = LicenseParams()) -> Model:
     data += [(words(x), len(families) - 1) for t in ALIKE for x in (t, *forms(t, r, params.forms))]
     index = {g: i for i, g in enumerate(sorted({g for w, _ in data for g in grams(w)}))}
     data += [(w, len(families) - 1) for w in plain]
-    often = Counter(x for w in plain for x in set(w))
-    telling = frozenset(x for ts in TEMPLATES.values() for t in ts for x in words(t) if often[x] <= 0.01 * len(plain))
-    model = Model(families, index, np.zeros((len(index) + 1, len(families))), 1.0, telling, params)
+    model = Model(families, index, np.zeros((len(index) + 1, len(families))), 1.0, params)
     r.shuffle(data)
     rows = [model.vector(w) for w, _ in data]
     full = [i for i, (a, _) in enumerate(rows) if a]

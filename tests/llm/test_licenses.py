@@ -35,3 +35,19 @@ def test_rows_and_edges(spark):
     got = sorted((r.doc_id, r.paragraph, r.family) for r in scan_licenses(spark, docs).collect())
     assert got == [(50, 1, "mit"), (51, 0, "proprietary"), (51, 0, "proprietary")]
     assert scan_licenses(spark, no_documents(spark)).count() == 0
+
+
+def test_frequent_words_of_the_corpus_do_not_hide_a_licence():
+    model = fit([f"Some rights reserved. All of it, {prose(i, 12)}" if i % 3 == 0 else prose(i, 15) for i in range(300)])
+    assert model.judge("All rights reserved.")[0] == "proprietary"
+    assert not any(model.judge(prose(i, 30)) for i in range(100))
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_wrapped_notices(model, width):
+    for family, template in (("mit", TEMPLATES["mit"][2]), ("bsd", TEMPLATES["bsd"][0]), ("gpl-3.0", TEMPLATES["gpl-3.0"][1]), ("cc0-1.0", TEMPLATES["cc0-1.0"][1])):
+        w = template.split()
+        lines = [" ".join(w[i : i + width]) for i in range(0, len(w), width)]
+        found = model.scan("\n".join([prose(1, 8), "", *lines, "", prose(2, 8)]))
+        assert [f for _, f, *_ in found] == [family] and 2 <= found[0][0] < 2 + len(lines)
+    assert not model.scan("\n".join(" ".join(x) for x in zip(*[iter(prose(3, 900).split())] * 3)))
