@@ -102,11 +102,12 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind number, start, end, is base), base spans first."""
     found = [(*s, True) for s in base_spans(text)]
     more = []
-    if "at" in text and re.search(r"[(\[{]at[)\]}]", text, re.I):
+    if re.search(r"[(\[{]at[)\]}]", text, re.I):
         more += [(0, m.start(), m.end()) for m in EMAIL_WORDS.finditer(text)]
     if any(c in text for c in "0123456789"):
         more += [(3, m.start(), m.end()) for m in PHONE_PLAIN.finditer(text)]
         more += [(6, m.start(), m.end()) for m in SSN.finditer(text)]
+    if "password=" in text or "AKIA" in text:
         more += [(5, m.start(), m.end()) for m in SECRET.finditer(text)]
     more += [(4, m.start(1), m.end(1)) for m in NAME.finditer(text)]
     taken = [(s, e) for _, s, e, _ in found]
