@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is set, a local session (one machine) gets its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"{master}: set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
@@ -51,6 +54,35 @@ def lowest_hashes(rows: DataFrame, key: Column, n: int, *kept: Column) -> DataFr
     return one.orderBy("_key").limit(n).select("_row.*")
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has one row a key and in ``n`` how many rows of ``big`` have it; ``total``: rows of ``big``.
+
+    A key with over a ten-thousandth of the rows would be one hot task. There are at most 10 000 such keys, so their
+    rows of ``small`` are broadcast, whatever the size of the tables; all others are shuffled. Both tables are read twice.
+    """
+    most = max(64, total // 10_000)
+    hot = F.broadcast(small.where(F.col(n) > most))
+    rest = big.join(hot.select(key), key, "left_anti").join(small.where(F.col(n) <= most), key, how)
+    return big.join(hot, key).unionByName(rest)
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``: all above a limit that leaves at most ``most`` of them.
+
+    The limit comes from the counts' own distribution in steps of a sixteenth of a power of two (at most some thousand
+    rows); so no task has to sort or hold the candidates of all others.
+    """
+    step = F.floor(F.log2(F.col(n)) * 16)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()
+    have, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        have += r["rows"]
+        if have > most:
+            break
+        least = r["step"]
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_quern_path", None)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import discard, materialize
+from quernstone.llm.common import discard, join_hot, materialize
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b) that is not its component's smallest; root is the smallest.
 
     Alternating large-star and small-star steps: each links the neighbours of a node to the smallest of them, first
-    the larger ones, then the smaller ones. The minimum is a partial aggregate and the rest a join, so that no
-    node's neighbours meet in one row or task. Each round is written to the shared folder; the number of rounds
-    grows with the logarithm of the longest path.
+    the larger ones, then the smaller ones. The minimum is a partial aggregate; it comes back by a join in which the
+    nodes with the most neighbours are broadcast (``join_hot``), so that no node's neighbours meet in one row or task.
+    Each round is written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+
+    Null ends and links of a node with itself are left out; repeated links count once; no links give an empty result.
     """
     e = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(spark, e, "links")
@@ -22,12 +24,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     before = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(e.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", 2 * before[0])
+        large = materialize(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, smallest, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = materialize(spark, small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(spark, e)
+        discard(spark, large)
         e, now = nxt, mark(nxt)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

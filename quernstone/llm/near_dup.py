@@ -1,25 +1,27 @@
 """Near duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-1. Each text gets its set of five-word shingles (64-bit hashes) and a signature of ``trees`` x ``depth`` minima.
-   Texts with equal word sequences are one class, represented by its smallest doc_id; what follows works on classes.
-2. Forest: in each tree, classes that share the first ``least`` minima form a region. Regions are joined to families
-   (connected components), so that all candidates of a text are in its family. Only counts and minima are grouped,
-   so a region of any size is no hot task.
-3. Families are dealt into blocks of bounded size; a family of several blocks has the same few pivots in each, which
-   tie its blocks together. Within a block the tree orders are walked from the deepest common prefix upwards: pairs
-   with the longest common prefix are confirmed first, pairs already connected are skipped, and the depth descends,
-   per region, as far as anything is still unconnected. Pairs whose signatures agree too little to reach the
-   threshold (six standard errors off) are left out; all others are confirmed on their full sets.
-4. In a family of several blocks, what isn't in its largest component yet is compared with all of the family, block
-   by block. Nothing is capped: large families cost more blocks.
-
-The union of confirmed links gives the components. A pair at exactly the threshold of 0.75 shares no region with a
-probability of 1.6e-4 with 16 trees (2e-5 at 0.8), if nothing else links the two.
+1. Each text gets its set of five-word shingles (64-bit hashes) and a signature of ``trees`` x ``depth`` minima. Texts
+   with equal word sequences are one class, whatever their doc_ids; all that follows works on classes.
+2. Forest: each tree orders the classes by its own minima. Classes with a common prefix of ``least`` minima are a region
+   of that order; a region of more than ``region`` classes goes one minimum deeper, again and again, so that the depth
+   adapts to how crowded a part of the order is. What is still larger at full depth (classes that agree in all of a
+   tree's minima) is dealt into cells of the same bounded size, differently in every tree. Only counts are grouped.
+3. Sweeps: within a cell, which is in the tree's order, every class meets its neighbours with the longest common prefix.
+   Pairs of classes of different components whose sketches agree too little to reach the threshold (four standard
+   errors off) are left out. The first two sweeps take each class to one of its cells only, so that its shingle set
+   moves once; the last takes what is still open to all of its cells. Pairs are confirmed on full sets, longest
+   common prefix first; what is connected already is skipped.
+4. Regions that were dealt into cells: what isn't in the region's largest component yet is compared with all of the
+   region, part by part. Nothing is capped: crowded regions cost more depth, cells or parts.
+
+The union of confirmed links gives the components. The probability that a pair at exactly the threshold of 0.75 shares
+no region with 20 trees is 2e-5 at depth 3, 0.005 at 5 and 0.06 at 7 (0.01 at 7 for a pair at 0.8), if nothing else
+links the two. The test of recall measures it against brute force.
 
 Edge cases: texts that are null, empty or white space have an empty set, link with nothing and are kept; fewer than
-five words are one shingle; rows with a null doc_id get the component of their text's class (null if it has no
-doc_id at all) and are kept only in the latter case; rows that repeat a doc_id go by their own texts; further
-columns are ignored; an empty table gives an empty result.
+five words are one shingle. Rows that repeat a doc_id with different texts are judged by their own texts: each has its
+text's component, and kept says whether that has this doc_id. Rows with a null doc_id get the component of their text's
+class, never link other texts, and are kept only if no row with a doc_id has their text. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +31,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialize
+from quernstone.llm.common import LOWER, UPPER, discard, join_hot, materialize
 from quernstone.llm.graph import components
 
 
@@ -43,21 +44,21 @@ from quernstone.llm.graph import components
 class NearDupParams:
     words: int = 5
     percent: int = 75  # link where 100 * intersection >= percent * union
-    trees: int = 16
-    depth: int = 6
+    trees: int = 20
+    depth: int = 7
     least: int = 3  # minima that a region's members share
-    block: int = 384  # classes a block
-    pivots: int = 48  # classes that all blocks of a family share
-    broadcast_ids: int = 1_000_000  # above this many ids they are joined by a shuffle
+    region: int = 128  # classes that a region may hold before it goes deeper, and a cell
+    sweeps: int = 3
+    broadcast_mb: int = 64  # ids above this estimate are joined by a shuffle
 
     @property
     def hashes(self) -> int:
         return self.trees * self.depth
 
     def agree(self) -> int:
-        """Equal minima that a pair at the threshold has, less six standard errors."""
+        """Equal minima that a pair at the threshold has, less four standard errors."""
         p = self.percent / 100
-        return int(self.hashes * p - 6 * (self.hashes * p * (1 - p)) ** 0.5)
+        return int(self.hashes * p - 4 * (self.hashes * p * (1 - p)) ** 0.5)
 
 
 def shingles(text: str | None, n: int) -> tuple[np.ndarray, bytes | None]:
@@ -75,15 +76,15 @@ def shingles(text: str | None, n: int) -> tuple[np.ndarray, bytes | None]:
 
 
 def signatures(sets: list[np.ndarray], params: NearDupParams) -> np.ndarray:
-    """[sets, hashes] uint32 minima; no set may be empty."""
+    """[sets, hashes] the last 16 bits of each minimum (its first ones say how large the set is); no set may be empty."""
     rng = np.random.default_rng(20_240_601)
     factors = rng.integers(1, 2**63, params.hashes, dtype=np.uint64) | np.uint64(1)
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), params.hashes), dtype=np.uint32)
+    out = np.empty((len(sets), params.hashes), dtype=np.uint16)
     flat = flat ^ (flat >> np.uint64(31))
     for i, f in enumerate(factors):
-        out[:, i] = np.minimum.reduceat((flat * f) >> np.uint64(32), starts)
+        out[:, i] = np.minimum.reduceat((flat * f) >> np.uint64(16), starts).astype(np.uint16)
     return out
 
 
@@ -99,7 +100,7 @@ def signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
                 sig: list[bytes | None] = [None] * len(made)
                 if real:
                     for i, row in zip(real, signatures([made[i][0] for i in real], params), strict=True):
-                        sig[i] = row.astype(">u4").tobytes()
+                        sig[i] = row.astype(">u2").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[low : low + 256], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.array([k for _, k in made], pa.binary()), pa.array(sig, pa.binary())],
                     ["doc_id", "n_shingles", "key", "sig"],
@@ -108,36 +109,114 @@ def signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
 
 
-def with_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame, params: NearDupParams) -> DataFrame:
-    """``docs`` joined to ``ids`` on doc_id; the ids are broadcast only if they are few enough."""
-    few = ids.limit(params.broadcast_ids + 1).count() <= params.broadcast_ids
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id")
+# --- the forest -------------------------------------------------------------------------------------------------
+
+
+def cells(spark: SparkSession, classes: DataFrame, params: NearDupParams) -> DataFrame:
+    """(cell, id, own, region): the classes of each cell of two or more; ``own``: the tree's minima, by which it is
+    ordered; ``region``: null, or of which region at full depth the cell is a part."""
+    wide = params.depth * 2
+    orders = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), F.substring("sig", t * wide + 1, wide).alias("own")) for t in range(params.trees)])
+    open_ = classes.select("id", F.explode(orders).alias("o")).select("id", "o.tree", "o.own")
+    total = classes.count() * params.trees
+    out, scratch = None, []
+    for depth in range(params.least, params.depth + 1):
+        here = open_.withColumn("region", F.xxhash64(F.lit(depth), "tree", F.substring("own", 1, depth * 2)))
+        sizes = materialize(spark, here.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
+        members = materialize(spark, join_hot(here, sizes, "region", total), "members")
+        discard(spark, sizes)
+        scratch.append(members)
+        crowded = members.where(F.col("n") > params.region)
+        none = F.lit(None).cast("long").alias("region")
+        found = members.where(F.col("n") <= params.region).select(F.col("region").alias("cell"), "id", "own", none)
+        if depth == params.depth:
+            parts = F.ceil(F.col("n") / params.region)
+            found = found.unionByName(crowded.select(F.xxhash64("region", F.pmod(F.xxhash64("id", "tree"), parts)).alias("cell"), "id", "own", "region"))
+        out = found if out is None else out.unionByName(found)
+        total = crowded.count()
+        if not total:
+            break
+        open_ = crowded.select("id", "tree", "own")
+    made = materialize(spark, out, "cells")
+    for df in scratch:
+        discard(spark, df)
+    return made
+
+
+def in_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of ``by`` of a sorted stream, of a bounded number of rows besides the last group."""
+    parts: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            parts.append(b)
+        if sum(p.num_rows for p in parts) < 4096 and sum(p.nbytes for p in parts) < 32_000_000:
+            continue
+        t = pa.Table.from_batches(parts)
+        ends = group_ends(t, by)
+        if len(ends) > 1:
+            yield t.slice(0, ends[-2])
+            t = t.slice(ends[-2])
+        parts = t.combine_chunks().to_batches()
+    if parts:
+        yield pa.Table.from_batches(parts)
 
 
-# --- within a block ---------------------------------------------------------------------------------------------
+def group_ends(t: pa.Table, by: list[str]) -> np.ndarray:
+    """Where each run of equal ``by`` ends."""
+    change = np.zeros(max(0, t.num_rows - 1), bool)
+    for c in by:
+        x = t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        change |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(change) + 1, t.num_rows) if t.num_rows else np.zeros(0, np.int64)
 
 
-def confirm(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, roots: np.ndarray, left: np.ndarray, params: NearDupParams) -> list[tuple[int, int]]:
-    """Confirmed links that connect what is connected in a block, at most one fewer than its classes.
+def within(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of the same run."""
+    n = int(ends[-1]) if len(ends) else 0
+    last = np.repeat(ends, np.diff(ends, prepend=0))
+    count = last - np.arange(n) - 1
+    i = np.repeat(np.arange(n), count)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
 
-    ``roots``: components known so far; ``left``: which classes are to be compared with all others.
-    """
-    m = len(ids)
-    same = np.zeros((m, m), dtype=np.int16)
-    lcp = np.zeros((m, m), dtype=np.int8)
-    for t in range(params.trees):
-        run = np.ones((m, m), dtype=bool)
-        here = np.zeros((m, m), dtype=np.int8)
-        for k in range(t * params.depth, (t + 1) * params.depth):
-            eq = sigs[:, k, None] == sigs[None, :, k]
-            same += eq
-            run &= eq
-            here += run
-        np.maximum(lcp, here, out=lcp)
-    sizes = np.array([len(s) for s in sets])
-    ratio = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= params.percent * np.maximum(sizes[:, None], sizes[None, :])
-    x, y = np.nonzero(np.triu((same >= params.agree()) & ratio & (left[:, None] | left[None, :]), 1))
-    order = np.lexsort((-same[x, y], -lcp[x, y]))  # longest common prefix first
+
+def candidates(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, size: np.ndarray, root: np.ndarray, params: NearDupParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs those of different components that may reach the threshold, with their number of equal minima."""
+    x, y = size[i], size[j]
+    keep = np.flatnonzero((root[i] != root[j]) & (100 * np.minimum(x, y) >= params.percent * np.maximum(x, y)))
+    i, j = i[keep], j[keep]
+    same = np.zeros(len(i), np.int64)
+    for low in range(0, len(i), 50_000):
+        at = slice(low, low + 50_000)
+        same[at] = (sketch[i[at]] == sketch[j[at]]).sum(1)
+    keep = same >= params.agree()
+    return i[keep], j[keep], same[keep]
+
+
+def prefixes(own: np.ndarray) -> np.ndarray:
+    """The longest common prefix, in minima, of each row with the one after it."""
+    return np.logical_and.accumulate(own[1:] == own[:-1], axis=1).sum(1)
+
+
+def _stacked(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def asked(rows: DataFrame, params: NearDupParams) -> DataFrame:
+    """(cell, id, own, region, root) of the classes that have a candidate of another component in a cell; ``rows``: these, sketch, size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_runs(batches, ["cell"]):
+            i, j = within(group_ends(t, ["cell"]))
+            i, j, _ = candidates(i, j, _stacked(t.column("sketch"), "u1"), t.column("size").to_numpy(), t.column("root").to_numpy(), params)
+            keep = pa.array(np.unique(np.concatenate([i, j])))
+            yield from t.select(["cell", "id", "own", "region", "root"]).take(keep).combine_chunks().to_batches()
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, id long, own binary, region long, root long")
+
+
+def confirm(i: np.ndarray, j: np.ndarray, lcp: np.ndarray, same: np.ndarray, sets: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links among the candidate pairs, longest common prefix first; what is connected already is skipped."""
+    order = np.lexsort((-same, -lcp))
     parent: dict[int, int] = {}
 
     def find(a: int) -> int:
@@ -147,113 +226,175 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, roots: np
         return a
 
     links = []
-    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        a, b = find(int(roots[i])), find(int(roots[j]))
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = find(int(root[x])), find(int(root[y]))
         if a == b:
             continue
-        inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * inter >= params.percent * (len(sets[i]) + len(sets[j]) - inter):
+        inter = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * inter >= percent * (len(sets[x]) + len(sets[y]) - inter):
             parent[max(a, b)] = min(a, b)
-            links.append((int(ids[i]), int(ids[j])))
+            links.append((x, y))
     return links
 
 
-def block_links(rows: DataFrame, keys: list[str], params: NearDupParams) -> DataFrame:
-    """Confirmed links (a, b) of each block of ``rows`` (doc_id, set, sig, root, to_all)."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("doc_id")
-        sets = [np.frombuffer(s, np.uint64) for s in b["set"]]
-        sigs = np.stack([np.frombuffer(s, ">u4") for s in b["sig"]])
-        links = confirm(b["doc_id"].to_numpy(), sets, sigs, b["root"].to_numpy(), b["to_all"].to_numpy(bool), params) if len(b) > 1 else []
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+def cell_links(rows: DataFrame, by: list[str], params: NearDupParams) -> DataFrame:
+    """Confirmed links (a, b) of each cell; ``rows``: the columns ``by``, id, own, sketch, root, set, and to_all: whether
+    a class is to be compared with all others or only with those of which this is true."""
 
-    return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_runs(batches, by):
+            low, a, b = 0, [], []
+            for high in group_ends(t, by):
+                part = t.slice(low, high - low)
+                low = high
+                ids, everyone = part.column("id").to_numpy(), np.array(part.column("to_all").to_pylist(), dtype=bool)
+                order = np.lexsort((~everyone, ids))  # a class that comes in both ways counts once
+                at = np.sort(order[np.flatnonzero(np.diff(ids[order], prepend=-1))])  # in the order of the tree
+                if len(at) < 2:
+                    continue
+                part, ids, everyone = part.take(pa.array(at)), ids[at], everyone[at]
+                sets = [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
+                root, size = part.column("root").to_numpy(), np.array([len(s) for s in sets])
+                i, j = within(np.array([len(at)]))
+                keep = everyone[i] | everyone[j]
+                i, j, same = candidates(i[keep], j[keep], _stacked(part.column("sketch"), "u1"), size, root, params)
+                lcp = np.array([step[x:y].min() for x, y in zip(i, j, strict=True)]) if len(step := prefixes(_stacked(part.column("own"), ">u2"))) and len(i) else np.zeros(len(i), np.int64)
+                for x, y in confirm(i, j, lcp, same, sets, root, params.percent):
+                    a.append(ids[x])
+                    b.append(ids[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "own", "id").mapInArrow(run, "a long, b long")
 
 
 # --- all of it --------------------------------------------------------------------------------------------------
 
 
-def duplicate_groups(spark: SparkSession, docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    rows = materialize(spark, signed(docs, params), "signed")
-    known = rows.where("key is not null and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.count("*").alias("n"))
-    classes = materialize(spark, classes, "classes")
-
-    wide = params.depth * 4
-    prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * wide + 1, params.least * 4)) for t in range(params.trees)])
-    forest = classes.select("doc_id", F.explode(prefixes).alias("region"))
-    regions = forest.groupBy("region").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail")
-    families = components(spark, forest.join(regions, "region").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-    roots = families.select(F.col("root").alias("node")).distinct()
-    members = materialize(spark, families.unionByName(roots.select("node", F.col("node").alias("root"))).select(F.col("node").alias("doc_id"), F.col("root").alias("family")), "members")
-
-    sized = members.groupBy("family").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
-    placed = members.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    full = materialize(spark, _with_sets(spark, docs, classes, placed, params), "sets")
-    pivots = _pivots(full, params)
-    first = full.select("family", "block", "doc_id", "set", "sig").unionByName(pivots.select("family", "block", "doc_id", "set", "sig"))
-    first = first.withColumns({"root": F.col("doc_id"), "to_all": F.lit(True)})
-    links = materialize(spark, block_links(first, ["family", "block"], params), "confirmed")
-    labels = components(spark, links)
-
-    # families of several blocks: what isn't in the largest component is compared with all
-    large = full.where("blocks > 1").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    sizes = large.groupBy("family", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.withColumn("parts", F.ceil((F.col("all") - F.col("most")) / params.block).cast("int")).where("parts > 0")
-    judged = large.join(main.select("family", "main", "parts"), "family")
-    open_ = judged.where("root <> main")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")
-    # a part of the open ones meets every block: once per block for them, once per part for all others
-    asked = open_.select("family", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "set", "sig", "root", F.lit(True).alias("to_all"))
-    against = judged.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "doc_id", "set", "sig", "root", F.lit(False).alias("to_all"))
-    both = asked.unionByName(against).groupBy("family", "part", "block")
-    more = both.applyInPandas(_open_links(params), "a long, b long")
-    every = components(spark, links.unionByName(more))
-
-    reps = classes.select("key", F.col("doc_id").alias("rep")).join(every.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "key").join(reps, "key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
-
-
-def _open_links(params: NearDupParams):
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("to_all", ascending=False).drop_duplicates("doc_id")
-        if not b["to_all"].any() or len(b) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [np.frombuffer(s, np.uint64) for s in b["set"]]
-        sigs = np.stack([np.frombuffer(s, ">u4") for s in b["sig"]])
-        return pd.DataFrame(confirm(b["doc_id"].to_numpy(), sets, sigs, b["root"].to_numpy(), b["to_all"].to_numpy(bool), params), columns=["a", "b"]).astype("int64")
-
-    return run
-
-
-def _with_sets(spark: SparkSession, docs: DataFrame, classes: DataFrame, placed: DataFrame, params: NearDupParams) -> DataFrame:
-    """The members with their full sets and signatures."""
-    wanted = classes.join(placed, "doc_id").select("doc_id", "key", "sig", "family", "blocks", "block")
-    found = with_ids(spark, docs.select(F.col("doc_id").cast("long"), "text"), wanted, params)
+def text_key(text: Column) -> Column:
+    """The key of a text's word sequence, as ``shingles`` gives it: the MD5 of its words, A-Z folded, with spaces between."""
+    spaced = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
+    return F.when(spaced != "", F.unhex(F.md5(spaced)))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, params: NearDupParams) -> DataFrame:
+    """(id, set) of the classes ``wanted`` (id, doc_id, key), one row a class; only the doc_ids are joined to the texts."""
+    ids = wanted.select("doc_id").distinct()
+    most = params.broadcast_mb * 1_000_000 // 64  # bytes a broadcast id takes, at most
+    few = ids.limit(most + 1).count() <= most
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # so that copies leave a task once
         for b in batches:
-            made = [shingles(t, params.words) for t in b.column("text").to_pylist()]
-            keep = pa.array([k == w for (_, k), w in zip(made, b.column("key").to_pylist(), strict=True)])
-            out = b.drop_columns(["text", "key"]).append_column("set", pa.array([s.tobytes() for s, _ in made], pa.binary()))
-            yield out.filter(keep)
+            keys, sets = [], []
+            for t in b.column("text").to_pylist():
+                s, k = shingles(t, params.words)
+                if k is not None and k not in seen:
+                    seen.add(k)
+                    keys.append(k)
+                    sets.append(s.tobytes())
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+
+    return texts.mapInArrow(run, "key binary, set binary").join(wanted.select("key", "id"), "key").dropDuplicates(["key"]).select("id", "set")
+
+
+def with_sketches(classes: DataFrame) -> DataFrame:
+    """``sig`` to ``sketch``: the last byte of each minimum is enough to count equal ones."""
 
-    schema = "doc_id long, sig binary, family long, blocks int, block int, set binary"
-    return found.select("doc_id", "text", "key", "sig", "family", "blocks", "block").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.drop_columns(["sig"]).append_column("sketch", pa.array([s[1::2] for s in b.column("sig").to_pylist()], pa.binary()))
+
+    return classes.select("id", "key", "doc_id", F.col("n_shingles").alias("size"), "sig").mapInArrow(run, "id long, key binary, doc_id long, size long, sketch binary")
+
+
+def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, params: NearDupParams) -> DataFrame:
+    """(id, root) of the classes that are not their component's smallest id."""
+    forest = cells(spark, classes, params)
+    info = materialize(spark, with_sketches(classes.join(forest.select("id").distinct(), "id", "left_semi")), "info")
+    sets = materialize(spark, shingle_sets(docs, info, params), "sets")
+    looks = info.select("id", "sketch", "size")
+    links = roots = None
+    for sweep in range(params.sweeps):
+        placed = forest.withColumn("root", F.col("id"))
+        if roots is not None:
+            mixed = forest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            kinds = mixed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
+            placed = mixed.join(kinds, "cell", "left_semi")
+        open_ = asked(placed.join(looks, "id"), params)
+        if sweep < params.sweeps - 1:  # one cell for each class: that of the lowest hash, so that classes of a group choose alike
+            choice = F.struct(F.xxhash64("cell", F.lit(sweep)).alias("h"), "cell", "own", "root")
+            open_ = open_.groupBy("id").agg(F.min(choice).alias("o")).select("id", "o.cell", "o.own", "o.root")
+        rows = open_.join(looks.select("id", "sketch"), "id").join(sets, "id").withColumn("to_all", F.lit(True))
+        found = materialize(spark, cell_links(rows.drop("region"), ["cell"], params), "confirmed")
+        links = found if links is None else links.unionByName(found)
+        roots = components(spark, links).select(F.col("node").alias("id"), "root")
+    more = region_links(spark, forest, looks, sets, roots, params)
+    if more is not None:
+        roots = components(spark, links.unionByName(more)).select(F.col("node").alias("id"), "root")
+    for df in (forest, info, sets):
+        discard(spark, df)
+    return roots
+
+
+def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets: DataFrame, roots: DataFrame, params: NearDupParams) -> DataFrame | None:
+    """Links within regions of several cells: what isn't in a region's largest component is compared with all of it."""
+    dealt = forest.where("region is not null").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = dealt.groupBy("region", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    main = main.where("n > most").select("region", "main", F.ceil((F.col("n") - F.col("most")) / params.region).cast("int").alias("parts"), "n")
+    main = materialize(spark, main, "open")
+    if main.isEmpty():
+        return None
+    judged = materialize(spark, join_hot(dealt, main, "region", dealt.count()), "judged")
+    open_ = judged.where("root <> main").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    spots = judged.select("region", "cell").distinct()
+    # a part of the open ones meets every cell: once per cell for them, once per part for all others
+    ask = open_.select("region", "part", "id", "own", "root").join(spots, "region").withColumn("to_all", F.lit(True))
+    against = judged.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "own", "root", "cell", F.lit(False).alias("to_all"))
+    rows = ask.unionByName(against).join(looks.select("id", "sketch"), "id").join(sets, "id")
+    return materialize(spark, cell_links(rows, ["region", "part", "cell"], params), "confirmed")
+
+
+def grouped(spark: SparkSession, docs: DataFrame, params: NearDupParams) -> DataFrame:
+    """doc_id, n_shingles, key, component_id, lead of every row; lead: the key of the first text of the component."""
+    rows = materialize(spark, signed(docs, params), "signed")
+    known = rows.where("key is not null and doc_id is not null")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    classes = materialize(spark, classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the ids stay
+    roots = class_components(spark, docs, classes, params)
+    own = classes.select("id", "key", "doc_id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    own = materialize(spark, own, "roots")
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("classes")).where("classes > 1")
+    first = materialize(spark, first.select("root", F.col("first.doc_id").alias("component"), F.col("first.key").alias("lead"), "classes"), "first")
+    alone = own.join(first.select("root"), "root", "left_anti").select("key", F.col("doc_id").alias("component"), F.col("key").alias("lead"), "n")
+    linked = join_hot(own, first, "root", own.count(), "classes").select("key", "component", "lead", "n")
+    judged = materialize(spark, linked.unionByName(alone), "judged")
+    slim = rows.select("doc_id", "n_shingles", "key")
+    have = join_hot(slim.where("key is not null"), judged, "key", rows.count(), how="left")
+    none = slim.where("key is null").select("*", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("lead"))
+    return have.select("doc_id", "n_shingles", "key", F.coalesce("component", "doc_id").alias("component_id"), "lead").unionByName(none)
 
 
-def _pivots(full: DataFrame, params: NearDupParams) -> DataFrame:
-    """A few members of each family of several blocks, once for each block; chosen by hash, so about as many as asked."""
-    share = F.col("blocks") * params.block
-    chosen = full.where("blocks > 1").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), share) < params.pivots)
-    return chosen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def duplicate_groups(spark: SparkSession, docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return grouped(spark, docs, params).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each group, all columns as they were."""
-    gone = duplicate_groups(spark, docs, params).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns as they were: of each group one text, that of its smallest doc_id.
+
+    Rows go by doc_id and text together: of rows that repeat a doc_id with different texts each is judged by its own.
+    Rows that repeat both are one document and stay or go together; a row without doc_id goes if one with has its text.
+    """
+    name = lambda doc_id, key: F.concat_ws(":", doc_id.cast("string"), F.hex(key))
+    leads = (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("lead"))
+    gone = grouped(spark, docs, params).where(F.col("lead").isNotNull() & ~F.coalesce(leads, F.lit(False)))
+    gone = materialize(spark, gone.groupBy(name(F.col("doc_id"), F.col("key")).alias("_name")).agg(F.count("*").alias("_n")), "gone")
+    named = docs.withColumn("_name", name(F.col("doc_id").cast("long"), text_key(F.col("text"))))
+    most = max(64, (gone.agg(F.sum("_n")).first()[0] or 0) // 10_000)  # as in join_hot: at most 10 000 hot names are broadcast
+    hot, cold = gone.where(F.col("_n") > most), gone.where(F.col("_n") <= most)
+    return named.join(F.broadcast(hot), "_name", "left_anti").join(cold, "_name", "left_anti").select(*docs.columns)

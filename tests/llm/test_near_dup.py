@@ -1,8 +1,10 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from quernstone.llm.graph import components
-from quernstone.llm.near_dup import NearDupParams, duplicate_groups, keep_first, shingles
+from quernstone.llm.near_dup import NearDupParams, duplicate_groups, keep_first, shingles, text_key
 
 from .data import documents, no_documents, prose
 
@@ -41,8 +43,11 @@ def test_against_brute_force(spark):
             rows.append((len(rows) * 3 % 509, " ".join(w)))
     rows += [(600 + i, prose(900 + i, 50)) for i in range(30)]
     want = brute(rows)
-    for params in (NearDupParams(), NearDupParams(block=8, pivots=2)):  # small blocks: families over several
-        got = duplicate_groups(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), params).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    deep = {r.doc_id: (r.n_shingles, r.component_id) for r in duplicate_groups(spark, docs, NearDupParams(region=6)).collect()}  # crowded regions go deeper
+    assert all(want[c][1] == want[i][1] for i, (_, c) in deep.items()) and sum(deep[i] == want[i] for i in want) >= 0.95 * len(want)
+    for params in (NearDupParams(), NearDupParams(region=6, depth=3)):  # at full depth they are dealt into cells, and all is compared
+        got = duplicate_groups(spark, docs, params).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -60,6 +65,32 @@ def test_edges(spark):
     assert duplicate_groups(spark, no_documents(spark)).count() == 0
     kept = keep_first(spark, docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(by_id) - {2, 3, 9} | {None}
+    assert sum(r.doc_id is None for r in kept.collect()) == 1  # the row without doc_id and with a text that another has goes
+
+
+def test_rows_that_repeat_a_doc_id_go_by_their_own_texts(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    near = lambda t: t.replace(t.split()[40], "changed", 1)
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (5, prose(3, 70)), (5, a + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in duplicate_groups(spark, docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 5)]
+    assert {(r.doc_id, r.text) for r in keep_first(spark, docs).collect()} == {(1, a), (1, b), (5, prose(3, 70))}
+
+
+def test_recall_on_a_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in duplicate_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, (_, c) in want.items() if c != i]
+    assert len(linked) > 50 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == want[i] for i in want if i not in linked)
+
+
+def test_keys_are_the_same_in_both_forms(spark):
+    texts = ["A b", " a\tB\n", "\x0bÄ é\x0c", "", " ", None, "\u2003x \U0001f600", "x" * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", text_key(F.col("text")).alias("k")).collect()
+    assert all((None if r.k is None else bytes(r.k)) == shingles(r.text, 5)[1] for r in rows)
 
 
 def test_shingles_of_short_texts():
