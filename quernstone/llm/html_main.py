@@ -10,8 +10,14 @@ The text of the chosen nodes is given block by block.
 Training needs no corpus, only the generator and its seed; the model is a few kilobytes. Pages are judged one by
 one within their tasks, nothing is shuffled.
 
+Parsing follows browsers: optional tags are implied (head, body, paragraphs, list items, cells), text outside the body
+belongs to it, attribute values may hold quotes, unclosed scripts and comments run to the end. Formulas, buttons,
+fallback texts of objects and the like are text of their block; scripts, styles, templates, frames, titles and the
+options and contents of form fields are not.
+
 Edge cases: null, empty or text-free html gives an empty text of 0 characters; unclosed and stray tags, comments and
-truncated pages are read as far as they go; repeated rows are each extracted; nulls in other columns stay; further
+truncated pages are read as far as they go, a tag that the end cuts off is dropped; a page of text without tags is all
+main text or none; repeated rows are each extracted; nulls in other columns stay; further
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -42,13 +48,17 @@ class ExtractParams:
 
 # --- the tree ---------------------------------------------------------------------------------------------------
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Attributes as browsers read them: a value is quoted, or runs to the next white space and may hold quotes.
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+TOKEN = re.compile(rf"<!---?>|<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|<[!?/][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
 STRUCTURE = frozenset(
     "html body main article section div header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog center hgroup menu".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SILENT = frozenset("script style noscript template iframe svg head title select textarea button object canvas math audio video".split())
+#: Elements whose content is no text of the page. Scripts and styles run to their end tag, the others at most to the next structural tag.
+SILENT = frozenset("script style template iframe title select textarea".split())
+NEXT = re.compile(rf"</?(?:{'|'.join(sorted(STRUCTURE))})(?=[\s/>])", re.I)
 #: Elements that an opening tag of the key ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -60,18 +70,40 @@ class Page:
     parent: list[int] = field(default_factory=lambda: [-1])
     words: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])  # of class, id, role and the like
     hidden: list[bool] = field(default_factory=lambda: [False])
+    mark: list[int | None] = field(default_factory=lambda: [None])  # of training pages
     runs: list[tuple[int, str, int]] = field(default_factory=list)  # owner, text of a block, characters in links
 
 
+def after_silent(source: str, name: str, at: int) -> int:
+    """Where reading goes on after the opening tag of a silent element."""
+    end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+    if name in ("script", "style"):
+        return end.end() if end else len(source)
+    stop = NEXT.search(source, at) if name != "template" or not end else None
+    if end and (name in ("title", "textarea", "iframe") or not stop or end.start() < stop.start()):
+        return end.end()
+    return stop.start() if stop else len(source)
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack, text, linked = [0], [], 0
     link: int | None = None  # depth of the stack at an open link
 
+    def push(name: str, words: frozenset[str] = frozenset(), hidden: bool = False, mark: str = "") -> None:
+        page.tag.append(name)
+        page.parent.append(stack[-1])
+        page.words.append(words)
+        page.hidden.append(hidden)
+        page.mark.append(int(mark) if mark in ("0", "1") else None)
+        stack.append(len(page.tag) - 1)
+
     def flush() -> None:
         nonlocal linked
         block = " ".join("".join(text).split())
         if block:
+            if page.tag[stack[-1]] in ("#root", "html"):
+                push("body")  # implied, as in browsers
             page.runs.append((stack[-1], block, min(linked, len(block))))
         text.clear()
         linked = 0
@@ -90,29 +122,37 @@ def parse(source: str) -> Page:
             continue
         put(source[max(at, skip_to) : m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name, closing = (m[2] or "").lower(), bool(m[1])
         if not name:
             continue
-        closing = bool(m[1] or m[4])
         if name in SILENT:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(source, at)
-                skip_to = at = end.end()
+            if not closing:
+                skip_to = at = after_silent(source, name, at)
             continue
         if name not in STRUCTURE:
             if name == "a":
                 link = None if closing else len(stack)
-            elif name in ("br", "img", "hr"):
+            elif name == "hr":
+                flush()
+                if page.tag[stack[-1]] == "p":
+                    stack.pop()
+            elif name in ("br", "img"):
                 text.append(" ")
             continue
         flush()
         if closing:
             for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == name:
+                if name in ("html", "body"):  # what comes after belongs to the body all the same
+                    if page.tag[stack[i]] == "body":
+                        del stack[i + 1 :]
+                        break
+                elif page.tag[stack[i]] == name:
                     del stack[i:]
                     break
                 if name == "p" and page.tag[stack[i]] not in ("p", *HEADINGS):
                     break
+        elif name in ("html", "body") and any(page.tag[i] in ("body", name) for i in stack):
+            continue
         else:
             if page.tag[stack[-1]] == "p" or (name in HEADINGS and page.tag[stack[-1]] in HEADINGS):
                 stack.pop()
@@ -123,17 +163,17 @@ def parse(source: str) -> Page:
                     if page.tag[stack[i]] in ENDS[name]:
                         del stack[i:]
                         break
-            attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3] or m[6] or "")}
+            if name not in ("html", "body") and page.tag[stack[-1]] in ("#root", "html"):
+                push("body")
+            attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])}
             raw = " ".join(attrs.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label"))
-            page.tag.append(name)
-            page.parent.append(stack[-1])
-            page.words.append(frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", raw).lower())))
-            bare = (m[3] or m[6] or "").lower()
-            page.hidden.append(attrs.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", bare)) or "display:none" in attrs.get("style", "").replace(" ", "").lower())
-            stack.append(len(page.tag) - 1)
+            words = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", raw).lower()))
+            push(name, words, "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower(), attrs.get("data-y", ""))
         if link is not None and len(stack) < link:
             link = None
-    put(source[max(at, skip_to) :])
+    rest = source[max(at, skip_to) :]
+    cut = rest.rfind("<")  # a tag that the page's end cuts off
+    put(rest[:cut] if cut >= 0 and ">" not in rest[cut:] and re.match(r"<[/!?]?[a-zA-Z]|<[/!?]", rest[cut:]) else rest)
     flush()
     return page
 
@@ -327,20 +367,18 @@ def training_page(r: random.Random) -> str:
         above[:1] = [r.choice((f"<header>{bar}</header>", f"<div {named('header masthead')}>{bar}</div>"))]
     below = [f() for f, chance in ((sidebar, 0.4), (talk, 0.4), (advert, 0.3), (notice, 0.15), (search, 0.1)) if r.random() < chance]
     below.append(r.choice((f"<footer>&copy; {some(1, 3)} {para()}</footer>", f"<div {named('footer copyright legal')}><p>{para()}</p></div>", f"<footer><p>{sentence()}</p>{' '.join(anchors(3))}</footer>")) if r.random() < 0.9 else "")
-    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{''.join(above)}{main}{''.join(below)}</body></html>"
+    top = r.choice((f"<head><title>{title}</title><style>p{{}}</style></head>", f"<head><title>{title}</title>", ""))
+    if r.random() < 0.12:  # no element around the main text
+        inner = r.choice((inner, inner, f"{para()}<br>{para()}", f"{head}{para()}<p>{para()}"))
+        return f'<html>{top}<body data-y="1">{"".join(map(off, above))}{inner}{"".join(map(off, filter(None, below)))}</body></html>'
+    return f"<!DOCTYPE html><html>{top}<body>{''.join(above)}{main}{''.join(below)}</body></html>"
 
 
-def training_labels(source: str, page: Page) -> np.ndarray:
+def training_labels(page: Page) -> np.ndarray:
     """1 for the nodes of the main text: the nearest mark above says so."""
-    marks = [None]
-    for m in TOKEN.finditer(source):
-        name = (m[2] or m[5] or "").lower()
-        if name in STRUCTURE and not (m[1] or m[4]):
-            y = re.search(r'data-y="([01])"', m[3] or m[6] or "")
-            marks.append(int(y[1]) if y else None)
     out = np.zeros(len(page.tag))
     for i in range(1, len(page.tag)):
-        out[i] = out[page.parent[i]] if marks[i] is None else marks[i]
+        out[i] = out[page.parent[i]] if page.mark[i] is None else page.mark[i]
     return out
 
 
@@ -349,11 +387,10 @@ def model(params: ExtractParams) -> Boosted:
     r = random.Random(params.seed)
     xs, ys, ws = [], [], []
     for _ in range(params.pages):
-        source = training_page(r)
-        page = parse(source)
+        page = parse(training_page(r))
         x = features(page)
         xs.append(x)
-        ys.append(training_labels(source, page))
+        ys.append(training_labels(page))
         ws.append(weights(x))
     return boost(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws), params)
 

@@ -1,7 +1,11 @@
 import random
 
+import pytest
+
 from quernstone.llm.html_main import ExtractParams, decode, extract, features, model, parse, texts_of, training_labels, training_page, weights
 
+from .pages import PAGES
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=/>menu</a><li><a href=/b>more</a></ul></nav>
 <div class="ad">buy now, cheap.</div><article><h1>A&amp;B  title</h1><p>First &eacute; para.<p><b>Second
  line, with text.<br><p>Third one, here.</article><div id="comments"><p>I liked it, thanks.</p></div><footer>&copy; all</footer>"""
@@ -11,13 +15,18 @@ def test_the_article_is_kept_and_the_rest_not():
     assert texts_of([PAGE], model(ExtractParams())) == ["A&B title\nFirst é para.\nSecond line, with text.\nThird one, here."]
 
 
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(name):
+    html, text = PAGES[name]
+    assert texts_of([html], model(ExtractParams())) == [text]
+
+
 def test_unseen_layouts():
     boosted, r, exact = model(ExtractParams()), random.Random(4242), 0
     for _ in range(150):
-        source = training_page(r)
-        page = parse(source)
+        page = parse(training_page(r))
         x = features(page)
-        chosen, truth = decode(page, boosted.margin(x), weights(x)), training_labels(source, page)
+        chosen, truth = decode(page, boosted.margin(x), weights(x)), training_labels(page)
         text = lambda keep: [b for o, b, _ in page.runs if keep[o]]  # noqa: E731, B023
         exact += text(chosen) == text(truth)
         for i in range(1, len(page.tag)):  # never in again below a node that has left
