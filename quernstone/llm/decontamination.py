@@ -1,29 +1,34 @@
 """Benchmark decontamination by BM25 retrieval of test items, with block-max WAND.
 
-The items are indexed: postings by term in item order, cut into blocks that know their largest impact. Impacts are
-BM25 scores divided by the item's score for itself, so that one threshold fits all items. Every training text is
-cut into overlapping passages, each of them a query. The commonest terms, whose bounds together stay below a
-share of the threshold, cannot lift any item over it alone: a passage in which no item gets the rest from its other
-terms is skipped (the first pivot test, done for all passages of a batch at once). The others go through block-max WAND,
-which returns every item above the threshold. A retrieved item counts as found in the text only if enough word
-n-grams of its question and of its answer are in the passage.
-
-The index is broadcast, and its size is checked: items are dealt into shards of a bounded number, each shard is an
-index of its own, and every text is run against every shard. Nothing else moves: texts are neither shuffled nor
-collected. Term statistics are those of the shard.
+The items are indexed: postings by term in item order, cut into blocks of neighbouring items that know each term's
+largest impact. Impacts are BM25 scores divided by the item's score for itself, so that one threshold fits all items.
+Term statistics (how many items have a term, mean and greatest length) are those of all items, counted in Spark.
+
+Every training text is cut into overlapping passages, each of them a query; block-max WAND answers many passages at
+once. Shallow pass: the block maxima of a passage's terms bound what any item of a block can score; the commonest terms,
+whose bounds together stay below a share of the threshold, count with that share. Only blocks whose bound reaches the
+threshold are opened. Deep pass: the postings of opened blocks, those of the common terms included, are added up. Every
+item at the threshold or above is retrieved, none else. A retrieved item counts as found in the text only if enough
+word n-grams of its question and of its answer are in the passage.
+
+The index is dealt into shards bounded in items and in bytes, each built by a task from its own items and broadcast.
+A pass over the texts has at most ``resident`` shards; so texts are read once, or once for each so many shards of a very
+large benchmark. Results do not depend on the number of shards. Nothing else moves: texts are neither shuffled nor
+collected.
 
 An item's text has no marked parts: its last sentence counts as the answer, the sentences before it as the question
 (an item of one sentence is split in the middle).
 
-Edge cases: null or empty texts and items match nothing; items shorter than the n-gram are compared as a whole;
-repeated rows are each reported; further columns are ignored; an empty table gives an empty result.
+Edge cases: null or empty texts and items match nothing; items shorter than the n-gram are compared as a whole; texts
+shorter than an item are one passage; items that repeat an id are each searched for, and a text reports an id once;
+repeated texts are each reported; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import discard, materialize
+
 
 @dataclass(frozen=True)
 class LeakParams:
@@ -43,8 +50,10 @@ class LeakParams:
     question: float = 0.6  # share of the part's n-grams that must be in the passage
     answer: float = 0.6
     common: float = 0.15  # share of the threshold that the bounds of the commonest terms may add up to
-    block: int = 64  # postings a block
-    shard: int = 20_000  # items an index holds at most
+    block: int = 8  # items a block
+    shard: int = 20_000  # items an index holds
+    shard_mb: int = 32  # text that an index is made of
+    resident: int = 4  # indexes a pass over the texts has
 
 
 WORD = re.compile(r"[^\W_]+")
@@ -68,118 +77,81 @@ def ngrams(tokens: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))} if tokens else set()
 
 
-@dataclass
-class Posting:
-    items: list[int]
-    impacts: list[float]
-    ends: list[int]  # last item of each block
-    tops: list[float]  # largest impact of each block
-    top: float
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items of the benchmark."""
+
+    items: int
+    words: int
+    longest: int
 
 
 class Index:
-    """BM25 index of items; impacts are shares of an item's score for itself."""
+    """BM25 index of items; impacts are shares of an item's score for itself. ``df``: in how many of all items a term is."""
 
-    def __init__(self, items: list[tuple[int, str]], params: LeakParams) -> None:
-        self.params = params
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], every: Statistics, params: LeakParams) -> None:
+        self.params, self.longest = params, every.longest
         items = [(i, w, t) for i, t in sorted(items) if (w := words(t))]
         self.ids = [i for i, _, _ in items]
         self.parts = [tuple(ngrams(x, params.ngram) for x in parts(t)) for _, _, t in items]
-        self.longest = max((len(w) for _, w, _ in items), default=1)
-        tf = [Counter(w) for _, w, _ in items]
-        df = Counter(t for c in tf for t in c)
-        n, mean = len(items), sum(len(w) for _, w, _ in items) / max(1, len(items))
-        postings: dict[str, list[tuple[int, float]]] = {}
-        for d, c in enumerate(tf):
-            norm = params.k1 * (1 - params.b + params.b * sum(c.values()) / mean)
-            own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (params.k1 + 1) / (f + norm) for t, f in c.items()}
+        mean = every.words / max(1, every.items)
+        rows: list[tuple[str, int, float]] = []
+        for d, (_, w, _) in enumerate(items):
+            norm = params.k1 * (1 - params.b + params.b * len(w) / mean)
+            own = {t: math.log(1 + (every.items - df[t] + 0.5) / (df[t] + 0.5)) * f * (params.k1 + 1) / (f + norm) for t, f in Counter(w).items()}
             whole = sum(own.values())
-            for t, s in own.items():
-                postings.setdefault(t, []).append((d, s / whole))
-        self.terms = {t: i for i, t in enumerate(sorted(postings))}
-        self.postings = [self._posting(postings[t]) for t in sorted(postings)]
-        self._split()
-        self.seen = Terms(self.terms)
-
-    def _split(self) -> None:
-        """Common terms, by rising bound while these add up to a share of the threshold; postings of the others as arrays."""
-        tops = np.array([p.top for p in self.postings])
+            rows += [(t, d, s / whole) for t, s in own.items()]
+        rows.sort(key=lambda r: r[:2])
+        self.terms = {t: i for i, t in enumerate(dict.fromkeys(r[0] for r in rows))}
+        term = np.array([self.terms[r[0]] for r in rows], dtype=np.int64)
+        self.item, self.impact = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows])
+        # blocks of postings: of one term, in one run of items
+        start = np.flatnonzero(np.diff(term * (len(items) + 1) + self.item // params.block, prepend=-1))
+        self.start, self.end = start, np.append(start[1:], len(rows))
+        self.block = self.item[start] // params.block
+        self.top = np.maximum.reduceat(self.impact, start) if len(rows) else np.zeros(0)
+        self.first = np.searchsorted(term[start], np.arange(len(self.terms) + 1))
+        self.blocks = -(-len(items) // params.block)
+        tops = np.maximum.reduceat(self.top, self.first[:-1]) if len(rows) else np.zeros(0)
         order = np.argsort(tops, kind="stable")
-        common = order[np.cumsum(tops[order]) < self.params.threshold * self.params.common]
+        common = order[np.cumsum(tops[order]) < params.threshold * params.common]
+        self.common = np.zeros(len(self.terms), bool)
+        self.common[common] = True
         self.rest = float(tops[common].sum())
-        sizes = np.array([len(p.items) for p in self.postings], dtype=np.int64)
-        sizes[common] = 0
-        lists = [p for p, n in zip(self.postings, sizes, strict=True) if n]
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.flat_items = np.array([d for p in lists for d in p.items], dtype=np.int64)
-        self.flat_impacts = np.array([x for p in lists for x in p.impacts])
-
-    def _posting(self, p: list[tuple[int, float]]) -> Posting:
-        size = self.params.block
-        blocks = [p[i : i + size] for i in range(0, len(p), size)]
-        return Posting([d for d, _ in p], [s for _, s in p], [b[-1][0] for b in blocks], [max(s for _, s in b) for b in blocks], max(s for _, s in p))
-
-    def search(self, query: set[int], threshold: float) -> list[int]:
-        """Items whose impacts of the query's terms add up to the threshold: block-max WAND."""
-        lists = [[0, t] for t in query]  # cursor, term
-        posts, last, out = self.postings, len(self.ids), []
-        at = lambda x: posts[x[1]].items[x[0]] if x[0] < len(posts[x[1]].items) else last
-        while True:
-            lists = sorted((x for x in lists if at(x) < last), key=at)
-            bound, pivot = 0.0, None
-            for i, x in enumerate(lists):
-                bound += posts[x[1]].top
-                if bound >= threshold - 1e-9:
-                    pivot = i
-                    break
-            if pivot is None:
-                return out
-            item = at(lists[pivot])
-            while pivot + 1 < len(lists) and at(lists[pivot + 1]) == item:
-                pivot += 1
-            tight, jump = 0.0, last
-            for x in lists[: pivot + 1]:
-                p = posts[x[1]]
-                b = bisect_left(p.ends, item)
-                if b < len(p.ends):
-                    tight += p.tops[b]
-                    jump = min(jump, p.ends[b] + 1)
-            if tight < threshold - 1e-9:  # no item up to the end of these blocks can reach it
-                if pivot + 1 < len(lists):
-                    jump = min(jump, at(lists[pivot + 1]))
-                for x in lists[: pivot + 1]:
-                    x[0] = bisect_left(posts[x[1]].items, max(jump, item + 1), x[0])
-                continue
-            if at(lists[0]) == item:
-                if sum(posts[x[1]].impacts[x[0]] for x in lists if at(x) == item) >= threshold - 1e-9:
-                    out.append(item)
-                for x in lists:
-                    if at(x) == item:
-                        x[0] += 1
-            else:
-                for x in lists[:pivot]:
-                    x[0] = bisect_left(posts[x[1]].items, item, x[0])
-
-    def passages(self, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which of the passages [start, end) some item may reach the threshold in."""
-        out = np.zeros(len(starts), dtype=bool)
-        n = len(self.ids)
-        batch = max(1, 4_000_000 // n)
-        for low in range(0, len(starts), batch):
-            s, e = starts[low : low + batch], ends[low : low + batch]
-            sizes = e - s
-            own = np.repeat(np.arange(len(s)), sizes)
-            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(s, sizes)
-            t = terms[at]
-            keep = t >= 0
-            keep[keep] = self.first[t[keep] + 1] > self.first[t[keep]]
-            once = np.unique(own[keep] * len(self.terms) + t[keep])
-            own, t = once // len(self.terms), once % len(self.terms)
-            first, count = self.first[t], self.first[t + 1] - self.first[t]
-            flat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-            sums = np.bincount(np.repeat(own, count) * n + self.flat_items[flat], self.flat_impacts[flat], len(s) * n)
-            out[low : low + batch] = sums.reshape(len(s), n).max(1) + self.rest >= self.params.threshold - 1e-9
-        return out
+        self.seen = Terms(self.terms)
+
+    def search(self, owner: np.ndarray, term: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) of all items whose impacts add up to the threshold; ``owner``, ``term``: the passages' distinct terms."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        batch = max(1, 2_000_000 // max(1, self.blocks))  # bounds held at once
+        for low in range(0, passages, batch):
+            a, b = np.searchsorted(owner, [low, low + batch])
+            out.append(self._batch(owner[a:b] - low, term[a:b], min(batch, passages - low)))
+            out[-1] = (out[-1][0] + low, out[-1][1])
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def _batch(self, owner: np.ndarray, term: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
+        least = self.params.threshold - 1e-9
+        rare = ~self.common[term]
+        own, at = self._blocks_of(owner[rare], term[rare])
+        bound = np.bincount(own * self.blocks + self.block[at], self.top[at], passages * self.blocks)
+        open_ = bound + self.rest >= least  # the pivots
+        hit = open_.reshape(passages, -1).any(1)
+        more = ~rare & hit[owner]
+        own2, at2 = self._blocks_of(owner[more], term[more])
+        own, at = np.concatenate([own, own2]), np.concatenate([at, at2])
+        keep = open_[own * self.blocks + self.block[at]]
+        own, at = own[keep], at[keep]
+        count = self.end[at] - self.start[at]
+        post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.start[at], count)
+        key, back = np.unique(np.repeat(own, count) * len(self.ids) + self.item[post], return_inverse=True)
+        key = key[np.bincount(back, self.impact[post], len(key)) >= least]
+        return key // len(self.ids), key % len(self.ids)
+
+    def _blocks_of(self, owner: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The posting blocks of the terms, with the passage that asks for each."""
+        count = self.first[term + 1] - self.first[term]
+        return np.repeat(owner, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[term], count)
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
         """For each text, (item id, question overlap, answer overlap) of the items found in it."""
@@ -205,11 +177,18 @@ class Index:
                 size += len(real)
                 high += 1
             terms, starts, ends, owner = map(np.concatenate, (all_terms, starts, ends, owner))
-            for p in np.flatnonzero(self.passages(terms, starts, ends)):
+            sizes = ends - starts
+            mine = np.repeat(np.arange(len(starts)), sizes)
+            t = terms[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)]
+            once = np.unique((mine * len(self.terms) + t)[t >= 0])
+            passage, item = self.search(once // len(self.terms), once % len(self.terms), len(starts))
+            ends_at = np.append(np.flatnonzero(np.diff(passage)) + 1, len(passage))
+            at_hit = 0
+            for stop in ends_at if len(passage) else ():
+                p = passage[at_hit]
                 at, chunks, real = chunked[owner[p]]
-                hits = self.search({int(t) for t in terms[starts[p] : ends[p]] if t >= 0}, self.params.threshold)
-                if hits:
-                    self._verify(hits, words(" ".join(chunks[i] for i in real[starts[p] - at : ends[p] - at])), out[owner[p]])
+                self._verify(item[at_hit:stop].tolist(), words(" ".join(chunks[i] for i in real[starts[p] - at : ends[p] - at])), out[owner[p]])
+                at_hit = stop
             low = high
         return [sorted({i: (i, q, a) for i, q, a in sorted(found)}.values()) for found in out]
 
@@ -239,26 +218,68 @@ class Terms(dict):
         return Terms, (self.terms,)
 
 
-def shards(items: DataFrame, params: LeakParams) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of a bounded size; one list is on the driver at a time."""
-    own = items.select("item_id", "text").where("item_id is not null and text is not null")
-    n = math.ceil(own.count() / params.shard)
-    for i in range(n):
-        part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else own
-        yield [(int(r.item_id), r.text) for r in part.collect()]
+def shards(spark: SparkSession, items: DataFrame, params: LeakParams) -> Iterator[list]:
+    """Broadcast indexes of all items, in lists of at most ``resident``."""
+    own = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    count, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, math.ceil(count / params.shard), math.ceil(size / (params.shard_mb * 1_000_000)))
+    own = own.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [words(t) for t in b["text"]]
+            rows = [(s, t, len(w) if i == 0 else 0) for s, w in zip(b["shard"], made, strict=True) for i, t in enumerate(sorted(set(w)))]
+            yield pd.DataFrame(rows, columns=["shard", "term", "length"])
+
+    # a row for each item and term; the first of an item has its length
+    terms = materialize(spark, own.select("shard", "text").mapInPandas(tokens, "shard long, term string, length long"), "terms")
+    lengths = terms.where("length > 0").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(1))).first()
+    every = Statistics(*map(int, lengths))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    each = terms.select("shard", "term").distinct().join(df, "term")
+
+    def build(shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard):
+            return pd.DataFrame({"shard": [], "index": []})
+        index = Index(list(zip(shard["item_id"].tolist(), shard["text"], strict=True)), dict(zip(known["term"], known["df"], strict=True)), every, params)
+        return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "index": [pickle.dumps(index)]})
+
+    built = own.groupBy("shard").cogroup(each.groupBy("shard")).applyInPandas(build, "shard long, index binary")
+    built = materialize(spark, built, "indexes")
+    discard(spark, terms)
+    for low in range(0, n, params.resident):
+        part = built.where(F.col("shard").between(low, low + params.resident - 1)).select("index")
+        found = [spark.sparkContext.broadcast(bytes(r["index"])) for r in part.toLocalIterator()]
+        if found:
+            yield found
+
+
+class Loaded:
+    """The indexes of a pass, unpacked once in each worker."""
+
+    def __init__(self, shared: list) -> None:
+        self.shared, self.indexes = shared, None
+
+    def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
+        if self.indexes is None:
+            self.indexes = [pickle.loads(b.value) for b in self.shared]
+        found = [index.leaks(texts) for index in self.indexes]
+        return [sorted({x[0]: x for f in each for x in f}.values()) for each in zip(*found, strict=True)]
+
+    def __reduce__(self):
+        return Loaded, (self.shared,)
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """doc_id, item_id, question_overlap, answer_overlap of every item found in a text of ``docs`` (doc_id, text)."""
     schema = "doc_id long, item_id long, question_overlap double, answer_overlap double"
     out = None
-    for part in shards(items, params):
-        shared = spark.sparkContext.broadcast(Index(part, params))
+    for shared in shards(spark, items, params):
+        loaded = Loaded(shared)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+        def run(batches: Iterator[pd.DataFrame], loaded=loaded) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(None if pd.isna(i) else int(i), *x) for i, found in zip(b["doc_id"], index.leaks(list(b["text"])), strict=True) for x in found]
+                rows = [(None if pd.isna(i) else int(i), *x) for i, found in zip(b["doc_id"], loaded.leaks(list(b["text"])), strict=True) for x in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "int64", "question_overlap": float, "answer_overlap": float})
 
         found = docs.select("doc_id", "text").mapInPandas(run, schema)
@@ -268,17 +289,15 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, params: L
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they were."""
-    for part in shards(items, params):
-        docs = docs.where(_clean(spark, Index(part, params))("text"))
+    for shared in shards(spark, items, params):
+        docs = docs.where(_clean(Loaded(shared))("text"))
     return docs
 
 
-def _clean(spark: SparkSession, index: Index):
-    shared = spark.sparkContext.broadcast(index)
-
+def _clean(loaded: Loaded):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([not x for x in shared.value.leaks(list(texts))], dtype=bool)
+            yield pd.Series([not x for x in loaded.leaks(list(texts))], dtype=bool)
 
     return clean
