@@ -117,29 +117,29 @@ def cells(spark: SparkSession, classes: DataFrame, params: NearDupParams) -> Dat
     ordered; ``region``: null, or of which region at full depth the cell is a part."""
     wide = params.depth * 2
     orders = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), F.substring("sig", t * wide + 1, wide).alias("own")) for t in range(params.trees)])
-    open_ = classes.select("id", F.explode(orders).alias("o")).select("id", "o.tree", "o.own")
-    total = classes.count() * params.trees
-    out, scratch = None, []
-    for depth in range(params.least, params.depth + 1):
-        here = open_.withColumn("region", F.xxhash64(F.lit(depth), "tree", F.substring("own", 1, depth * 2)))
-        sizes = materialize(spark, here.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
-        members = materialize(spark, join_hot(here, sizes, "region", total), "members")
-        discard(spark, sizes)
-        scratch.append(members)
-        crowded = members.where(F.col("n") > params.region)
-        none = F.lit(None).cast("long").alias("region")
-        found = members.where(F.col("n") <= params.region).select(F.col("region").alias("cell"), "id", "own", none)
-        if depth == params.depth:
-            parts = F.ceil(F.col("n") / params.region)
-            found = found.unionByName(crowded.select(F.xxhash64("region", F.pmod(F.xxhash64("id", "tree"), parts)).alias("cell"), "id", "own", "region"))
-        out = found if out is None else out.unionByName(found)
-        total = crowded.count()
-        if not total:
-            break
-        open_ = crowded.select("id", "tree", "own")
+    every = classes.select("id", F.explode(orders).alias("o")).select("id", "o.tree", "o.own")
+    region = lambda depth: F.xxhash64(F.lit(depth), "tree", F.substring("own", 1, depth * 2))
+    here = every.withColumn("region", region(params.least))
+    sizes = materialize(spark, here.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
+    members = materialize(spark, join_hot(here, sizes, "region", classes.count() * params.trees), "members")
+    none = F.lit(None).cast("long").alias("region")
+    out = members.where(F.col("n") <= params.region).select(F.col("region").alias("cell"), "id", "own", none)
+    crowded = members.where(F.col("n") > params.region)
+    total = crowded.count()
+    if total and params.depth > params.least:
+        # the classes of crowded regions: the sizes of all deeper regions at once, then the first that is not crowded
+        deeper = F.array(*[F.struct(F.lit(d).alias("depth"), region(d).alias("region")) for d in range(params.least + 1, params.depth + 1)])
+        below = crowded.select("id", "tree", "own", F.explode(deeper).alias("d")).select("id", "tree", "own", "d.depth", "d.region")
+        sizes = materialize(spark, below.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
+        placed = join_hot(below, sizes, "region", total * (params.depth - params.least), how="left").withColumn("n", F.coalesce("n", F.lit(1)))
+        fits = placed.where((F.col("n") <= params.region) | (F.col("depth") == params.depth))
+        crowded = fits.groupBy("id", "tree").agg(F.min(F.struct("depth", "region", "n", "own")).alias("p")).select("id", "tree", "p.region", "p.n", "p.own").where("n > 1")
+        crowded = materialize(spark, crowded, "deep")
+        out = out.unionByName(crowded.where(F.col("n") <= params.region).select(F.col("region").alias("cell"), "id", "own", none))
+    dealt = F.xxhash64("region", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / params.region)))
+    out = out.unionByName(crowded.where(F.col("n") > params.region).select(dealt.alias("cell"), "id", "own", "region"))
     made = materialize(spark, out, "cells")
-    for df in scratch:
-        discard(spark, df)
+    discard(spark, members)
     return made
 
 
@@ -215,7 +215,8 @@ def asked(rows: DataFrame, params: NearDupParams) -> DataFrame:
 
 
 def confirm(i: np.ndarray, j: np.ndarray, lcp: np.ndarray, same: np.ndarray, sets: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links among the candidate pairs, longest common prefix first; what is connected already is skipped."""
+    """Components by confirmed links among the candidate pairs, longest common prefix first, as links of each row with
+    the first of its own; what is connected already is skipped."""
     order = np.lexsort((-same, -lcp))
     parent: dict[int, int] = {}
 
@@ -225,7 +226,8 @@ def confirm(i: np.ndarray, j: np.ndarray, lcp: np.ndarray, same: np.ndarray, set
             a = parent[a]
         return a
 
-    links = []
+    first = np.unique(root, return_index=True)  # a row that stands for each component known so far
+    stands = dict(zip(first[0].tolist(), first[1].tolist(), strict=True))
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         a, b = find(int(root[x])), find(int(root[y]))
         if a == b:
@@ -233,12 +235,11 @@ def confirm(i: np.ndarray, j: np.ndarray, lcp: np.ndarray, same: np.ndarray, set
         inter = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         if 100 * inter >= percent * (len(sets[x]) + len(sets[y]) - inter):
             parent[max(a, b)] = min(a, b)
-            links.append((x, y))
-    return links
+    return [(stands[find(a)], stands[a]) for a in parent if find(a) != a]
 
 
 def cell_links(rows: DataFrame, by: list[str], params: NearDupParams) -> DataFrame:
-    """Confirmed links (a, b) of each cell; ``rows``: the columns ``by``, id, own, sketch, root, set, and to_all: whether
+    """Links (a, b) of each cell's components, a star each; ``rows``: the columns ``by``, id, own, sketch, root, set, and to_all: whether
     a class is to be compared with all others or only with those of which this is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +312,7 @@ def with_sketches(classes: DataFrame) -> DataFrame:
 
 
 def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, params: NearDupParams) -> DataFrame:
-    """(id, root) of the classes that are not their component's smallest id."""
+    """(id, root) of the classes that are linked; root: a class that stands for the component (for which there may be no row)."""
     forest = cells(spark, classes, params)
     info = materialize(spark, with_sketches(classes.join(forest.select("id").distinct(), "id", "left_semi")), "info")
     sets = materialize(spark, shingle_sets(docs, info, params), "sets")
@@ -330,7 +331,10 @@ def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, p
         rows = open_.join(looks.select("id", "sketch"), "id").join(sets, "id").withColumn("to_all", F.lit(True))
         found = materialize(spark, cell_links(rows.drop("region"), ["cell"], params), "confirmed")
         links = found if links is None else links.unionByName(found)
-        roots = components(spark, links).select(F.col("node").alias("id"), "root")
+        if not sweep:  # each class was in one cell only: its star there is all of its component
+            roots = found.select(F.col("b").alias("id"), F.col("a").alias("root"))
+        elif not found.isEmpty():
+            roots = components(spark, links).select(F.col("node").alias("id"), "root")
     more = region_links(spark, forest, looks, sets, roots, params)
     if more is not None:
         roots = components(spark, links.unionByName(more)).select(F.col("node").alias("id"), "root")
@@ -341,6 +345,8 @@ def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, p
 
 def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets: DataFrame, roots: DataFrame, params: NearDupParams) -> DataFrame | None:
     """Links within regions of several cells: what isn't in a region's largest component is compared with all of it."""
+    if forest.where("region is not null").isEmpty():
+        return None
     dealt = forest.where("region is not null").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = dealt.groupBy("region", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
