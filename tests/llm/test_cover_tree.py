@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from quernstone.llm.cover_tree import CoverParams, vector_groups
 
@@ -41,9 +42,47 @@ def test_against_brute_force(spark):
                     a, b = find(i), find(j)
                     parent[max(a, b)] = min(a, b)
     vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, n int, unit string").repartition(3)
-    for params in (CoverParams(), CoverParams(block=16, pivots=3)):
+    for params in (CoverParams(), CoverParams(block=16, pivots=3, leaf=2, centres=8, piece=5)):
         got = vector_groups(spark, vectors, params).collect()
         assert len(got) == len(rows)
         assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == {i: (links[i], find(i)) for i in parent}
         assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert vector_groups(spark, vectors.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    e = [float(i == 0) for i in range(8)], [float(i == 1) for i in range(8)]
+    rows = [(1, e[0], 0), (1, e[1], 0), (2, e[1], 0), (3, [1.0, 0.01, *e[0][2:]], 0), (4, e[0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_groups(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_many_vectors_against_numpy(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(300, 32))
+    x = np.concatenate([r.normal(size=(8_000, 32)), centres[r.integers(0, 300, 12_000)] + r.normal(size=(12_000, 32)) * r.choice([0.02, 0.1, 0.2, 0.3], 12_000)[:, None]]).astype("f4")
+    label = r.choice(4, len(x), p=[0.6, 0.2, 0.15, 0.05])
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want, parent = np.zeros(len(x), int), list(range(len(x)))
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for k in range(4):
+        at = np.flatnonzero(label == k)
+        for low in range(0, len(at), 500):
+            hit = u[at[low : low + 500]] @ u[at].T >= 0.93
+            want[at[low : low + 500]] = hit.sum(1) - 1
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                a, b = find(at[low + i]), find(at[j])
+                parent[max(a, b)] = min(a, b)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float32())), "label": label})
+    vectors = spark.createDataFrame(table)
+    assert want.sum() > 100_000
+    for params in (CoverParams(), CoverParams(block=512)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vector_groups(spark, vectors, params).collect()}
+        assert got == {i: (want[i], find(i)) for i in range(len(x))}
