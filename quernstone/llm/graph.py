@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import discard, join_hot, materialize
@@ -26,12 +26,12 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_hot(e.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", 2 * before[0])
-        large = materialize(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, smallest, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = materialize(spark, small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # from here on a node has a row for each of its components' minima so far: few after the first round
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        nxt = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        nxt = materialize(spark, nxt, "links")
         discard(spark, e)
-        discard(spark, large)
         e, now = nxt, mark(nxt)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -9,7 +9,7 @@
 3. Sweeps: within a cell, which is in the tree's order, every class meets its neighbours with the longest common prefix.
    Pairs of classes of different components whose sketches agree too little to reach the threshold (four standard
    errors off) are left out. The first two sweeps take each class to one of its cells only, so that its shingle set
-   moves once; the last takes what is still open to all of its cells. Pairs are confirmed on full sets, longest
+   moves once; the last takes each pair that is still open to one of its cells. Pairs are confirmed on full sets, longest
    common prefix first; what is connected already is skipped.
 4. Regions that were dealt into cells: what isn't in the region's largest component yet is compared with all of the
    region, part by part. Nothing is capped: crowded regions cost more depth, cells or parts.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ class NearDupParams:
     trees: int = 20
     depth: int = 7
     least: int = 3  # minima that a region's members share
+    deeper: int = 2  # minima more that those of a crowded region share
     region: int = 128  # classes that a region may hold before it goes deeper, and a cell
-    sweeps: int = 3
     broadcast_mb: int = 64  # ids above this estimate are joined by a shuffle
 
     @property
@@ -128,10 +129,11 @@ def cells(spark: SparkSession, classes: DataFrame, params: NearDupParams) -> Dat
     total = crowded.count()
     if total and params.depth > params.least:
         # the classes of crowded regions: the sizes of all deeper regions at once, then the first that is not crowded
-        deeper = F.array(*[F.struct(F.lit(d).alias("depth"), region(d).alias("region")) for d in range(params.least + 1, params.depth + 1)])
+        depths = [*range(params.least + params.deeper, params.depth, params.deeper), params.depth]
+        deeper = F.array(*[F.struct(F.lit(d).alias("depth"), region(d).alias("region")) for d in depths])
         below = crowded.select("id", "tree", "own", F.explode(deeper).alias("d")).select("id", "tree", "own", "d.depth", "d.region")
         sizes = materialize(spark, below.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
-        placed = join_hot(below, sizes, "region", total * (params.depth - params.least), how="left").withColumn("n", F.coalesce("n", F.lit(1)))
+        placed = join_hot(below, sizes, "region", total * len(depths), how="left").withColumn("n", F.coalesce("n", F.lit(1)))
         fits = placed.where((F.col("n") <= params.region) | (F.col("depth") == params.depth))
         crowded = fits.groupBy("id", "tree").agg(F.min(F.struct("depth", "region", "n", "own")).alias("p")).select("id", "tree", "p.region", "p.n", "p.own").where("n > 1")
         crowded = materialize(spark, crowded, "deep")
@@ -202,16 +204,37 @@ def _stacked(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
 
 
 def asked(rows: DataFrame, params: NearDupParams) -> DataFrame:
-    """(cell, id, own, region, root) of the classes that have a candidate of another component in a cell; ``rows``: these, sketch, size."""
+    """(cell, id, own, root) of the classes that have a candidate of another component in a cell; ``rows``: these, sketch, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_runs(batches, ["cell"]):
-            i, j = within(group_ends(t, ["cell"]))
-            i, j, _ = candidates(i, j, _stacked(t.column("sketch"), "u1"), t.column("size").to_numpy(), t.column("root").to_numpy(), params)
-            keep = pa.array(np.unique(np.concatenate([i, j])))
-            yield from t.select(["cell", "id", "own", "region", "root"]).take(keep).combine_chunks().to_batches()
+            i, j = _candidates_of(t, params)
+            yield from t.select(["cell", "id", "own", "root"]).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, id long, own binary, region long, root long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, id long, own binary, root long")
+
+
+def asked_pairs(rows: DataFrame, params: NearDupParams) -> DataFrame:
+    """As ``asked``, but of all cells that a pair of candidates shares each class goes only to the one of the lowest hash."""
+    columns = ["id", "own", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_runs(batches, ["cell"]):
+            i, j = map(pa.array, _candidates_of(t, params))
+            sides = [t.column("cell").take(i), *(t.column(c).take(k) for k in (i, j) for c in columns)]
+            yield from pa.Table.from_arrays(sides, names=["cell", *(f"{c}{k}" for k in "ab" for c in columns)]).combine_chunks().to_batches()
+
+    schema = "cell long, " + ", ".join(f"id{k} long, own{k} binary, root{k} long" for k in "ab")
+    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+    low, high = F.least("ida", "idb"), F.greatest("ida", "idb")
+    sides = F.array(*[F.struct(F.col(f"id{k}").alias("id"), F.col(f"own{k}").alias("own"), F.col(f"root{k}").alias("root")) for k in "ab"])
+    one = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct(F.xxhash64("cell").alias("h"), "cell", sides.alias("sides"))).alias("o"))
+    return one.select("o.cell", F.explode("o.sides").alias("x")).select("cell", "x.id", "x.own", "x.root").distinct()
+
+
+def _candidates_of(t: pa.Table, params: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
+    i, j = within(group_ends(t, ["cell"]))
+    return candidates(i, j, _stacked(t.column("sketch"), "u1"), t.column("size").to_numpy(), t.column("root").to_numpy(), params)[:2]
 
 
 def confirm(i: np.ndarray, j: np.ndarray, lcp: np.ndarray, same: np.ndarray, sets: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -317,32 +340,47 @@ def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, p
     info = materialize(spark, with_sketches(classes.join(forest.select("id").distinct(), "id", "left_semi")), "info")
     sets = materialize(spark, shingle_sets(docs, info, params), "sets")
     looks = info.select("id", "sketch", "size")
-    links = roots = None
-    for sweep in range(params.sweeps):
+    links, labels = [], None
+    for sweep in range(3):
         placed = forest.withColumn("root", F.col("id"))
-        if roots is not None:
-            mixed = forest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        if labels is not None:
+            mixed = forest.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
             kinds = mixed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
             placed = mixed.join(kinds, "cell", "left_semi")
-        open_ = asked(placed.join(looks, "id"), params)
-        if sweep < params.sweeps - 1:  # one cell for each class: that of the lowest hash, so that classes of a group choose alike
+        placed = placed.join(looks, "id")
+        if sweep < 2:  # one cell for each class: that of the lowest hash, so that classes of a group choose alike
             choice = F.struct(F.xxhash64("cell", F.lit(sweep)).alias("h"), "cell", "own", "root")
-            open_ = open_.groupBy("id").agg(F.min(choice).alias("o")).select("id", "o.cell", "o.own", "o.root")
+            open_ = asked(placed, params).groupBy("id").agg(F.min(choice).alias("o")).select("id", "o.cell", "o.own", "o.root")
+        else:
+            open_ = asked_pairs(placed, params)
         rows = open_.join(looks.select("id", "sketch"), "id").join(sets, "id").withColumn("to_all", F.lit(True))
-        found = materialize(spark, cell_links(rows.drop("region"), ["cell"], params), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        if not sweep:  # each class was in one cell only: its star there is all of its component
-            roots = found.select(F.col("b").alias("id"), F.col("a").alias("root"))
-        elif not found.isEmpty():
-            roots = components(spark, links).select(F.col("node").alias("id"), "root")
-    more = region_links(spark, forest, looks, sets, roots, params)
-    if more is not None:
-        roots = components(spark, links.unionByName(more)).select(F.col("node").alias("id"), "root")
+        links.append(materialize(spark, cell_links(rows, ["cell"], params), "confirmed"))
+        star = links[-1].select(F.col("b").alias("id"), F.col("a").alias("root"))
+        if sweep == 0:  # each class was in one cell only: its star is all of its component
+            labels = star
+        elif sweep == 1:
+            labels = materialize(spark, merged(labels, star), "labels")
+    every = reduce(DataFrame.unionByName, links)
+    more = region_links(spark, forest, looks, sets, labels, params)
+    roots = components(spark, every if more is None else every.unionByName(more)).select(F.col("node").alias("id"), "root")
     for df in (forest, info, sets):
         discard(spark, df)
     return roots
 
 
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, root) from two sets of stars (id, root) of at most a cell each, the second between members of the first's:
+    classes with one root are connected. Two steps from star to star, not all of them; the rest is left to ``components``."""
+    ids = first.select("id").unionByName(first.select(F.col("root").alias("id"))).unionByName(second.select("id")).unionByName(second.select(F.col("root").alias("id"))).distinct()
+    both = ids.join(first.withColumnRenamed("root", "_a"), "id", "left").join(second.withColumnRenamed("root", "_b"), "id", "left")
+    both = both.select("id", F.coalesce("_a", "id").alias("a"), F.coalesce("_b", "id").alias("b"))
+    by_a = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("x"))
+    near = both.join(by_a, "a")
+    by_b = near.groupBy("b").agg(F.min("x").alias("y"))
+    last = near.join(by_b, "b").groupBy("a").agg(F.min("y").alias("root"))
+    return both.join(last, "a").select("id", "root")
+
+
 def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets: DataFrame, roots: DataFrame, params: NearDupParams) -> DataFrame | None:
     """Links within regions of several cells: what isn't in a region's largest component is compared with all of it."""
     if forest.where("region is not null").isEmpty():
