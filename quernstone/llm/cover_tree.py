@@ -190,7 +190,10 @@ def vector_groups(spark: SparkSession, vectors: DataFrame, params: CoverParams =
 
     by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("vector"), "id")
     pivots = classes.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= params.pivots)
-    pivots = pivots.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "vector"))).alias("pivots"))  # a few a label
+    # no more cells than the label has blocks: what smaller ones would save in cosines, they would cost in copies
+    sizes = classes.groupBy(*group).agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
+    pivots = pivots.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "vector"))).alias("pivots")).join(sizes, group)  # a few a label
+    pivots = pivots.select(*group, F.slice("pivots", F.lit(1), F.least("blocks", F.lit(params.pivots))).alias("pivots"))
 
     @F.pandas_udf("cell int, away double")
     def assign(x: pd.Series, p: pd.Series, dims: pd.Series) -> pd.DataFrame:
