@@ -18,15 +18,15 @@ SHORT_SUFFIXES = "ments ment ingly edly ation ities ity ing ers ies ed es s".spl
 
 #: Fixed value: names of languages that end the path of a translated page.
 TRANSLATED_SUFFIX = (
-    "-(arabic|bengali|bulgarian|chinese|croatian|czech|danish|dutch|estonian|finnish|french|german|greek|hindi|"
+    "-(?:arabic|bengali|bulgarian|chinese|croatian|czech|danish|dutch|estonian|finnish|french|german|greek|hindi|"
     "hungarian|irish|italian|latvian|lithuanian|maltese|polish|portuguese|romanian|russian|slovak|slovenian|"
-    "spanish|swedish|tagalog|turkish)($|/)"
+    "spanish|swedish|tagalog|turkish)(?:$|/)"
 )
 
 #: Fixed value: the same for sources of an answer.
 TRANSLATED_SOURCE = (
-    "(?i)(^|[-/])(arabic|bengali|burmese|chinese|dari|farsi|french|haitian-creole|hindi|korean|pashto|portuguese|"
-    "punjabi|russian|somali|spanish|tagalog|urdu|vietnamese)-translation(/|$)"
+    "(?i)(?:^|[-/])(?:arabic|bengali|burmese|chinese|dari|farsi|french|haitian-creole|hindi|korean|pashto|portuguese|"
+    "punjabi|russian|somali|spanish|tagalog|urdu|vietnamese)-translation(?:/|$)"
 )
 
 #: Domains whose pages may be cited, and the label of each.
@@ -39,8 +39,8 @@ SENSITIVE_PATTERNS = {
     "a_number": r"(?i)(^|[^A-Za-z0-9_])A[-\s]?[0-9]{7,9}($|[^A-Za-z0-9_])",
     "receipt": r"(?i)(^|[^A-Za-z0-9_])[A-Z]{3}[0-9]{10}($|[^A-Za-z0-9_])",
     "ssn": r"(^|[^A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^A-Za-z0-9_])",
-    "card": r"(^|[^A-Za-z0-9_])([0-9][ -]*){12,18}[0-9]($|[^A-Za-z0-9_])",
-    "passport": r"(?i)(^|[^A-Za-z0-9_])(passport|pasaporte|passeport|passaporto|pasaport|reisepass)\s*(number|numero|num|n[uú]mero|no\.?)?\s*[:#-]?\s*[A-Z0-9]{6,12}($|[^A-Za-z0-9_])",
+    "card": r"(^|[^A-Za-z0-9_])(?:[0-9][ -]*?){13,19}($|[^A-Za-z0-9_])",
+    "passport": r"(?i)(^|[^A-Za-z0-9_])(?:passport|pasaporte|passeport|passaporto|pasaport|reisepass)\s*(?:number|no\.?|num(?:ber|ero)?|n[uú]mero)?\s*[:#-]?\s*[A-Z0-9]{6,12}($|[^A-Za-z0-9_])",
 }
 
 # --- parameters --------------------------------------------------------------------------------------------------
@@ -58,6 +58,7 @@ class Bm25Params:
     preferred: float = 40.0
     url_boosts: tuple[tuple[str, float], ...] = (("/policy-manual/", 4.0), ("/forms/", 2.0), ("/newsroom/", -3.0))
     translated: float = -25.0
+    broadcast_terms: int = 200_000  # query terms above which they are joined by a shuffle
     per_page: int = 2
     excerpt: int = 2000
 

@@ -1,13 +1,15 @@
 """Normalisation, tokens and stems.
 
-Spark has no Unicode normalisation, so that one step is an Arrow-batched pandas UDF over the distinct characters'
-decompositions; folding, cleaning, splitting and stemming are built-in expressions. Null texts count as empty.
+Spark has no Unicode normalisation. For texts of Latin letters a translation of single characters does the same; others
+take that one step in an Arrow-batched pandas UDF, to which the rest goes as null. Folding, cleaning, splitting and
+stemming are built-in expressions. Null texts count as empty.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,13 +22,32 @@ def _decomposed(form: str):
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: t if t.isascii() else unicodedata.normalize(form, t))
+            yield texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
     return run
 
 
+@cache
+def _latin() -> tuple[str, str, str]:
+    """Lower-case Latin letters with marks, the letter of each without, and other signs below U+2100 that no form changes."""
+    marked, plain, same = [], [], []
+    for c in map(chr, [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2030)]):
+        both = {unicodedata.normalize(f, c) for f in ("NFD", "NFKD")}
+        if both == {c}:
+            same.append(c)
+        elif len(both) == 1 and len(d := both.pop()) > 1 and d[0].isascii() and all("\u0300" <= m <= "\u036f" for m in d[1:]):
+            marked.append(c)
+            plain.append(d[0])
+    return "".join(marked), "".join(plain), "".join(same)
+
+
 def _folded(text: Column, form: str) -> Column:
-    return _decomposed(form)(F.lower(F.coalesce(text.cast("string"), F.lit(""))))
+    """Lower case and decomposed. Marks of Latin letters are dropped at once; only texts with other letters go to Python."""
+    marked, plain, same = _latin()
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    simple = F.translate(low, marked, plain)
+    other = simple.rlike(f"[^\\x00-\\x7F{same}]")
+    return F.coalesce(_decomposed(form)(F.when(other, low)), simple)
 
 
 def squeeze(text: Column) -> Column:
@@ -55,10 +76,14 @@ def stem(token: Column) -> Column:
     return F.when(token.rlike("^[a-z]{5,}$"), short).otherwise(token)
 
 
+def indexed(word: Column) -> Column:
+    """Whether a word is in the index: longer than two and no stop word."""
+    return (F.length(word) > 2) & ~word.isin(STOP_WORDS)
+
+
 def tokens_of(normalized: Column) -> Column:
-    """Index tokens of a normalised text: longer than two, no stop words, stemmed; empty stems stay."""
-    words = F.filter(F.split(normalized, " "), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
-    return F.transform(words, stem)
+    """Index tokens of a normalised text: indexed words, stemmed; empty stems stay."""
+    return F.transform(F.filter(F.split(normalized, " "), indexed), stem)
 
 
 def tokens(text: Column) -> Column:

@@ -1,4 +1,7 @@
-"""URL expressions: parts, normal form, corpus rules, official hosts. All built-in, so filters on them run before any UDF."""
+"""URL expressions: parts, normal form, corpus rules, official hosts. All built-in, so filters on them run before any UDF.
+
+A null URL has null parts and is neither relevant nor official.
+"""
 
 from __future__ import annotations
 
@@ -44,8 +47,10 @@ def under(p: Column, prefixes: tuple[str, ...]) -> Column:
 
 def is_relevant(url: Column, rules: UrlRules = UrlRules(), disallowed: tuple[str, ...] = ()) -> Column:
     """Whether a URL belongs to the corpus; a robots rule is a plain prefix."""
-    normal = normalize_url(url, rules.origin)
-    p = path(normal)
+    return F.element_at(F.transform(F.array(path(normalize_url(url, rules.origin))), lambda p: _relevant_path(p, rules, disallowed)), 1)  # so that the path is worked out once
+
+
+def _relevant_path(p: Column, rules: UrlRules, disallowed: tuple[str, ...]) -> Column:
     files = p.rlike(rf"(?i)\.({'|'.join(map(re.escape, rules.exclude_extensions))})$")
     robots = reduce(lambda a, b: a | b, [p.startswith(x) for x in disallowed if x], F.lit(False))
     out = files | p.isin(list(rules.exclude_exact)) | robots | under(p, rules.exclude_prefixes)

@@ -48,8 +48,10 @@ def last_user_turns(turns: DataFrame) -> DataFrame:
     users = turns.where("role = 'user'").select("conv_id", "turn", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
     users = users.withColumn("plain", normalize_routing(F.col("text")))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    both = users.withColumns({"previous": F.lag("text").over(w), "earlier": F.collect_set("plain").over(w.rowsBetween(Window.unboundedPreceding, -1)), "next": F.lead("turn").over(w)})
-    other = F.exists("earlier", lambda x: (x != "") & (x != F.col("plain")))
+    before, said = w.rowsBetween(Window.unboundedPreceding, -1), F.nullif(F.col("plain"), F.lit(""))
+    both = users.withColumns({"previous": F.lag("text").over(w), "low": F.min(said).over(before), "high": F.max(said).over(before), "next": F.lead("turn").over(w)})
+    # if all earlier ones are alike, the least and the greatest are that one
+    other = F.coalesce((F.col("low") != F.col("plain")) | (F.col("high") != F.col("plain")), F.lit(False))
     return both.where("next is null").select("conv_id", "turn", F.col("text").alias("question"), "previous", other.alias("has_prior_different"))
 
 
@@ -80,6 +82,55 @@ def cache_key(question: Column, language: Column, model: Column, store: Column,
     return F.when(plain == "", "").otherwise(F.concat_ws("|", F.lit("v3"), language, model, store, plain))
 
 
+def cacheable(checklist_context: Column, has_prior_different: Column) -> Column:
+    """Whether an answer depends on its question alone."""
+    return (F.trim(F.coalesce(checklist_context, F.lit(""))) == "") & ~F.coalesce(has_prior_different, F.lit(False))
+
+
+def follow_ups(plain: Column, source_text: Column, rules: list[tuple[tuple[str, ...], str]], by_source: dict[int, tuple[str, ...]], otherwise: str) -> Column:
+    """The follow-up ids of the first rule that fits: a term is in the normalised question, or, for the rules that
+    ``by_source`` numbers, one of its domains in the titles and URLs of the sources."""
+    out = F.when(F.lit(False), "")
+    for i, (terms, value) in enumerate(rules):
+        hit = reduce(lambda a, b: a | b, [plain.contains(t) for t in terms] + [F.coalesce(source_text, F.lit("")).contains(d) for d in by_source.get(i, ())])
+        out = out.when(hit, value)
+    return out.otherwise(otherwise)
+
+
+def with_metadata(answers: DataFrame, sources: DataFrame, retrieved: DataFrame, followups: Column) -> DataFrame:
+    """``answers`` (answer_id, grounded_on, language, cached, degraded) with sources, followups and answer_profile.
+
+    ``sources``: answer_id, url, title, source_rank as ``unique_sources`` gives them (a few per answer);
+    ``retrieved``: answer_id, one row for each passage that was retrieved.
+    """
+    own = sources.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "url", "title"))), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("sources"))
+    counts = retrieved.groupBy("answer_id").agg(F.count("*").alias("_n"))
+    a = answers.join(own, "answer_id", "left").join(counts, "answer_id", "left")
+    a = a.withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<title:string,url:string>>"))).withColumn("followups", F.split(followups, ","))
+    profile = F.struct(
+        F.coalesce("language", F.lit("en")).alias("language"),
+        F.size("sources").alias("source_count"),
+        F.coalesce("_n", F.lit(0)).cast("int").alias("retrieval_count"),
+        F.coalesce("grounded_on", F.lit("unknown")).alias("grounded_on"),
+        F.coalesce("cached", F.lit(False)).alias("cached"),
+        F.coalesce("degraded", F.lit(False)).alias("degraded"),
+    )
+    return a.withColumn("answer_profile", profile).drop("_n")
+
+
+def known_followups(ids: Column, known: tuple[str, ...], most: int = 3) -> Column:
+    """Of an answer's follow-up ids the known ones, once each, the first few."""
+    return F.slice(F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: x.isin(list(known)))), 1, most)
+
+
+def local_context(hits: DataFrame) -> DataFrame:
+    """query_id, context: the numbered passages of each query's ``hits`` (rank, title, url, last_modified, excerpt) as one text."""
+    of = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    one = F.concat(F.lit("[Passage "), F.col("rank").cast("string"), F.lit("]\nTitle: "), of("title", ""), F.lit("\nURL: "), of("url", ""), F.lit("\nLast modified: "), of("last_modified", "unknown"), F.lit("\nPassage: "), of("excerpt", ""))
+    lines = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("line")))).alias("l"))
+    return lines.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("context"))
+
+
 # --- extractive answers ------------------------------------------------------------------------------------------
 
 
@@ -194,3 +245,10 @@ def sections(answers: DataFrame) -> DataFrame:
 
     cited = F.transform(F.filter(F.coalesce("annotations", F.array().cast("array<struct<start_index:int,end_index:int,url:string>>")), belongs), lambda a: a["url"])
     return p.select("answer_id", "paragraph", "p.start", "p.end", clean_output(F.col("p.text")).alias("text"), cited.alias("cited")).where("text <> ''")
+
+
+def section_sources(found: DataFrame, domains: tuple[str, ...] = OFFICIAL_DOMAINS) -> DataFrame:
+    """answer_id, paragraph, url, title, source_rank: the official sources of each of ``sections``' paragraphs, once each."""
+    cited = found.select("answer_id", "paragraph", F.posexplode("cited").alias("at", "url")).withColumn("title", F.lit(None).cast("string"))
+    ranked = unique_sources(cited, ["answer_id", "paragraph"], "at", domains)
+    return ranked.select("answer_id", "paragraph", "url", source_title(F.col("url"), F.col("title")).alias("title"), "source_rank")

@@ -1,4 +1,8 @@
-"""From pages to passages, and the incremental upkeep of a corpus keyed by URL."""
+"""From pages to passages, and the incremental upkeep of a corpus keyed by URL.
+
+Null or blank texts give no chunks and no passages; null html has no title and drops out; rows with a null URL match
+nothing; of repeated URLs the last wins where a function says so; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.config import ChunkParams
+from quernstone.config import ChunkParams, UrlRules
 from quernstone.functions.text import clean_text
+from quernstone.functions.urls import is_relevant, normalize_url
 
 # --- chunks ------------------------------------------------------------------------------------------------------
 
@@ -189,6 +194,30 @@ def merge(cached: DataFrame, fetched: DataFrame, approved: DataFrame) -> DataFra
     return kept.unionByName(fetched.join(approved.select("url"), "url", "left_semi"))
 
 
+def discover(entries: DataFrame, rules: UrlRules, disallowed: tuple[str, ...] = ()) -> DataFrame:
+    """url, last_modified of sitemap ``entries`` (place, url, last_modified): the relevant ones in normal form; of a repeated URL the last by ``place``."""
+    kept = entries.where(is_relevant(F.col("url"), rules, disallowed)).withColumn("url", normalize_url(F.col("url"), rules.origin))
+    return last_wins(kept.select("place", "url", "last_modified"), "url", "place").select("url", "last_modified")
+
+
+def fetch_errors(fetched: DataFrame) -> DataFrame:
+    """``fetched`` (url, status, content_type, ...) with error: null, or why the page can't be read."""
+    status = F.coalesce(F.col("status"), F.lit(0))
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    return fetched.withColumn("error", F.when(~status.between(200, 299), F.concat(F.lit("status "), status.cast("string"))).when(~kind.contains("text/html"), F.concat(F.lit("content type "), kind)))
+
+
+def crawl(found: DataFrame, cached: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The corpus (url, last_modified, html) after a run over ``found`` (url, last_modified): what is pending and was
+    ``fetched`` (url, status, content_type, html) without error is new, the rest of what is approved stays as ``cached``.
+
+    A run that broke off is resumed by running it again: what it has stored is no longer pending.
+    """
+    good = fetch_errors(fetched).where("error is null").select("url", "html")
+    new = pending(found, cached).select("url", "last_modified").join(good, "url")
+    return merge(cached.select("url", "last_modified", "html"), new, found)
+
+
 def crawl_counts(outcomes: DataFrame) -> DataFrame:
     """completed, failed, total of ``outcomes`` (error: null if all went well)."""
     return outcomes.agg(F.count_if(F.col("error").isNull()).alias("completed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("total"))

@@ -1,4 +1,7 @@
-"""Rule scoring of utterances: exact intents, fuzzy topics, steps of a checklist. Dimensions are small constant tables."""
+"""Rule scoring of utterances: exact intents, fuzzy topics, steps of a checklist. Dimensions are small constant tables.
+
+Null texts count as empty and score 0; ties go to the first of the dimension; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,10 @@
 """Ranked retrieval: an inverted index as DataFrames, topic expansion, BM25 with boosts, a cap per page, top-k per query.
 
-Queries are a DataFrame too, so a batch of any size is one job: terms of queries meet postings in an equi-join. Ties are
-broken by passage order, so results are total. Repeated passages each count; null texts are empty passages and drop out.
+Queries are a DataFrame too, so a batch of any size is one job: terms of queries meet the words of passages in an
+equi-join, before anything is counted, so that only asked terms are aggregated. Scores are numbers until the winners are
+known; texts are joined to these, and to the passages that may hold a query as a phrase. Ties are broken by passage
+order, so results are total. Repeated passages each count; null texts are empty passages and drop out; no passages or
+queries give an empty result.
 """
 
 from __future__ import annotations
@@ -9,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import TRANSLATED_SUFFIX, Bm25Params, Topic
-from quernstone.functions.text import normalize, stem, tokens_of
+from quernstone.functions.text import indexed, normalize, stem, tokens_of
 
 #: What identifies a passage, in rank order for ties.
 KEY = ["page_ord", "chunk_index"]
@@ -21,29 +24,41 @@ KEY = ["page_ord", "chunk_index"]
 
 @dataclass(frozen=True)
 class Index:
-    passages: DataFrame  # page_ord, chunk_index, url, title, text, normalized_text, normalized_title, length
-    postings: DataFrame  # page_ord, chunk_index, term, tf, in_title
-    term_df: DataFrame  # term, df
+    passages: DataFrame  # page_ord, chunk_index, url, title, description, text
+    words: DataFrame  # page_ord, chunk_index, term, tf (1 in the body, 0 in the heading), in_title: a row for each word
+    lengths: DataFrame  # page_ord, chunk_index, url, length
     stats: DataFrame  # n, avg_length, page_count: one row
 
+    @property
+    def postings(self) -> DataFrame:
+        """page_ord, chunk_index, term, tf, in_title."""
+        return counted(self.words)
+
+    @property
+    def term_df(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def counted(words: DataFrame) -> DataFrame:
+    return words.groupBy(*KEY, "term").agg(F.sum("tf").cast("int").alias("tf"), F.max("in_title").alias("in_title"))
+
 
 def build_index(passages: DataFrame, page_count: DataFrame | None = None) -> Index:
     """Index of ``passages`` (page_ord, chunk_index, url, title, description, text); error pages and blank ones are left out."""
     named = ~F.coalesce(F.col("title"), F.lit("")).rlike("(?i)^(page not found|access denied)$")
     kept = passages.where(named & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     heading = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    p = kept.select(*KEY, "url", "title", "text", normalize(F.col("text")).alias("normalized_text"), normalize(F.col("title")).alias("normalized_title"), normalize(heading).alias("heading"))
-    p = p.withColumns({"body": tokens_of(F.col("normalized_text")), "head": F.array_distinct(tokens_of(F.col("heading")))}).withColumn("length", F.size("body"))
-    body = p.select(*KEY, F.explode("body").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("t"))
-    head = p.select(*KEY, F.explode("head").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("t"))
-    postings = body.unionByName(head).groupBy(*KEY, "term").agg(F.sum("tf").cast("int").alias("tf"), (F.max("t") == 1).alias("in_title"))
-    stats = p.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"))
+    p = kept.select(*KEY, "url", F.split(normalize(F.col("text")), " ").alias("body"), F.split(normalize(heading), " ").alias("head"))
+    every = p.select(*KEY, F.size("body").alias("_n"), F.posexplode(F.concat("body", "head")).alias("_at", "word")).where(indexed(F.col("word")))
+    words = every.select(*KEY, stem(F.col("word")).alias("term"), (F.col("_at") < F.col("_n")).cast("int").alias("tf"), (F.col("_at") >= F.col("_n")).alias("in_title"))
+    lengths = p.select(*KEY, "url", F.size(F.filter("body", indexed)).alias("length"))
+    stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"))
     pages = page_count if page_count is not None else passages.agg(F.count_distinct("page_ord").alias("page_count"))
-    return Index(p.drop("body", "head", "heading"), postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats.join(F.broadcast(pages)))
+    return Index(kept, words, lengths, stats.join(F.broadcast(pages)))
 
 
 def analyze_queries(queries: DataFrame, topics: list[Topic]) -> DataFrame:
-    """query_id, normalized, terms (distinct, expanded), paths of ``queries`` (query_id, text).
+    """query_id, normalized, terms (distinct, expanded), own (how many are of the query itself), paths of ``queries`` (query_id, text).
 
     A topic fires where one of its phrases is a substring of the normalised query; topics are a small constant table.
     """
@@ -55,44 +70,62 @@ def analyze_queries(queries: DataFrame, topics: list[Topic]) -> DataFrame:
         terms.append(F.when(fires, F.transform(F.array(*map(F.lit, topic.terms)), stem)).otherwise(empty))
         if topic.paths:
             paths.append(F.when(fires, F.array(*map(F.lit, topic.paths))).otherwise(empty))
-    return q.select("query_id", "normalized", F.array_distinct(F.concat(*terms)).alias("terms"), F.array_distinct(F.concat(*paths)).alias("paths"))
+    return q.select("query_id", "normalized", F.array_distinct(F.concat(*terms)).alias("terms"), F.size(F.array_distinct(terms[0])).alias("own"), F.array_distinct(F.concat(*paths)).alias("paths"))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def score(index: Index, analyzed: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
-    """Every passage that shares a term with a query: query_id, page_ord, chunk_index, url, title, text, score."""
-    asked = analyzed.select("query_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
-    terms = asked.join(index.term_df, "term").join(F.broadcast(index.stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = index.postings.join(terms.withColumn("idf", idf), "term").join(index.passages.select(*KEY, "length"), KEY)
+    """Every passage that shares a term with a query: query_id, page_ord, chunk_index, url, score."""
+    asked = small(analyzed.select("query_id", F.size("terms").alias("asked"), "own", F.explode("terms").alias("term")), params.broadcast_terms)
+    terms = asked.select("term").distinct()
+    found = counted(index.words.join(small(terms, params.broadcast_terms), "term", "left_semi"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    weight = df.join(F.broadcast(index.stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_length")
+    hits = found.join(small(weight, params.broadcast_terms), "term").join(asked, "term").join(index.lengths.select(*KEY, "length"), KEY)
     down = F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_length"))
     part = F.when(F.col("tf") > 0, F.col("idf") * (F.col("tf") * (params.k1 + 1)) / down).otherwise(0.0) + F.when(F.col("in_title"), F.col("idf") * params.title_weight).otherwise(0.0)
-    summed = hits.withColumn("part", part).groupBy("query_id", *KEY).agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.first("asked").alias("asked"))
-    full = summed.join(index.passages, KEY).join(analyzed.select("query_id", "normalized", "paths"), "query_id")
-    value = F.col("score") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked")))
-    phrase = F.length("normalized") > params.phrase_over
-    value = value + F.when(phrase & F.col("normalized_text").contains(F.col("normalized")), params.body_phrase).otherwise(0.0)
-    value = value + F.when(phrase & F.col("normalized_title").contains(F.col("normalized")), params.title_phrase).otherwise(0.0)
+    summed = hits.withColumn("part", part).groupBy("query_id", *KEY).agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.first("asked").alias("asked"), F.first("own").alias("own"))
+    q = analyzed.select("query_id", "normalized", "paths")
+    phrases = q.where(F.length("normalized") > params.phrase_over)
+    # a passage that holds the query as a phrase has all its words, but for the first and last, which may be parts of longer ones
+    maybe = summed.where(F.col("matched") >= F.col("own") - 2).select("query_id", *KEY).join(phrases.select("query_id", "normalized"), "query_id")
+    texts = maybe.join(index.passages.select(*KEY, "title", "text"), KEY)
+    held = lambda c: normalize(F.col(c)).contains(F.col("normalized"))
+    bonus = F.when(held("text"), params.body_phrase).otherwise(0.0) + F.when(held("title"), params.title_phrase).otherwise(0.0)
+    bonuses = texts.select("query_id", *KEY, bonus.alias("phrase")).where("phrase > 0")
+    full = summed.join(bonuses, ["query_id", *KEY], "left").join(index.lengths.select(*KEY, "url"), KEY).join(q.select("query_id", "paths"), "query_id")
+    value = F.col("score") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + F.coalesce("phrase", F.lit(0.0))
+    return full.select("query_id", *KEY, "url", F.round(value + url_part(params), 4).alias("score"))
+
+
+def url_part(params: Bm25Params) -> Column:
+    """What the url of a passage adds, given the query's preferred paths."""
     url = F.coalesce(F.col("url"), F.lit(""))
-    value = value + F.when(F.exists("paths", lambda x: url.contains(x)), params.preferred).otherwise(0.0)
+    value = F.when(F.exists("paths", lambda x: url.contains(x)), params.preferred).otherwise(0.0)
     for part_of_url, boost in params.url_boosts:
         value = value + F.when(url.contains(part_of_url), boost).otherwise(0.0)
-    value = value + F.when(url.rlike(TRANSLATED_SUFFIX), params.translated).otherwise(0.0)
-    return full.select("query_id", *KEY, "url", "title", "text", F.round(value, 4).alias("score"))
+    return value + F.when(url.rlike(TRANSLATED_SUFFIX), params.translated).otherwise(0.0)
 
 
 def top(scored: DataFrame, k: int, params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
-    """The best ``k`` passages of each query, at most ``per_page`` of a page: adds rank; text is cut to an excerpt.
+    """The best ``k`` passages of each query, at most ``per_page`` of a page: adds rank.
 
     Ranks within (query, page) come first: that window is dealt by both columns, and leaves few rows to the second.
     """
     order = [F.desc("score"), *KEY]
     capped = scored.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", page).orderBy(*order))).where(F.col("nth") <= params.per_page)
-    ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return ranked.drop("nth").withColumn("excerpt", F.substring("text", 1, params.excerpt)).drop("text")
+    return capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("nth")
 
 
 def search(index: Index, queries: DataFrame, k: int = 6, topics: list[Topic] = (), params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
-    return top(score(index, analyze_queries(queries, list(topics)), params), k, params, page)
+    """query_id, page_ord, chunk_index, url, title, score, rank, excerpt of the best ``k`` passages of each query."""
+    best = top(score(index, analyze_queries(queries, list(topics)), params), k, params, page)
+    texts = index.passages.select(*KEY, "title", F.substring("text", 1, params.excerpt).alias("excerpt"))
+    return best.join(texts, KEY).select("query_id", *KEY, "url", "title", "score", "rank", "excerpt")
 
 
 def relative_cut(hits: DataFrame, share: float = 0.85, most: int = 4) -> DataFrame:

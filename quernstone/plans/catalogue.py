@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quernstone.config import CacheParams, ChunkParams, LimiterParams, QuotaParams, Topic, UrlRules
 from quernstone.functions import text as T
 from quernstone.functions import urls as U
-from quernstone.operators import answer, checklist, corpus, intent, search
+from quernstone.operators import answer, checklist, corpus, intent, search, tasks
 from quernstone.plans import oracle
-from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOWS, FOLLOW_UPS, INTENTS, PAGE_QUERY, STEPS, STRINGS, TOPIC_PHRASES, TOPICS, VISITOR
+from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 from quernstone.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_ord"), F.lit(0).alias("chunk_index"), F.col("source").alias("url"), none.alias("title"), none.alias("description"), "text")
 
 
+def split_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as they go into a search index of answers: long ones in overlapping passages."""
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_ord"), F.col("source").alias("url"), none.alias("title"), none.alias("description"), F.lit(None).cast("array<string>").alias("chunks"), "text")
+    return corpus.to_passages(d)
+
+
 def fixed_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXED_QUERIES, "query_id long, text string")
 
@@ -260,10 +267,36 @@ def useful_sentences(spark, sf_dir):
 @query
 def extractive_answer(spark, sf_dir):
     turns = user_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    hits = search.search(search.build_index(doc_passages(spark, sf_dir)), turns, 1, TOPICS)
+    hits = search.search(search.build_index(split_passages(spark, sf_dir)), turns, 1, TOPICS)
     return answer.local_answer(turns.select("query_id", F.col("text").alias("question"), F.lit("en").alias("language")), hits)
 
 
+@query
+def local_context(spark, sf_dir):
+    hits = search.search(search.build_index(doc_passages(spark, sf_dir)), fixed_queries(spark), 3, page="page_ord")
+    return answer.local_context(hits.withColumn("last_modified", F.lit(None).cast("string"))).select("query_id", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("md5"))
+
+
+@query
+def answer_cache_keys(spark, sf_dir):
+    """The key under which a conversation's last question may be cached; empty if the answer depends on more than it."""
+    t = answer.last_user_turns(table(spark, sf_dir, "conversations"))
+    alone = answer.cacheable(F.when(F.col("conv_id") % 3 == 0, "a list").otherwise(" "), F.col("has_prior_different"))
+    key = answer.cache_key(F.col("question"), F.lit("en"), F.lit("m"), F.lit("no-vector"))
+    return t.select("conv_id", alone.alias("cacheable"), F.when(alone, key).otherwise("").alias("key"))
+
+
+@query
+def answer_profiles(spark, sf_dir):
+    """Each language's pages as the retrieved passages of one answer, which cites them all."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("").alias("title"), F.regexp_extract("url", "://[^/]*/([a-z]*)", 1).alias("answer_id"))
+    answers = p.select("answer_id").distinct().withColumns({"grounded_on": F.lit(None).cast("string"), "language": F.col("answer_id"), "cached": F.lit(False), "degraded": F.col("answer_id") == "fr"})
+    rules = [(("es",), "fees,forms,next"), (("de",), "documents,official,next")]
+    found = answer.with_metadata(answers, answer.unique_sources(p, ["answer_id"], "page_id", DOMAINS), p, answer.follow_ups(F.col("answer_id"), F.array_join("sources.url", " "), rules, {1: ("example.org",)}, "next,documents,official"))
+    profile = [F.col(f"answer_profile.{c}").cast("long").alias(c) for c in ("source_count", "retrieval_count")]
+    return found.select("answer_id", *profile, "answer_profile.degraded", "answer_profile.grounded_on", F.array_join("followups", ",").alias("followups"))
+
+
 @query
 def citation_alignment(spark, sf_dir):
     """Each document as an answer with three marks at fixed offsets."""
@@ -273,6 +306,64 @@ def citation_alignment(spark, sf_dir):
     return s.select("answer_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph", "start", "end")], F.array_join("cited", ",").alias("cited"))
 
 
+@query
+def section_sources(spark, sf_dir):
+    """Each page's address cited in every paragraph of a short answer."""
+    marks = F.array(*[F.struct(F.lit(s).alias("start_index"), F.lit(e).alias("end_index"), F.col("url").alias("url")) for s, e in ((0, 3), (4, 9))])
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("answer_id"), F.lit("one\n\ntwo three").alias("text"), marks.alias("annotations"))
+    found = answer.section_sources(answer.sections(p), DOMAINS)
+    return found.select("answer_id", F.col("paragraph").cast("long").alias("paragraph"), "url", "title", F.col("source_rank").cast("long").alias("source_rank"))
+
+
+# --- commands ----------------------------------------------------------------------------------------------------
+
+
+@query
+def task_action(spark, sf_dir):
+    t = intent.intent_scores(intent.flow_match(user_turns(spark, sf_dir), FLOWS), TASKS)
+    plain = T.normalize_intent(F.col("text"))
+    step = F.when(plain.contains("der"), "step")
+    action = tasks.task_action(F.col("text"), plain, {k: F.col(k) for k in TASKS}, F.col("flow_id"), step, F.col("conv_id") % 4 != 0)
+    return t.select("conv_id", "turn", action.alias("action"))
+
+
+@query
+def official_link(spark, sf_dir):
+    return user_turns(spark, sf_dir).select("conv_id", "turn", tasks.first_intent(T.normalize_intent(F.col("text")), LINKS, "https://example.com").alias("url"))
+
+
+@query
+def step_match(spark, sf_dir):
+    steps = spark.createDataFrame(STEP_PARTS, "flow_id string, step_ord long, step_id string, parts array<string>")
+    asked = user_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lit("first").alias("flow_id"), "text")
+    return intent.find_step(asked, steps).select("query_id", "step_id", F.round("score", 4).alias("score"))
+
+
+@query
+def reminder_times(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("due"), F.explode(F.array(*map(F.lit, (30, 14, 7, 0)))).alias("days"))
+    now = F.lit("1997-01-01 09:00:00").cast("timestamp")
+    at = tasks.reminder_time(F.col("due"), F.col("days"))
+    return o.select("o_orderkey", F.col("days").cast("long").alias("days"), F.date_format(at, "yyyy-MM-dd HH:mm").alias("fires"), tasks.reminder_status(F.col("due"), F.col("days"), now).alias("status"))
+
+
+@query
+def date_parts(spark, sf_dir):
+    y, m = F.year("o_orderdate"), F.month("o_orderdate")
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", tasks.days_in_month(y, m).cast("long").alias("days"), tasks.clamped_day(y, m, F.lit(31)).cast("long").alias("last"), F.array_join(tasks.year_choices(y), ",").alias("years"))
+
+
+@query
+def shared_contexts(spark, sf_dir):
+    """Consent, sharing and error texts over the events, their type standing for an error code."""
+    e = table(spark, sf_dir, "events")
+    given = tasks.consent_given(F.col("user_id") % 2 == 0, F.col("event_id") % 3)
+    context = tasks.shared_context(F.col("event_type"), given, F.col("event_id") % 2 == 0)
+    error = tasks.error_message(F.when(F.col("event_id") % 5 == 0, 429).otherwise(500), F.when(F.col("event_type") == "error", "sensitive_identifier"), F.when(F.col("event_id") % 7 == 0, F.col("event_type")))
+    return e.select("event_id", given.alias("given"), context.alias("context"), error.alias("error"))
+
+
 # --- state, checklists, quality ----------------------------------------------------------------------------------
 
 
@@ -298,6 +389,50 @@ def progress_rollup(spark, sf_dir):
     return checklist.progress(steps, done, ["user_id"]).withColumn("percent", F.col("percent").cast("long"))
 
 
+def _progress_lists(spark, sf_dir):
+    """The event types of a user as steps done, for every customer number up to the users' and beyond."""
+    steps = spark.createDataFrame(FLOW_STEPS, "flow_id string, step_ord int, step string")
+    e = table(spark, sf_dir, "events").where("event_id % 3 = 0").select("user_id", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("flow_id"), F.col("event_type").alias("step"))
+    return checklist.progress_lists(steps, e, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), ["user_id"])
+
+
+@query
+def progress_lists(spark, sf_dir):
+    p = _progress_lists(spark, sf_dir)
+    return p.select("user_id", "flow_id", F.col("total").cast("long").alias("total"), F.array_join("completed", ",").alias("completed"), F.array_join("remaining", ",").alias("remaining"), F.col("percent").cast("long").alias("percent"))
+
+
+@query
+def flow_summary(spark, sf_dir):
+    due = F.when(F.col("user_id") % 2 == 0, F.lit("2024-03-01").cast("date"))
+    text = checklist.flow_summary(F.col("flow_id"), F.date_format(due, "yyyy-MM-dd"), checklist.key_dates(due), LABELS)
+    return _progress_lists(spark, sf_dir).select("user_id", "flow_id", text.alias("summary"))
+
+
+@query
+def localized_strings(spark, sf_dir):
+    s = spark.createDataFrame(STRINGS, "lang string, key_path string, value string")
+    wanted = s.select("key_path").distinct().join(F.broadcast(s.select("lang").distinct())).where("lang <> 'yy' or key_path <> 'home.title'")
+    return checklist.translated(s, wanted)
+
+
+@query
+def discovered_pages(spark, sf_dir):
+    """The pages as sitemap entries, their paths put on the rules' own origin, their language as date."""
+    on_origin = F.concat(F.lit(SYNTHETIC_RULES.origin), U.path(F.col("url")))
+    entries = table(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), on_origin.alias("url"), F.concat(F.regexp_extract("url", "://[^/]*/([a-z]*)", 1), F.col("page_id").cast("string")).alias("last_modified"))
+    return corpus.discover(entries, SYNTHETIC_RULES, ("/de/9",))
+
+
+@query
+def crawl_run(spark, sf_dir):
+    """Cached: https pages, as they were when all were English; fetched: all, but every third without success or as another type."""
+    found = _found_pages(spark, sf_dir)
+    cached = found.where(F.col("url").startswith("https:")).select("url", F.lit("en").alias("last_modified"), F.lit("old").alias("html"))
+    fetched = found.select("url", F.when(F.col("page_id") % 3 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 == 1, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 2, "Text/HTML").otherwise("text/plain").alias("content_type"), F.lit("new").alias("html"))
+    return corpus.crawl(found.where("last_modified <> 'fr'").select("url", "last_modified"), cached, fetched)
+
+
 @query
 def key_dates(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(checklist.key_dates(F.to_date("o_orderdate"))).alias("d"))

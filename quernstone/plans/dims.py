@@ -38,3 +38,14 @@ STRINGS = [
     ("yy", "home.text", "{{b}}, {{a}}"),
     ("yy", "flow.step", "Schritt"),
 ]
+
+#: A small checklist for each of two flows, and what its steps are called.
+FLOW_STEPS = [("first", 0, "view"), ("first", 1, "click"), ("second", 0, "signup"), ("second", 1, "purchase"), ("second", 2, "click")]
+STEP_PARTS = [("first", 0, "open", ("la que", "the other one")), ("first", 1, "close", ("and of the",)), ("first", 2, "sign", ("der und", "que de la")), ("first", 3, "wait", ("with the",))]
+LABELS = {"complete": "complete", "due": "Due", "not_set": "not set", "completed": "Completed", "remaining": "Remaining", "key_dates": "Key dates", "not_calculated": "not calculated", "none": "none"}
+#: Intents of typed commands.
+TASKS = {
+    "open": ("the", "una"), "summary": ("und der",), "checklist": ("zzz", "le la"), "summary_phrase": ("der die und",), "question": ("que la", "with the"), "date_noun": ("and",), "date_verb": ("of the", "des"),
+    "undo": ("la le",), "mark": ("and the", "und"), "all": ("all", "ein"), "clear": ("de la",), "reminder": ("que",), "create": ("el",), "link": ("of",), "resource": ("in",), "privacy": ("to",), "capability": ("et", "zu"),
+}
+LINKS = [(("que la", "und der"), "https://example.com/status"), (("the", "de"), "https://example.com/fees"), (("und",), "https://example.com/forms")]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quernstone.config import LONG_SUFFIXES, OFFICIAL_DOMAINS, SENSITIVE_PATTERNS, SHORT_SUFFIXES, STOP_WORDS, VISITOR_DOMAINS, Topic
-from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOWS, FOLLOW_UPS, INTENTS, PAGE_QUERY, STEPS, STRINGS, TOPIC_PHRASES, TOPICS, VISITOR
+from quernstone.config import LONG_SUFFIXES, OFFICIAL_DOMAINS, SENSITIVE_PATTERNS, SHORT_SUFFIXES, STOP_WORDS, VISITOR_DOMAINS, AnswerParams, Topic
+from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 
 
 def lit(x: str) -> str:
@@ -109,6 +109,38 @@ EVENTS = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (
 DAY = 86_400_000_000
 
 
+def last_at(w: str, p: str) -> str:
+    """Where the last ``p`` in ``w`` begins, from 0; -1 if nowhere."""
+    return f"CASE WHEN strpos(reverse({w}), reverse({p})) > 0 THEN length({w}) - strpos(reverse({w}), reverse({p})) + 1 - length({p}) ELSE -1 END"
+
+
+def cut_end(at: str) -> str:
+    """The end of the part of ``text`` that begins at ``at``."""
+    end = f"least({at} + 2000, length(text))"
+    spots = ", ".join(f"{at} + {last_at(f'substr(text, {at} + 1, {end} + length({p}) - {at})', p)}" for p in ("'. '", "chr(10)", "' '"))
+    return f"CASE WHEN {end} < length(text) AND greatest({spots}) > {at} + 1300 THEN greatest({spots}) + 1 ELSE {end} END"
+
+
+SPLIT = rf"""sp AS (SELECT doc_id, source, coalesce(text, '') AS text, 0::BIGINT AS part, 0::BIGINT AS b, CASE WHEN length(text) > 2000 THEN {cut_end('0')} ELSE length(coalesce(text, '')) END AS e FROM documents
+ UNION ALL SELECT doc_id, source, text, part + 1, b, {cut_end('b')} FROM (SELECT doc_id, source, text, part, greatest(e - 240, b + 1) AS b FROM sp WHERE e < length(text))),
+parts AS (SELECT doc_id, source, part, CASE WHEN length(text) <= 2000 THEN text ELSE regexp_replace(substr(text, b + 1, e - b), '^\s+|\s+$', '', 'g') END AS text FROM sp)"""
+
+
+def squeezed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\s\x{{A0}}]+', ' ', 'g'))"
+
+
+def sentences(src: str) -> str:
+    """id, passage of the rows (id, excerpt, question) of ``src``."""
+    found = lambda x: rf"regexp_extract_all(strip_accents(lower({x})), '[\p{{L}}\p{{N}}-]{{3,}}')"
+    return rf"""sq AS (SELECT id, {squeezed("coalesce(excerpt, '')")} AS flat, {found('question')} AS w FROM {src}),
+ss AS (SELECT id, w, list_filter(string_split(regexp_replace(flat, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: length(s) BETWEEN 45 AND 520 AND NOT regexp_matches(s, '^[a-z]')) AS f FROM sq),
+si AS (SELECT id, w, unnest(f) AS s, unnest(range(len(f))) AS i FROM ss),
+sn AS (SELECT id, s, i, row_number() OVER (PARTITION BY id ORDER BY len(list_filter({found('s')}, lambda x: list_contains(w, x))) * 5 - i * 0.08 DESC, i) AS n FROM si),
+sb AS (SELECT id, string_agg(s, ' ' ORDER BY i) AS best FROM sn WHERE n <= 3 GROUP BY id),
+passages AS (SELECT sq.id, coalesce(best, substr(flat, 1, 900)) AS passage FROM sq LEFT JOIN sb USING (id))"""
+
+
 def under(p: str, prefixes) -> str:
     return "(" + " OR ".join(f"{p} = {lit(x)} OR starts_with({p}, {lit(x + '/')})" for x in prefixes) + ")"
 
@@ -125,7 +157,63 @@ def sql() -> dict[str, str]:
     guard = lambda x: {k: f"regexp_matches(coalesce({x}, ''), {lit(p)})" for k, p in SENSITIVE_PATTERNS.items()}
     official = " OR ".join(f"h = {lit(d)} OR ends_with(h, {lit('.' + d)})" for d in DOMAINS)
     topk = ranked(DOCS, ASKED, 10)
+    score = {n: best([exact("q", t) for t in ts]) for n, ts in TASKS.items()}
+    wants, has = {k: f"({v}) >= 4" for k, v in score.items()}, {k: f"({v}) >= 1" for k, v in score.items()}
+    named, literal = "flow_id IS NOT NULL", "d <> ''"
+    date = f"({named} AND (({literal} AND ({has['date_verb']} OR {has['date_noun']})) OR (NOT {has['question']} AND {has['date_verb']} AND {has['date_noun']})))"
+    w = {"summary": f"(({named} AND {wants['summary']}) OR {wants['checklist']} OR {wants['summary_phrase']})", "ask": f"({named} AND {has['date_noun']} AND {has['question']} AND NOT {literal})", "undo": f"({named} AND {wants['undo']})",
+         "mark": f"({named} AND {wants['mark']} AND NOT {has['question']})", "clear": f"({named} AND {wants['clear']} AND {wants['checklist']})", "remind": f"({named} AND {wants['reminder']} AND {wants['create']})", "open": f"({wants['open']} AND NOT {has['question']})"}
+    decide = (
+        f"CASE WHEN ({w['summary']} OR {w['remind']} OR {w['ask']} OR {date} OR {w['undo']} OR {w['mark']} OR {w['clear']}) AND conv_id % 4 = 0 THEN 'requires_plus' WHEN {w['open']} AND {named} THEN 'open_flow'"
+        + "".join(f" WHEN {w['open']} AND {has[k]} THEN '{v}'" for k, v in (("link", "open_link"), ("resource", "open_resources"), ("privacy", "open_privacy"), ("reminder", "open_reminders")))
+        + f" WHEN {w['summary']} AND {named} THEN 'summary' WHEN {w['summary']} THEN 'progress' WHEN {w['remind']} THEN CASE WHEN contains(q, '30') THEN 'reminder_30' WHEN contains(q, '7') THEN 'reminder_7' ELSE 'reminder_0' END WHEN {w['ask']} THEN 'date_query'"
+        + f" WHEN {date} AND try_cast(nullif(d, '') AS DATE) IS NULL THEN 'need_date' WHEN {date} THEN 'save_date' WHEN {has['all']} AND {w['mark']} AND NOT {w['undo']} THEN 'mark_all' WHEN ({w['mark']} OR {w['undo']}) AND NOT contains(q, 'der') THEN 'need_step'"
+        + f" WHEN {w['undo']} THEN 'undo_step' WHEN {w['mark']} THEN 'mark_step' WHEN {w['clear']} THEN 'clear' WHEN {wants['capability']} THEN 'capabilities' END"
+    )
+    flow_steps = ", ".join(f"({lit(f)}, {o}, {lit(n)})" for f, o, n in FLOW_STEPS)
+    lists = f"""fs AS (SELECT * FROM (VALUES {flow_steps}) v(flow_id, step_ord, step)), dn AS (SELECT DISTINCT user_id, event_type AS step FROM events WHERE event_id % 3 = 0),
+pl AS (SELECT c_custkey AS user_id, flow_id, count(*) AS total, coalesce(string_agg(fs.step, ',' ORDER BY step_ord) FILTER (dn.step IS NOT NULL), '') AS completed, coalesce(string_agg(fs.step, ',' ORDER BY step_ord) FILTER (dn.step IS NULL), '') AS remaining, round(100.0 * count(dn.step) / count(*))::BIGINT AS percent, count(dn.step) AS n
+ FROM customer CROSS JOIN fs LEFT JOIN dn ON dn.user_id = c_custkey AND dn.step = fs.step GROUP BY ALL)"""
+    shown = lambda c: f"CASE WHEN {c} = '' THEN {lit(LABELS['none'])} ELSE replace({c}, ',', ', ') END"
+    step_scores = []
+    for _, o, name, parts in STEP_PARTS:
+        inside = " OR ".join(f"contains(q, {lit(x)}) OR contains({lit(x)}, q)" for x in parts)
+        hits = f"len(list_filter(list_filter(string_split(q, ' '), lambda x: length(x) > 2), lambda x: contains({lit(' '.join(parts))}, x)))"
+        step_scores.append(f"SELECT query_id, {o} AS o, {lit(name)} AS step_id, ({inside}) AS inside, CASE WHEN {inside} THEN 999.0 ELSE greatest({hits}::DOUBLE, {', '.join(match('q', x) for x in parts)}) END AS score FROM q")
+    en = AnswerParams().copy["en"]
+    chunk_passages = "SELECT doc_id * 1000 + part AS ord, source AS url, text, '' AS title FROM parts"
+    answered = f"""WITH RECURSIVE {SPLIT}, hits AS ({ranked(chunk_passages, USERS, 1, 'url', TOPICS)}),
+hx AS (SELECT u.query_id AS id, u.text AS question, substr(parts.text, 1, 2000) AS excerpt, parts.source AS url FROM ({USERS}) u LEFT JOIN hits ON hits.query_id = u.query_id LEFT JOIN parts ON parts.doc_id * 1000 + parts.part = hits.doc_id), {sentences('hx')}
+SELECT hx.id AS query_id, CASE WHEN excerpt IS NULL THEN {lit(en['missing'])} ELSE {lit(en['intro'])} || chr(10) || chr(10) || passage || chr(10) || chr(10) || {lit(en['verify'])} END AS output_text, CASE WHEN excerpt IS NULL THEN 'no_matching_source' ELSE 'local_corpus' END AS grounded_on, url FROM hx JOIN passages ON passages.id = hx.id"""
+    official_pages = f"s AS (SELECT page_id, {HOST} AS h, regexp_replace({ORIGIN} || {PATH}, '/$', '') AS url, regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS lang FROM pages)"
     return {
+        "split_oversized": f"WITH RECURSIVE {SPLIT} SELECT doc_id, part, length(text) AS n_chars, md5(text) AS md5 FROM parts",
+        "pack_paragraphs": r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+r AS (SELECT doc_id, p, 1 AS i, []::VARCHAR[] AS done, '' AS open FROM l UNION ALL SELECT doc_id, p, i + 1, CASE WHEN open = '' OR length(open) + 1 + length(p[i]) <= 1800 THEN done ELSE done || [open] END,
+ CASE WHEN open = '' THEN p[i] WHEN length(open) + 1 + length(p[i]) <= 1800 THEN open || chr(10) || p[i] ELSE right(open, 220) || chr(10) || p[i] END FROM r WHERE i <= len(p)),
+f AS (SELECT doc_id, CASE WHEN open = '' THEN done ELSE done || [open] END AS c FROM r WHERE i = len(p) + 1)
+SELECT doc_id, n AS part, length(t) AS n_chars, md5(t) AS md5 FROM (SELECT doc_id, unnest(c) AS t, unnest(range(len(c))) AS n FROM f)""",
+        "useful_sentences": f"WITH src AS (SELECT doc_id AS id, text AS excerpt, {lit(FIXED_QUERIES[0][1])} AS question FROM documents), {sentences('src')} SELECT id AS doc_id, passage FROM passages",
+        "citation_alignment": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, i, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM l),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS paragraph, base + length(t) - length(ltrim(t)) AS s, base + length(t) AS e FROM o WHERE trim(t) <> '')
+SELECT doc_id AS answer_id, paragraph, s AS start, e AS "end", array_to_string(list_filter([CASE WHEN 0 < e AND 10 > s THEN 'a' END, CASE WHEN 150 < e AND 400 > s THEN 'b' END, CASE WHEN 300 < e AND 300 >= s THEN 'c' END], lambda x: x IS NOT NULL), ',') AS cited FROM p""",
+        "extractive_answer": answered,
+        "local_context": f"SELECT query_id, length(c) AS n_chars, md5(c) AS md5 FROM (SELECT query_id, string_agg('[Passage ' || rank || ']' || chr(10) || 'Title: ' || chr(10) || 'URL: ' || coalesce(source, '') || chr(10) || 'Last modified: unknown' || chr(10) || 'Passage: ' || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY rank) AS c FROM ({ranked(DOCS, ASKED, 3)}) JOIN documents USING (doc_id) GROUP BY query_id)",
+        "answer_cache_keys": f"WITH {LAST}, c AS (SELECT conv_id, plain, conv_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = l.conv_id AND u.turn < l.turn AND u.plain <> '' AND u.plain <> l.plain) AS ok FROM l WHERE nxt IS NULL) SELECT conv_id, ok AS cacheable, CASE WHEN ok AND plain <> '' THEN 'v3|en|m|no-vector|' || substr(plain, 1, 900) ELSE '' END AS key FROM c",
+        "answer_profiles": f"WITH {official_pages}, g AS (SELECT lang, url, min(page_id) AS page_id FROM s WHERE {official} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS n FROM g), a AS (SELECT lang, count(*) AS retrieved FROM s GROUP BY lang), k AS (SELECT lang, count(*) AS n, bool_or(contains(url, 'example.org')) AS org FROM r WHERE n <= 6 GROUP BY lang) SELECT lang AS answer_id, coalesce(n, 0) AS source_count, retrieved AS retrieval_count, lang = 'fr' AS degraded, 'unknown' AS grounded_on, CASE WHEN contains(lang, 'es') THEN 'fees,forms,next' WHEN contains(lang, 'de') OR org THEN 'documents,official,next' ELSE 'next,documents,official' END AS followups FROM a LEFT JOIN k USING (lang)",
+        "section_sources": f"WITH {official_pages} SELECT page_id AS answer_id, p AS paragraph, url, 'Official U.S. government source' AS title, 1::BIGINT AS source_rank FROM s, (VALUES (0::BIGINT), (1::BIGINT)) v(p) WHERE {official}",
+        "task_action": f"WITH f AS ({argmax(list(FLOWS.items()), 4, 'NULL')}), q AS (SELECT conv_id, turn, {route('text')} AS q, regexp_extract(coalesce(text, ''), '(^|[^0-9A-Za-z_])([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})($|[^0-9A-Za-z_])', 2) AS d FROM conversations WHERE role = 'user') SELECT conv_id, turn, {decide} AS action FROM (SELECT q.*, f.topic AS flow_id FROM q JOIN f USING (conv_id, turn))",
+        "official_link": f"SELECT conv_id, turn, CASE {' '.join('WHEN ' + best([exact('q', t) for t in ts] + ['0']) + f' > 0 THEN {lit(u)}' for ts, u in LINKS)} ELSE 'https://example.com' END AS url FROM (SELECT conv_id, turn, {route('text')} AS q FROM conversations WHERE role = 'user')",
+        "step_match": f"WITH q AS (SELECT query_id, {route('text')} AS q FROM ({USERS})), s AS ({' UNION ALL '.join(step_scores)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN inside THEN -o ELSE o END) AS n FROM s WHERE score >= 1) SELECT query_id, step_id, round(score, 4) AS score FROM r WHERE n = 1",
+        "reminder_times": "SELECT o_orderkey, days::BIGINT AS days, CASE WHEN days <> 14 THEN strftime(CAST(o_orderdate AS DATE) - days + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') END AS fires, CASE WHEN days = 14 THEN 'no_such_reminder' WHEN CAST(o_orderdate AS DATE) - days + INTERVAL 9 HOUR <= TIMESTAMP '1997-01-01 09:00:00' THEN 'past' ELSE 'set' END AS status FROM orders, (VALUES (30), (14), (7), (0)) v(days)",
+        "date_parts": "SELECT o_orderkey, day(last_day(o_orderdate)) AS days, least(31, day(last_day(o_orderdate))) AS last, array_to_string(range(year(o_orderdate) - 10, year(o_orderdate) + 11), ',') AS years FROM orders",
+        "shared_contexts": "SELECT event_id, given, CASE WHEN given AND event_id % 2 = 0 THEN event_type ELSE '' END AS context, CASE WHEN event_id % 5 = 0 THEN 'ai.quotaIssue' WHEN event_type = 'error' THEN 'privacy.consentSensitive' WHEN event_id % 7 = 0 THEN event_type ELSE 'ai.requestFailed' END AS error FROM (SELECT *, user_id % 2 = 0 AND event_id % 3 = 1 AS given FROM events)",
+        "progress_lists": f"WITH {lists} SELECT user_id, flow_id, total, completed, remaining, percent FROM pl",
+        "flow_summary": f"WITH {lists} SELECT user_id, flow_id, flow_id || ': ' || n || '/' || total || ' {LABELS['complete']} (' || percent || '%).' || chr(10) || '{LABELS['due']}: ' || CASE WHEN user_id % 2 = 0 THEN '2024-03-01' ELSE {lit(LABELS['not_set'])} END || '.' || chr(10) || '{LABELS['completed']}: ' || {shown('completed')} || '.' || chr(10) || '{LABELS['remaining']}: ' || {shown('remaining')} || '.' || chr(10) || '{LABELS['key_dates']}: ' || CASE WHEN user_id % 2 = 0 THEN 'reminder_30: 2024-01-31; reminder_7: 2024-02-23; target_date: 2024-03-01' ELSE {lit(LABELS['not_calculated'])} END || '.' AS summary FROM pl",
+        "localized_strings": f"WITH s AS (SELECT * FROM (VALUES {values}) v(lang, key_path, value)) SELECT w.lang, w.key_path, coalesce(o.value, b.value, w.key_path) AS text FROM (SELECT DISTINCT l.lang, k.key_path FROM s k, s l WHERE l.lang <> 'yy' OR k.key_path <> 'home.title') w LEFT JOIN s o USING (lang, key_path) LEFT JOIN s b ON b.lang = 'en' AND b.key_path = w.key_path",
+        "discovered_pages": f"WITH a AS (SELECT page_id, lang, CASE WHEN length(o) > 1 THEN regexp_replace(o, '/$', '') ELSE o END AS p FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS lang, {one_path} AS o FROM pages)) SELECT 'https://www.uscis.gov' || p AS url, arg_max(lang || page_id, page_id) AS last_modified FROM a WHERE NOT (regexp_matches(p, '(?i)\\.html$') OR p = '/en/1' OR starts_with(p, '/de/9') OR {under('p', ['/en/2'])}) AND (p = '/fr' OR {under('p', ['/en', '/de'])}) GROUP BY p",
+        "crawl_run": f"WITH {FOUND}, x AS (SELECT *, starts_with(url, 'https:') AS known FROM fd WHERE last_modified <> 'fr'), y AS (SELECT *, (NOT known OR last_modified <> 'en') AND page_id % 3 <> 0 AS fresh FROM x) SELECT url, CASE WHEN fresh THEN last_modified ELSE 'en' END AS last_modified, CASE WHEN fresh THEN 'new' ELSE 'old' END AS html FROM y WHERE fresh OR known",
         "normalize_text": f"SELECT doc_id, {norm('text')} AS normalized FROM documents",
         "token_stems": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {toks('n')} AS t FROM (SELECT doc_id, {norm('text')} AS n FROM documents))",
         "term_frequency": f"WITH {index(DOCS)} SELECT ord AS doc_id, term, tf::BIGINT AS tf FROM po",

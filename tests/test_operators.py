@@ -99,7 +99,10 @@ def test_corpus_files(spark, tmp_path):
     (tmp_path / "c" / "bad.json").write_text("{broken\n")
     assert sorted(r.url for r in corpus_io.read_corpus(spark, path).collect()) == ["a", "b"]
     (tmp_path / "s.xml").write_text("<urlset><url><loc> https://x/1 </loc><lastmod>2024-01-02</lastmod></url><url><loc>https://x/2</loc></url><url><loc>https://x/1</loc><lastmod>2024-01-03</lastmod></url></urlset>")
-    assert sorted(map(tuple, corpus_io.read_sitemap(spark, str(tmp_path / "s.xml")).collect())) == [("https://x/1", "2024-01-03"), ("https://x/2", None)]
+    entries = corpus_io.read_sitemap(spark, str(tmp_path / "s.xml"))
+    assert sorted((tuple(r) for r in corpus.last_wins(entries, "url", "place").select("url", "last_modified").collect()), key=str) == [("https://x/1", "2024-01-03"), ("https://x/2", None)]
+    (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc> https://x/s1.xml </loc></sitemap><sitemap><loc>https://x/s2.xml</loc></sitemap></sitemapindex>")
+    assert sorted(r.url for r in corpus_io.sitemap_index(spark, str(tmp_path / "i.xml")).collect()) == ["https://x/s1.xml", "https://x/s2.xml"]
 
 
 def test_guards(spark):
