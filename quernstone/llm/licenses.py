@@ -32,14 +32,23 @@ from quernstone.llm.common import lowest_hashes
 
 #: Usual notices of each family: fixed values.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed to you under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed to you under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
+    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "either version 3 of the License, or (at your option) any later version of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -63,6 +72,7 @@ UNKNOWN = "unknown"
 class LicenseParams:
     forms: int = 24  # varied forms of each template
     sample: int = 3_000  # corpus paragraphs at most, as unknowns
+    sample_chars: int = 5_000  # of each of them, at most
     accept: float = 0.5  # least calibrated probability
     overlap: float = 0.6  # of a template's word pairs
     seed: int = 5
@@ -201,40 +211,44 @@ def fit(unknown: list[str], params: LicenseParams = LicenseParams()) -> Model:
     """``unknown``: paragraphs of the corpus; those that hold a whole template are left out."""
     r = random.Random(params.seed)
     families = [*TEMPLATES, UNKNOWN]
-    data = [(words(x), k) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f] for x in (t, *forms(t, r, params.forms))]
+    # (words, family, whether its template is left out of the weights that are calibrated: one of each family with four or more)
+    data = [(words(x), k, len(TEMPLATES[f]) > 3 and j == params.seed % len(TEMPLATES[f])) for k, f in enumerate(families[:-1]) for j, t in enumerate(TEMPLATES[f]) for x in (t, *forms(t, r, params.forms))]
     whole = [pairs(words(t)) for ts in TEMPLATES.values() for t in ts]
     plain = [w for x in unknown if (w := words(x)) and (own := pairs(w)) and not any(len(t & own) >= params.overlap * len(t) for t in whole)]
-    data += [(words(x), len(families) - 1) for t in ALIKE for x in (t, *forms(t, r, params.forms))]
-    index = {g: i for i, g in enumerate(sorted({g for w, _ in data for g in grams(w)}))}
-    data += [(w, len(families) - 1) for w in plain]
+    data += [(words(x), len(families) - 1, False) for t in ALIKE for x in (t, *forms(t, r, params.forms))]
+    index = {g: i for i, g in enumerate(sorted({g for w, *_ in data for g in grams(w)}))}
+    data += [(w, len(families) - 1, False) for w in plain]
     model = Model(families, index, np.zeros((len(index) + 1, len(families))), 1.0, params)
+    # calibration on what the weights haven't seen: other forms, and forms of whole templates left out
     r.shuffle(data)
-    rows = [model.vector(w) for w, _ in data]
+    rows = [model.vector(w) for w, *_ in data]
     full = [i for i, (a, _) in enumerate(rows) if a]
-    rows, y = [rows[i] for i in full], np.array([data[i][1] for i in full])
-    cut = 4 * len(rows) // 5
-    model.weights = softmax_fit(rows[:cut], y[:cut], len(index), len(families))
-    z = np.stack([v @ model.weights[a] + model.weights[-1] for a, v in rows[cut:]])
+    rows, y, out = [rows[i] for i in full], np.array([data[i][1] for i in full]), np.array([data[i][2] for i in full])
+    later = out | (np.arange(len(rows)) >= 4 * len(rows) // 5)
+    train = np.flatnonzero(~later)
+    weights = softmax_fit([rows[i] for i in train], y[train], len(index), len(families))
+    z, left = np.stack([v @ weights[a] + weights[-1] for a, v in (rows[i] for i in np.flatnonzero(later))]), y[later]
 
     def loss(t: float) -> float:
         s = z / t
         s = s - s.max(1, keepdims=True)
-        return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[cut:]]).mean())
+        return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), left]).mean())
 
     model.temperature = min(np.geomspace(0.1, 5, 60), key=loss)
+    model.weights = softmax_fit(rows, y, len(index), len(families))
     return model
 
 
-def sample_paragraphs(docs: DataFrame, n: int) -> list[str]:
-    """A bounded sample of paragraphs of different texts, by hash, at most a thousand characters of each: what trains the unknown class."""
-    short = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.substring(x, 1, 1000)).alias("lines")
-    some = lowest_hashes(docs.where("text is not null").select("text"), F.col("text"), max(1, n // 3), short)
-    return [row.line for row in some.select(F.explode("lines").alias("line")).where("line <> ''").collect()]
+def sample_paragraphs(docs: DataFrame, params: LicenseParams) -> list[str]:
+    """A bounded sample of distinct paragraphs of all texts, by hash: what trains the unknown class."""
+    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    some = lowest_hashes(lines, F.col("line"), params.sample, F.substring("line", 1, params.sample_chars).alias("line"))
+    return [row.line for row in some.collect()]
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
     """doc_id, paragraph, family, probability, overlap of every licence paragraph of ``docs`` (doc_id, text)."""
-    shared = spark.sparkContext.broadcast(fit(sample_paragraphs(docs, params.sample), params))
+    shared = spark.sparkContext.broadcast(fit(sample_paragraphs(docs, params), params))
     columns = ["doc_id", "paragraph", "family", "probability", "overlap"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quernstone.llm.licenses import ALIKE, TEMPLATES, fit, forms, scan_licenses
+from quernstone.llm.licenses import ALIKE, TEMPLATES, LicenseParams, fit, forms, sample_paragraphs, scan_licenses
 
 from .data import documents, no_documents, prose
 
@@ -51,3 +51,27 @@ def test_wrapped_notices(model, width):
         found = model.scan("\n".join([prose(1, 8), "", *lines, "", prose(2, 8)]))
         assert [f for _, f, *_ in found] == [family] and 2 <= found[0][0] < 2 + len(lines)
     assert not model.scan("\n".join(" ".join(x) for x in zip(*[iter(prose(3, 900).split())] * 3)))
+
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY."""
+
+
+def test_usual_headers_and_titles(model):
+    own = lambda text: [f for _, f, *_ in model.scan(text)]
+    assert own(GPL) == ["gpl-3.0"] and own("\n".join(f" * {x.strip()}" for x in GPL.split("\n"))) == ["gpl-3.0"]
+    assert own("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007") == ["gpl-3.0"]
+    assert own("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appear in all copies.") == ["isc"]
+    assert own("Apache License\nVersion 2.0, January 2004") == ["apache-2.0"] and own("Mozilla Public License Version 2.0") == ["mpl-2.0"]
+    assert own("The general public was given a license to fish, version 3 of it.") == []
+
+
+def test_the_sample_is_of_all_paragraphs(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i} {j}" for j in range(50))) for i in range(40)] + [(99, None), (98, "")], "doc_id long, text string")
+    some = sample_paragraphs(docs, LicenseParams(sample=300))
+    assert len(set(some)) == 300 and len({x.split()[2] for x in some}) == 50  # not only the first lines
