@@ -32,17 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialize
+from quernstone.llm.common import join_hot, materialize, most_frequent
 
-CLASSES, OTHER, END = 64, 62, 63
 ORDER = 5  # context bytes; an n-gram is these and the byte after them, in one number
-END_BYTE, PAD = 0xFF, b"\n" * ORDER  # 0xFF is in no UTF-8 text; a text begins as if after empty lines
+PAD = b"\n" * ORDER  # a text begins as if after empty lines; 0xFF, which is in no UTF-8 text, ends it
 
 
 @dataclass(frozen=True)
 class PpmParams:
     folds: int = 10  # crc32(doc_id) mod folds = 0 is held out
-    head: int = 200_000  # frequent words that each task is given (bounds its memory, not the result)
+    head: int = 200_000  # frequent words that each task is given, at most (bounds its memory, not the result)
     head_grams: int = 1_000_000  # frequent n-grams likewise
     flush: int = 400_000  # distinct words or n-grams a task holds before it passes them on
 
@@ -184,7 +183,7 @@ def log_probabilities(wanted: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 
 def settle(spark: SparkSession, grams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, logp) of the distinct n-grams ``wanted`` (gram) under the trie of ``grams`` (gram, n)."""
+    """(gram, logp, n) of the distinct n-grams ``wanted`` (gram, n) under the trie of ``grams`` (gram, n)."""
     short = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 256^3 rows
     shared = spark.sparkContext.broadcast(low_levels(short["gram"].to_numpy(), short["n"].to_numpy().astype(float)))
 
@@ -196,7 +195,7 @@ def settle(spark: SparkSession, grams: DataFrame, wanted: DataFrame) -> DataFram
             for order in range(3, ORDER + 1):
                 levels.append(level(gram[seen], n[seen], order, levels[-1]))
             asked = gram[~seen]
-            return pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(log_probabilities(asked, levels), pa.float64())], ["gram", "logp"])
+            return pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(log_probabilities(asked, levels), pa.float64()), pa.array(-n[~seen], pa.int64())], ["gram", "logp", "n"])
 
         parts, have = [], 0
         for b in batches:
@@ -213,76 +212,9 @@ def settle(spark: SparkSession, grams: DataFrame, wanted: DataFrame) -> DataFram
             yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     # one group for each three last context bytes; groups come one after another
-    both = grams.select("gram", "n").unionByName(wanted.select("gram", F.lit(0).cast("long").alias("n")))
+    both = grams.select("gram", "n").unionByName(wanted.select("gram", (-F.col("n")).alias("n")))  # below zero: asked for, so often
     group = F.shiftright("gram", 8).bitwiseAND(0xFFFFFF)
-    return both.repartition(group).sortWithinPartitions(group).mapInArrow(run, "gram long, logp double")
-
-
-# --- the trie over classes of bytes, as its test has it: score_texts does not use it ------------------------------
-
-
-@dataclass(frozen=True)
-class Trie:
-    """log10 probabilities of each class after each context, and of a byte within its class."""
-
-    byte_class: np.ndarray  # [256] class of a byte
-    other: float  # log10 of one byte's share of the class of all other bytes
-    row: np.ndarray  # [64^3] row of a context, the longest seen suffix
-    logp: np.ndarray  # [rows, 64] float32
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        buffer, starts = symbols(texts)
-        c = self.byte_class[buffer]
-        wide = c.astype(np.int32)
-        lp = np.zeros(len(buffer))
-        lp[3:] = self.logp[self.row[(wide[:-3] << 12) | (wide[1:-2] << 6) | wide[2:-1]], c[3:]]
-        lp[c == OTHER] += self.other
-        sums = np.concatenate([[0.0], np.cumsum(lp)])
-        ends = np.append(starts[1:] - len(PAD), len(buffer))
-        return sums[ends] - sums[starts]
-
-
-def byte_classes(by_byte: dict[int, int]) -> np.ndarray:
-    """The 62 most frequent bytes have a class each."""
-    out = np.full(256, OTHER, dtype=np.uint8)
-    for i, (b, _) in enumerate(sorted(((b, n) for b, n in by_byte.items() if b != END_BYTE), key=lambda x: (-x[1], x[0]))[:OTHER]):
-        out[b] = i
-    out[END_BYTE] = END
-    return out
-
-
-def fit_trie(byte_class: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Trie:
-    """``gram``: four class codes of 6 bits each, with counts."""
-    below, rows = np.full((1, CLASSES), 1 / CLASSES), np.zeros(1, dtype=np.int64)
-    tables: list[np.ndarray] = []
-    at = 0
-    row = np.zeros(1, dtype=np.int64)
-    for order in range(4):
-        size = CLASSES**order
-        key = gram & (size * CLASSES - 1)  # the last ``order`` context bytes and the symbol
-        nodes, back = np.unique(key, return_inverse=True)
-        counts = np.bincount(back, n, len(nodes))
-        contexts, place = np.unique(nodes // CLASSES, return_inverse=True)
-        dense = np.zeros((len(contexts), CLASSES))
-        dense[place, nodes % CLASSES] = counts
-        # the parent of a context drops its first byte
-        parent = below[rows[contexts % max(1, size // CLASSES)]] if order else np.repeat(below, len(contexts), 0)
-        total, kinds = dense.sum(1, keepdims=True), (dense > 0).sum(1, keepdims=True)
-        unseen = np.where(dense > 0, 0.0, parent)
-        mass = unseen.sum(1, keepdims=True)
-        escape = np.where(mass > 1e-12, kinds / (2 * total), 0.0)  # method D
-        seen = np.where(dense > 0, (dense - 0.5 * (mass > 1e-12)) / total, 0.0)
-        p = seen + escape * unseen / np.maximum(mass, 1e-300)
-        inherited = row[np.arange(size) % max(1, size // CLASSES)] if order else np.zeros(1, dtype=np.int64)
-        if not order and not len(contexts):
-            p, contexts = below, np.zeros(1, dtype=np.int64)
-        row = inherited.copy()
-        row[contexts] = at + np.arange(len(p))
-        tables.append(p)
-        at += len(p)
-        below, rows = np.concatenate(tables), row
-    others = max(1, int((byte_class == OTHER).sum()))
-    return Trie(byte_class, float(-np.log10(others)), row.astype(np.int32), np.log10(np.maximum(below, 1e-300)).astype(np.float32))
+    return both.repartition(group).sortWithinPartitions(group).mapInArrow(run, "gram long, logp double, n long")
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------
@@ -315,14 +247,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmPar
     n_all, v_all = total + ends, kinds + (ends > 0)  # the end is a token too
 
     grams = counted.where("gram is not null").select("gram", "n")
-    often = grams.orderBy(F.desc("n"), "gram").limit(params.head_grams).withColumn("context", F.shiftright("gram", 8))
+    often = most_frequent(grams, "n", params.head_grams).withColumn("context", F.shiftright("gram", 8))
     totals = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"))
     given = often.join(totals, "context").select("gram", F.log10((F.col("n") - 0.5) / F.col("total")).alias("logp")).toArrow()
     order = np.argsort(given["gram"].to_numpy())
     head_gram, head_logp = given["gram"].to_numpy()[order], given["logp"].to_numpy()[order]
 
     scale = n_all + 0.1 * (v_all + 1)
-    top = words.orderBy(F.desc("n"), "word").limit(params.head).toArrow()
+    top = most_frequent(words, "n", params.head).toArrow()
     head = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast((head_gram, head_logp, head))
     end_score = float(np.log10((ends + 0.1) / scale))
@@ -357,14 +289,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmPar
     # written once: the rows' own numbers, by which the tails come back, must not change
     scored = materialize(spark, d.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     tails = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
-    counts = words.select("word", F.col("n").alias("c"))
+    # a word or n-gram that is not among the given ones may still be in many texts: those are no hot task
+    asked_words = tails.groupBy("word").agg(F.count("*").alias("n")).join(words.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    settled = tails.join(counts, "word", "left").groupBy("row").agg(
+    settled = join_hot(tails, materialize(spark, asked_words, "asked"), "word", tails.count()).groupBy("row").agg(
         F.sum(F.col("times") * F.log10((c + 0.1) / scale)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known")
     )
     asked = scored.select("row", F.explode("grams").alias("g")).select("row", "g.*")
-    found = settle(spark, grams, asked.select("gram").distinct())
-    bytes_ = asked.join(found, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("more_score"))
+    found = materialize(spark, settle(spark, grams, asked.groupBy("gram").agg(F.count("*").alias("n"))), "settled")
+    bytes_ = join_hot(asked, found, "gram", asked.count()).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("more_score"))
     out = scored.drop("tail", "grams").join(settled, "row", "left").join(bytes_, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from quernstone.llm.ppm import END, OTHER, PpmParams, byte_classes, fit_trie, score_texts
+from quernstone.llm.ppm import PpmParams, gram_keys, level, log_probabilities, low_levels, score_texts
 
 from .data import documents, no_documents, prose
 
@@ -36,17 +36,16 @@ def test_base_against_brute_force(spark):
     assert score_texts(spark, no_documents(spark)).count() == 0
 
 
-def test_trie_is_a_distribution_that_knows_what_it_saw():
+def test_levels_are_distributions():
     data = b"the cat and the hat and the bat " * 20
-    classes = byte_classes(Counter(data))
-    c = classes[np.frombuffer(b"\n\n\n" + data + b"\xff", np.uint8)].astype(np.int64)
-    grams = (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
-    key, n = np.unique(grams, return_counts=True)
-    trie = fit_trie(classes, key, n.astype(float))
-    sums = (10.0 ** trie.logp.astype(float)).sum(1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    seen, odd = trie.score([b"the cat and the bat", b"zxq jvw kpl mmmm wwww"])
-    assert seen > odd and classes[0xFF] == END and classes[0x00] == OTHER
+    key = gram_keys([data])[0]
+    gram, n = np.unique(key, return_counts=True)
+    levels = low_levels(gram, n.astype(float))
+    for order in range(3, 6):
+        levels.append(level(gram, n.astype(float), order, levels[-1]))
+    for context in (b"the c", b"zzzzz", b"d the", b"\n\n\n\n\n"):
+        every = np.array([int.from_bytes(context + bytes([x])) for x in range(256)])
+        assert abs((10 ** log_probabilities(every, levels)).sum() - 1) < 1e-9
 
 
 def test_scores_follow_the_language(spark):
