@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import LOWER, UPPER
+from quernstone.llm.common import LOWER, UPPER, join_hot
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,19 @@ class ReputationParams:
     max_strength: float = 1000.0
 
 
+#: Public suffixes of two labels; all others count as of one.
+TWO_LABELS = "ac.jp ac.uk co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co com.hk com.mx com.my com.ng com.pl com.sg com.tr com.tw com.ua edu.au gov.au gov.uk ne.jp net.au or.jp or.kr org.au org.br org.nz org.uk org.za".split()
+
+
+def name_parts(host: Column) -> tuple[Column, Column]:
+    """Public suffix and registered domain of a host, port and user left aside; an address of digits is its own domain."""
+    h = F.regexp_replace(host, r"^[^@]*@|:[0-9]*$", "")
+    two = F.substring_index(h, ".", -2)
+    address, double = h.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), two.isin(TWO_LABELS)
+    suffix = F.when(address, "").when(double, two).otherwise(F.substring_index(h, ".", -1))
+    return suffix, F.when(address, h).when(double, F.substring_index(h, ".", -3)).otherwise(two)
+
+
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
 
@@ -60,7 +73,8 @@ def reputations(outcomes: DataFrame, every: DataFrame, params: ReputationParams)
     """
     p = params
     hosts = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
-    hosts = hosts.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    suffix, domain = name_parts(F.col("host"))
+    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
@@ -79,7 +93,7 @@ def reputations(outcomes: DataFrame, every: DataFrame, params: ReputationParams)
         n, k = (F.coalesce(F.col(f"{x}_{by}"), F.lit(0.0)) for x in "nk")
         return (k + F.col(strength) * F.col(above)) / (n + F.col(strength))
 
-    h = every.select("host").distinct().withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    h = every.select("host").distinct().withColumns({"suffix": suffix, "domain": domain})
     for groups, by in ((suffixes, "suffix"), (domains, "domain"), (hosts, "host")):
         h = h.join(counted(groups, by), by, "left")
     for one in (strength(suffixes, "s0"), strength(domains, "s1").select("s1"), strength(hosts, "s2").select("s2")):
@@ -100,4 +114,5 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], params: R
     found = reputations(p.select("page_id", "host").join(known, "page_id").select("host", "bad"), p, params)
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > params.block_above, "block").otherwise("allow")
-    return p.join(found, "host", "left").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bound")
+    found = found.join(p.groupBy("host").agg(F.count("*").alias("n")), "host")  # every host of p has a bound, or null
+    return join_hot(p, found, "host", p.count()).select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bound")
