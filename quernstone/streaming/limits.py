@@ -3,7 +3,10 @@
 Admission depends on its own past decisions (rejected events take no slot), so no window function gives it. The batch
 form runs over the events of a key in order; the streaming form keeps the admitted times as state with a timeout. A key
 whose events don't fit one task's memory is no problem for the batch form: it reads them as sorted batches, and its
-state is at most ``limit`` times.
+state is at most ``limit`` times. But its events are judged one after another, as each decision depends on those before:
+a client with a third of all events is one long task, in either form.
+
+Rows with a null time come first and are judged as of one moment; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -96,7 +99,9 @@ def monthly_quota(events: DataFrame, key: str, time: str, order: str, params: Qu
 def admit_stream(events: DataFrame, params: LimiterParams = LimiterParams()) -> DataFrame:
     """The limiter over a stream of (client string, event_id long, at long: microseconds): client, event_id, admitted.
 
-    State is the admitted times of a client, dropped when a window has passed without an event.
+    State is the admitted times of a client, dropped when a window of processing time has passed without an event. Events
+    are in order within a batch of the stream; one that comes in a later batch than a newer one is judged by the times
+    admitted until then, as of its own time. A client's events of one batch are held in memory.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
