@@ -416,6 +416,8 @@ def grouped(spark: SparkSession, docs: DataFrame, params: NearDupParams) -> Data
     alone = own.join(first.select("root"), "root", "left_anti").select("key", F.col("doc_id").alias("component"), F.col("key").alias("lead"), "n")
     linked = join_hot(own, first, "root", own.count(), "classes").select("key", "component", "lead", "n")
     judged = materialize(spark, linked.unionByName(alone), "judged")
+    for df in (classes, own, first):
+        discard(spark, df)
     slim = rows.select("doc_id", "n_shingles", "key")
     have = join_hot(slim.where("key is not null"), judged, "key", rows.count(), how="left")
     none = slim.where("key is null").select("*", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("lead"))

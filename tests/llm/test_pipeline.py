@@ -40,3 +40,19 @@ def test_each_stage_takes_effect(spark, folder):
 def test_registry_names():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs, labels, items = "doc_id long, text string, lang string, source string, n_chars long, key binary, root long, id long, _n long, score double", "doc_id long, quality int, toxic int", "item_id long, text string"
+    rows = [(1, prose(1, 90), "en", "s", 0, b"k", 1, 1, 1, 0.0), (2, prose(1, 90), "en", "s", 0, b"k", 1, 1, 1, 0.0), (2, prose(1, 90), "en", "s", 0, b"k", 1, 1, 1, 0.0), (3, None, None, None, None, None, None, None, None, None), (None, prose(2, 30), None, None, None, None, None, None, None, None), (5, "", "", "", 0, b"", 0, 0, 0, 1.0)]
+    for name, some in (("empty", []), ("rows", rows)):
+        d = str(tmp_path / name)
+        for table, schema, data in (("documents", docs, some), ("labels", labels, []), ("benchmark", items, [])):
+            spark.createDataFrame(data, schema).write.parquet(f"{d}/{table}.parquet")
+        kept = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            kept = stage(spark, kept, d)
+            kept.write.parquet(f"{d}/{k}")
+            kept = spark.read.parquet(f"{d}/{k}")
+            assert k == 4 or kept.columns == [c.split()[0] for c in docs.split(", ")]
+        assert sorted(str(r.doc_id) for r in kept.collect()) == (["1", "3", "5", "None"] if some else [])
