@@ -1,10 +1,24 @@
-"""A corpus pipeline: five operators in a row, each on all that the one before has kept."""
+"""A corpus pipeline: five operators in a row, each on all that the one before has kept.
+
+Every stage takes and returns the columns of documents, further ones included, whatever their names; the last returns
+the packed pieces. Edge cases, stage by stage:
+
+* toxicity: null and empty texts score as texts without any feature and stay; with no labels nothing goes; rows without
+  doc_id are judged and never train; repeated rows are judged alike.
+* near copies: null and empty texts have no copies and stay; of equal or near texts that of the smallest doc_id stays;
+  rows that repeat doc_id and text are one document; a row without doc_id goes if another has its text.
+* decontamination: null and empty texts and items match nothing; an empty benchmark drops nothing.
+* personal data: null texts stay null, n_chars follows the masked text; repeated rows are masked alike.
+* packing: null texts count as empty and take one place each (the end id).
+
+Empty tables pass through all of them to an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm.common import materialize, table
+from quernstone.llm.common import discard, materialize, table
 
 #: No SQL: classifiers and tokens are in it. tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
@@ -55,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(spark, stage(spark, docs, sf_dir), name)
+        discard(spark, before)  # the result of the stage before; the table itself was never ours
     return STAGES[-1][1](spark, docs, sf_dir)
