@@ -300,12 +300,16 @@ def text_key(text: Column) -> Column:
     return F.when(spaced != "", F.unhex(F.md5(spaced)))
 
 
+def few(ids: DataFrame, params: NearDupParams) -> DataFrame:
+    """``ids`` (one number a row), to be broadcast if they take at most ``broadcast_mb``."""
+    most = params.broadcast_mb * 1_000_000 // 64  # bytes a broadcast id takes, at most
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, params: NearDupParams) -> DataFrame:
     """(id, set) of the classes ``wanted`` (id, doc_id, key), one row a class; only the doc_ids are joined to the texts."""
-    ids = wanted.select("doc_id").distinct()
-    most = params.broadcast_mb * 1_000_000 // 64  # bytes a broadcast id takes, at most
-    few = ids.limit(most + 1).count() <= most
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+    ids = few(wanted.select("doc_id").distinct(), params)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(ids, "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # so that copies leave a task once
@@ -353,7 +357,9 @@ def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, p
             open_ = asked(placed, params).groupBy("id").agg(F.min(choice).alias("o")).select("id", "o.cell", "o.own", "o.root")
         else:
             open_ = asked_pairs(placed, params)
-        rows = open_.join(looks.select("id", "sketch"), "id").join(sets, "id").withColumn("to_all", F.lit(True))
+        open_ = materialize(spark, open_, "open")
+        wanted = few(open_.select("id").distinct(), params)  # so that only their sets move
+        rows = open_.join(looks.select("id", "sketch"), "id").join(sets.join(wanted, "id", "left_semi"), "id").withColumn("to_all", F.lit(True))
         links.append(materialize(spark, cell_links(rows, ["cell"], params), "confirmed"))
         star = links[-1].select(F.col("b").alias("id"), F.col("a").alias("root"))
         if sweep == 0:  # each class was in one cell only: its star is all of its component
@@ -398,7 +404,8 @@ def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets:
     # a part of the open ones meets every cell: once per cell for them, once per part for all others
     ask = open_.select("region", "part", "id", "own", "root").join(spots, "region").withColumn("to_all", F.lit(True))
     against = judged.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "own", "root", "cell", F.lit(False).alias("to_all"))
-    rows = ask.unionByName(against).join(looks.select("id", "sketch"), "id").join(sets, "id")
+    wanted = few(judged.select("id").distinct(), params)
+    rows = ask.unionByName(against).join(looks.select("id", "sketch"), "id").join(sets.join(wanted, "id", "left_semi"), "id")
     return materialize(spark, cell_links(rows, ["region", "part", "cell"], params), "confirmed")
 
 
