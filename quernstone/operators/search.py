@@ -73,32 +73,29 @@ def analyze_queries(queries: DataFrame, topics: list[Topic]) -> DataFrame:
     return q.select("query_id", "normalized", F.array_distinct(F.concat(*terms)).alias("terms"), F.size(F.array_distinct(terms[0])).alias("own"), F.array_distinct(F.concat(*paths)).alias("paths"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def score(index: Index, analyzed: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
     """Every passage that shares a term with a query: query_id, page_ord, chunk_index, url, score."""
-    asked = small(analyzed.select("query_id", F.size("terms").alias("asked"), "own", F.explode("terms").alias("term")), params.broadcast_terms)
-    terms = asked.select("term").distinct()
-    found = counted(index.words.join(small(terms, params.broadcast_terms), "term", "left_semi"))
+    analyzed = analyzed.persist()  # a few columns a query, used in each step
+    asked = analyzed.select("query_id", F.size("terms").alias("asked"), "own", F.explode("terms").alias("term"))
+    # one count decides: there are no more distinct terms, weights of terms or queries than terms of queries
+    few = (analyzed.agg(F.sum(F.size("terms"))).first()[0] or 0) <= params.broadcast_terms
+    small = F.broadcast if few else lambda df: df
+    found = counted(index.words.join(small(asked.select("term").distinct()), "term", "left_semi"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = df.join(F.broadcast(index.stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_length")
-    hits = found.join(small(weight, params.broadcast_terms), "term").join(asked, "term").join(index.lengths.select(*KEY, "length"), KEY)
+    hits = found.join(index.lengths, KEY).join(small(weight), "term").join(small(asked), "term")
     down = F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_length"))
     part = F.when(F.col("tf") > 0, F.col("idf") * (F.col("tf") * (params.k1 + 1)) / down).otherwise(0.0) + F.when(F.col("in_title"), F.col("idf") * params.title_weight).otherwise(0.0)
-    summed = hits.withColumn("part", part).groupBy("query_id", *KEY).agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.first("asked").alias("asked"), F.first("own").alias("own"))
-    q = analyzed.select("query_id", "normalized", "paths")
-    phrases = q.where(F.length("normalized") > params.phrase_over)
+    summed = hits.withColumn("part", part).groupBy("query_id", *KEY).agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.first("asked").alias("asked"), F.first("own").alias("own"), F.first("url").alias("url"))
     # a passage that holds the query as a phrase has all its words, but for the first and last, which may be parts of longer ones
-    maybe = summed.where(F.col("matched") >= F.col("own") - 2).select("query_id", *KEY).join(phrases.select("query_id", "normalized"), "query_id")
-    texts = maybe.join(index.passages.select(*KEY, "title", "text"), KEY)
-    held = lambda c: normalize(F.col(c)).contains(F.col("normalized"))
+    maybe = F.col("matched") >= F.col("own") - 2
+    q = small(analyzed.select("query_id", "normalized", "paths"))
+    texts = summed.where(maybe).join(q, "query_id").join(index.passages.select(*KEY, "title", "text"), KEY)
+    phrase = F.length("normalized") > params.phrase_over
+    held = lambda c: phrase & normalize(F.col(c)).contains(F.col("normalized"))
     bonus = F.when(held("text"), params.body_phrase).otherwise(0.0) + F.when(held("title"), params.title_phrase).otherwise(0.0)
-    bonuses = texts.select("query_id", *KEY, bonus.alias("phrase")).where("phrase > 0")
-    full = summed.join(bonuses, ["query_id", *KEY], "left").join(index.lengths.select(*KEY, "url"), KEY).join(q.select("query_id", "paths"), "query_id")
-    value = F.col("score") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + F.coalesce("phrase", F.lit(0.0))
+    full = texts.withColumn("phrase", bonus).drop("title", "text").unionByName(summed.where(~maybe).join(q, "query_id").withColumn("phrase", F.lit(0.0)))
+    value = F.col("score") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + F.col("phrase")
     return full.select("query_id", *KEY, "url", F.round(value + url_part(params), 4).alias("score"))
 
 
@@ -121,10 +118,15 @@ def top(scored: DataFrame, k: int, params: Bm25Params = Bm25Params(), page: str
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("nth")
 
 
+def rank(index: Index, queries: DataFrame, k: int = 6, topics: list[Topic] = (), params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
+    """query_id, page_ord, chunk_index, url, score, rank of the best ``k`` passages of each query."""
+    return top(score(index, analyze_queries(queries, list(topics)), params), k, params, page)
+
+
 def search(index: Index, queries: DataFrame, k: int = 6, topics: list[Topic] = (), params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
-    """query_id, page_ord, chunk_index, url, title, score, rank, excerpt of the best ``k`` passages of each query."""
-    best = top(score(index, analyze_queries(queries, list(topics)), params), k, params, page)
+    """As ``rank``, with title and excerpt: only the winners are joined to their texts."""
     texts = index.passages.select(*KEY, "title", F.substring("text", 1, params.excerpt).alias("excerpt"))
+    best = rank(index, queries, k, topics, params, page)
     return best.join(texts, KEY).select("query_id", *KEY, "url", "title", "score", "rank", "excerpt")
 
 

@@ -85,7 +85,7 @@ def _ranked(hits: DataFrame) -> DataFrame:
 @query
 def bm25_topk(spark, sf_dir):
     index = search.build_index(doc_passages(spark, sf_dir))
-    return _ranked(search.search(index, fixed_queries(spark), 10, page="page_ord"))
+    return _ranked(search.rank(index, fixed_queries(spark), 10, page="page_ord"))
 
 
 def flagship(spark, sf_dir):
@@ -94,7 +94,7 @@ def flagship(spark, sf_dir):
 
 @query
 def bm25_page_cap(spark, sf_dir):
-    return _ranked(search.search(search.build_index(doc_passages(spark, sf_dir)), fixed_queries(spark), 20))
+    return _ranked(search.rank(search.build_index(doc_passages(spark, sf_dir)), fixed_queries(spark), 20))
 
 
 @query
@@ -103,7 +103,7 @@ def bm25_phrase_path_boost(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_ord"), F.lit(0).alias("chunk_index"), "url", title.alias("title"), F.lit(None).cast("string").alias("description"), title.alias("text"))
     topics = [Topic("page", (PAGE_QUERY.split()[0],), (), ("/de/",))]
     asked = spark.createDataFrame([(0, PAGE_QUERY)], "query_id long, text string")
-    return _ranked(search.search(search.build_index(pages), asked, 20, topics, page="page_ord")).withColumnRenamed("doc_id", "page_id")
+    return _ranked(search.rank(search.build_index(pages), asked, 20, topics, page="page_ord")).withColumnRenamed("doc_id", "page_id")
 
 
 @query
@@ -115,13 +115,13 @@ def topic_expansion(spark, sf_dir):
 @query
 def batch_search(spark, sf_dir):
     turns = user_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    return _ranked(search.search(search.build_index(doc_passages(spark, sf_dir)), turns, 3, TOPICS))
+    return _ranked(search.rank(search.build_index(doc_passages(spark, sf_dir)), turns, 3, TOPICS))
 
 
 @query
 def relative_cut(spark, sf_dir):
     index = search.build_index(doc_passages(spark, sf_dir))
-    return _ranked(search.relative_cut(search.search(index, fixed_queries(spark), 10, page="page_ord")))
+    return _ranked(search.relative_cut(search.rank(index, fixed_queries(spark), 10, page="page_ord")))
 
 
 # --- chunks and pages --------------------------------------------------------------------------------------------
