@@ -446,8 +446,13 @@ def keep_first(spark: SparkSession, docs: DataFrame, params: NearDupParams = Nea
     name = lambda doc_id, key: F.concat_ws(":", doc_id.cast("string"), F.hex(key))
     leads = (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("lead"))
     gone = grouped(spark, docs, params).where(F.col("lead").isNotNull() & ~F.coalesce(leads, F.lit(False)))
-    gone = materialize(spark, gone.groupBy(name(F.col("doc_id"), F.col("key")).alias("_name")).agg(F.count("*").alias("_n")), "gone")
-    named = docs.withColumn("_name", name(F.col("doc_id").cast("long"), text_key(F.col("text"))))
+    gone = materialize(spark, gone.groupBy("doc_id", name(F.col("doc_id"), F.col("key")).alias("_name")).agg(F.count("*").alias("_n")), "gone")
+    # only rows whose doc_id is on the list, or that have none, need their key and move; the others stay where they are
+    ids = few(gone.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), params)
+    listed = F.col("doc_id").cast("long") == F.col("_id")
+    clear = docs.where("doc_id is not null").join(ids, listed, "left_anti")
+    doubtful = docs.join(ids, listed, "left_semi").unionByName(docs.where("doc_id is null"))
+    named = doubtful.withColumn("_name", name(F.col("doc_id").cast("long"), text_key(F.col("text"))))
     most = max(64, (gone.agg(F.sum("_n")).first()[0] or 0) // 10_000)  # as in join_hot: at most 10 000 hot names are broadcast
-    hot, cold = gone.where(F.col("_n") > most), gone.where(F.col("_n") <= most)
-    return named.join(F.broadcast(hot), "_name", "left_anti").join(cold, "_name", "left_anti").select(*docs.columns)
+    hot, cold = gone.where(F.col("_n") > most).select("_name"), gone.where(F.col("_n") <= most).select("_name")
+    return clear.unionByName(named.join(F.broadcast(hot), "_name", "left_anti").join(cold, "_name", "left_anti").select(*docs.columns))
