@@ -66,21 +66,21 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, total: int, n: str = "n
     return big.join(hot, key).unionByName(rest)
 
 
-def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows of ``counts`` with the largest ``n``: all above a limit that leaves at most ``most`` of them.
+def most_frequent(counts: DataFrame, n: str, most: int, key: str) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, about ``most`` of them; of those at the limit a slice of the hash range of ``key``.
 
     The limit comes from the counts' own distribution in steps of a sixteenth of a power of two (at most some thousand
     rows); so no task has to sort or hold the candidates of all others.
     """
     step = F.floor(F.log2(F.col(n)) * 16)
     sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()
-    have, least = 0, None
+    left = most
     for r in sorted(sizes, key=lambda r: -r["step"]):
-        have += r["rows"]
-        if have > most:
-            break
-        least = r["step"]
-    return counts.where(step >= least) if least is not None else counts.limit(0)
+        if r["rows"] > left:
+            part = int(left / r["rows"] * 1_000_000)
+            return counts.where((step > r["step"]) | ((step == r["step"]) & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < part)))
+        left -= r["rows"]
+    return counts
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:

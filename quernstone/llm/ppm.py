@@ -41,7 +41,7 @@ PAD = b"\n" * ORDER  # a text begins as if after empty lines; 0xFF, which is in
 @dataclass(frozen=True)
 class PpmParams:
     folds: int = 10  # crc32(doc_id) mod folds = 0 is held out
-    head: int = 200_000  # frequent words that each task is given, at most (bounds its memory, not the result)
+    head: int = 200_000  # frequent words that each task is given, about (bounds its memory, not the result)
     head_grams: int = 1_000_000  # frequent n-grams likewise
     flush: int = 400_000  # distinct words or n-grams a task holds before it passes them on
 
@@ -247,14 +247,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmPar
     n_all, v_all = total + ends, kinds + (ends > 0)  # the end is a token too
 
     grams = counted.where("gram is not null").select("gram", "n")
-    often = most_frequent(grams, "n", params.head_grams).withColumn("context", F.shiftright("gram", 8))
+    often = most_frequent(grams, "n", params.head_grams, "gram").withColumn("context", F.shiftright("gram", 8))
     totals = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"))
     given = often.join(totals, "context").select("gram", F.log10((F.col("n") - 0.5) / F.col("total")).alias("logp")).toArrow()
     order = np.argsort(given["gram"].to_numpy())
     head_gram, head_logp = given["gram"].to_numpy()[order], given["logp"].to_numpy()[order]
 
     scale = n_all + 0.1 * (v_all + 1)
-    top = most_frequent(words, "n", params.head).toArrow()
+    top = most_frequent(words, "n", params.head, "word").toArrow()
     head = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast((head_gram, head_logp, head))
     end_score = float(np.log10((ends + 0.1) / scale))
