@@ -47,7 +47,7 @@ PHONE_PLAIN = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET_WORDS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "api key", "access_key", "access-key", "access key", "private_key", "private-key", "credential", "auth")
 ASSIGNED = re.compile(rf"(?:{'|'.join(SECRET_WORDS)})[A-Za-z0-9_]*[\"']?(?: ?(?::=|=>|[:=]) ?[\"'`]?| is [\"'`])([^\s\"'`,;<>]{{6,}})", re.I)
-KNOWN_SECRET = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+KNOWN_SECRET = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s+[A-Za-z0-9+/=]+)+\s*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{32,})*)")
 RANDOM = re.compile(r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+=-]*[0-9])(?=[0-9_/+=-]*[A-Za-z])[A-Za-z0-9_/+=-]{24,}(?![A-Za-z0-9_/+=.-])")
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")
 CAPITAL = re.compile(r"\b[A-Z][a-z]+(?= [A-Z][a-z])")

@@ -94,3 +94,12 @@ def test_secrets_of_a_table_are_found_and_masked(spark):
     masked = pii.redact(docs)
     assert masked.where(F.col("text").rlike("token = \"[0-9a-f]{40}\"")).count() == 0
     assert masked.where("text like '%token = \"<secret>\"%'").count() == docs.count()
+
+
+def test_a_key_block_ends_where_it_ends():
+    from quernstone.llm.pii import candidates
+
+    found = lambda text: [text[s:e] for _, s, e, _ in candidates(text)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEow" + "aB3/" * 14 + "\nshort=\n-----END RSA PRIVATE KEY-----"
+    assert found(f"see {key} and more prose") == [key]
+    assert found("-----BEGIN PRIVATE KEY----- is how one begins it said") == ["-----BEGIN PRIVATE KEY-----"]
