@@ -288,14 +288,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmPar
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word:binary,n:long>>, grams array<struct<gram:long,times:long>>"
     # written once: the rows' own numbers, by which the tails come back, must not change
     scored = materialize(spark, d.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    tails = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
+    tails = materialize(spark, scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times")), "tails")
     # a word or n-gram that is not among the given ones may still be in many texts: those are no hot task
     asked_words = tails.groupBy("word").agg(F.count("*").alias("n")).join(words.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     settled = join_hot(tails, materialize(spark, asked_words, "asked"), "word", tails.count()).groupBy("row").agg(
         F.sum(F.col("times") * F.log10((c + 0.1) / scale)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known")
     )
-    asked = scored.select("row", F.explode("grams").alias("g")).select("row", "g.*")
+    asked = materialize(spark, scored.select("row", F.explode("grams").alias("g")).select("row", "g.*"), "grams")
     found = materialize(spark, settle(spark, grams, asked.groupBy("gram").agg(F.count("*").alias("n"))), "settled")
     bytes_ = join_hot(asked, found, "gram", asked.count()).groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("more_score"))
     out = scored.drop("tail", "grams").join(settled, "row", "left").join(bytes_, "row", "left")
