@@ -74,3 +74,21 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.licenses import scan_licenses
 
     return scan_licenses(spark, table(spark, sf_dir, "documents"))
+
+
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.threshold_search import rank_documents
+
+    return rank_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.whitening import whiten
+
+    return whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.spotsigs import fingerprints
+
+    return fingerprints(spark, table(spark, sf_dir, "documents"))

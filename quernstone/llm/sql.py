@@ -85,4 +85,20 @@ from embeddings e join (select a as vec_id, min(b) as component_id from reach gr
 left join (select a as vec_id, count(*) as n from links group by 1) l using (vec_id)
 """
 
-ORACLES = {"op10_url_reputation": OP10, "op2_near_dup": OP2, "op8_cover_tree": OP8}
+#: The terms of a text: what its other characters, once they are all spaces, leave apart.
+TERMS = r"list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+OP11 = f"""
+with d as (select row_number() over () as r, doc_id, {TERMS} as t from documents),
+c as (select count(*)::bigint as n, sum(len(t))::bigint as l from d where len(t) > 0),
+items as (select item_id, term, count(*)::bigint as times from (select item_id, unnest({TERMS}) as term from (select distinct item_id, text from benchmark)) group by all),
+p as (select r, doc_id, len(t)::bigint as length, term, count(*)::bigint as tf from (select r, doc_id, t, unnest(t) as term from d) where term in (select term from items) group by all),
+w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, c group by term, n),
+s as (
+  select item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * length * n) // l))))::bigint as score
+  from items join p using (term) join w using (term), c group by all
+), o as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 20
+"""
+
+ORACLES = {"op11_threshold_search": OP11, "op10_url_reputation": OP10, "op2_near_dup": OP2, "op8_cover_tree": OP8}
