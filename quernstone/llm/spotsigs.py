@@ -108,18 +108,18 @@ def successors(docs: DataFrame, p: SpotParams = SpotParams()) -> DataFrame:
 
 def fingerprints(spark: SparkSession, docs: DataFrame, p: SpotParams = SpotParams()) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how like they are to it and to the next document's."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = with_signatures(d.where(F.col("doc_id").isNotNull()), "text", "signatures", p)
-    taken = signed.join(successors(d, p).select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "taken"), "doc_id")
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = d.where(F.col("doc_id").isNotNull())  # both joins read one exchange of it; so signatures come behind
+    taken = with_signatures(placed.join(successors(d, p).select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "taken"), "doc_id"), "text", "signatures", p)
     heads = taken.select(F.col("before").alias("doc_id"), F.struct(F.expr("left(text, taken)").alias("head"), "signatures").alias("next")).groupBy("doc_id").agg(F.min("next").alias("next"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    both = signed.join(heads, "doc_id").withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next.head", F.lit(1), quarter)))
-    both = with_signatures(both, "edited", "edited_signatures", p)
+    both = placed.join(heads, "doc_id").withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next.head", F.lit(1), quarter)))
+    both = with_signatures(with_signatures(both, "text", "signatures", p), "edited", "edited_signatures", p)
     # texts without doc_id: no neighbour
     null = with_signatures(d.where(F.col("doc_id").isNull()), "text", "signatures", p).withColumns({"edited": F.lit(None).cast("string"), "edited_signatures": F.lit(None).cast("array<int>"), "next": F.lit(None).cast("struct<head:string,signatures:array<int>>")})
     shown = lambda rows: rows.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("signatures")).alias("fingerprint"),
