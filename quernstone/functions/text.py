@@ -1,15 +1,14 @@
 """Normalisation, tokens and stems.
 
-Spark has no Unicode normalisation. For texts of Latin letters a translation of single characters does the same; others
-take that one step in an Arrow-batched pandas UDF, to which the rest goes as null. Folding, cleaning, splitting and
-stemming are built-in expressions. Null texts count as empty.
+Spark has no Unicode normalisation: texts with other than ASCII letters take that one step in an Arrow-batched pandas UDF, to which
+the rest goes as null. Folding, cleaning, splitting and stemming are built-in expressions. Null texts count as empty.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +17,10 @@ from pyspark.sql import functions as F
 from quernstone.config import LONG_SUFFIXES, SHORT_SUFFIXES, STOP_WORDS
 
 
+@cache
 def _decomposed(form: str):
+    """One function object a form, so that equal plans are equal and exchanges can be reused."""
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -27,27 +29,11 @@ def _decomposed(form: str):
     return run
 
 
-@cache
-def _latin() -> tuple[str, str, str]:
-    """Lower-case Latin letters with marks, the letter of each without, and other signs below U+2100 that no form changes."""
-    marked, plain, same = [], [], []
-    for c in map(chr, [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2030)]):
-        both = {unicodedata.normalize(f, c) for f in ("NFD", "NFKD")}
-        if both == {c}:
-            same.append(c)
-        elif len(both) == 1 and len(d := both.pop()) > 1 and d[0].isascii() and all("\u0300" <= m <= "\u036f" for m in d[1:]):
-            marked.append(c)
-            plain.append(d[0])
-    return "".join(marked), "".join(plain), "".join(same)
-
-
-def _folded(text: Column, form: str) -> Column:
-    """Lower case and decomposed. Marks of Latin letters are dropped at once; only texts with other letters go to Python."""
-    marked, plain, same = _latin()
+def _folded(text: Column, form: str, marks: str) -> Column:
+    """Lower case, decomposed, without the characters of ``marks``. ASCII texts, which are as many bytes as characters, stay as they are."""
     low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    simple = F.translate(low, marked, plain)
-    other = simple.rlike(f"[^\\x00-\\x7F{same}]")
-    return F.coalesce(_decomposed(form)(F.when(other, low)), simple)
+    other = F.when(F.octet_length(low) != F.length(low), low)
+    return F.coalesce(F.regexp_replace(_decomposed(form)(other), marks, ""), low)
 
 
 def squeeze(text: Column) -> Column:
@@ -56,24 +42,29 @@ def squeeze(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case, marks dropped (NFKD), all but letters, digits and hyphens to single spaces."""
-    plain = F.regexp_replace(_folded(text, "NFKD"), r"\p{M}", "")
-    return squeeze(F.regexp_replace(plain, r"[^\p{L}\p{N}\s-]", " "))
+    return F.trim(F.regexp_replace(_folded(text, "NFKD", r"\p{M}+"), r"[^\p{L}\p{N}-]+", " "))
 
 
 def normalize_routing(text: Column) -> Column:
     """As ``normalize``, and hyphens are spaces too."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_folded(text, "NFKD"), r"\p{M}", ""), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(_folded(text, "NFKD", r"\p{M}+"), r"[^\p{L}\p{N}]+", " "))
 
 
 def normalize_intent(text: Column) -> Column:
     """NFD, only U+0300 to U+036F dropped; other marks become spaces. Not to be mixed with ``normalize``."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_folded(text, "NFD"), r"[\u0300-\u036f]", ""), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(_folded(text, "NFD", r"[\u0300-\u036f]+"), r"[^\p{L}\p{N}]+", " "))
+
+
+def _without(token: Column, endings: list[str], then) -> Column:
+    """``then`` of the token without the first of ``endings`` it has; comparing ends is much cheaper than a pattern."""
+    cut = [(e, then(F.left(token, F.length(token) - len(e)))) for e in sorted(endings, key=len, reverse=True)]
+    return reduce(lambda c, x: c.when(token.endswith(x[0]), x[1]), cut[1:], F.when(token.endswith(cut[0][0]), cut[0][1])).otherwise(then(token))
 
 
 def stem(token: Column) -> Column:
     """One long and one short ending off words of five or more ASCII letters; what remains may be short or empty."""
-    short = F.regexp_replace(F.regexp_replace(token, f"({'|'.join(LONG_SUFFIXES)})$", ""), f"({'|'.join(SHORT_SUFFIXES)})$", "")
-    return F.when(token.rlike("^[a-z]{5,}$"), short).otherwise(token)
+    short = lambda t: _without(t, SHORT_SUFFIXES, lambda x: x)
+    return F.when((F.length(token) > 4) & token.rlike("^[a-z]+$"), _without(token, LONG_SUFFIXES, short)).otherwise(token)
 
 
 def indexed(word: Column) -> Column:
@@ -92,7 +83,7 @@ def tokens(text: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Runs of three or more letters, digits and hyphens, without marks; neither stopped nor stemmed."""
-    return F.regexp_extract_all(F.regexp_replace(_folded(text, "NFKD"), r"\p{M}", ""), F.lit(r"[\p{L}\p{N}-]{3,}"), 0)
+    return F.regexp_extract_all(_folded(text, "NFKD", r"\p{M}+"), F.lit(r"[\p{L}\p{N}-]{3,}"), 0)
 
 
 def text_tokens(normalized: Column) -> Column:

@@ -157,7 +157,7 @@ def useful_sentences(hits: DataFrame, params: AnswerParams = AnswerParams()) ->
 def _spaced(text: Column) -> Column:
     from quernstone.functions.text import _folded
 
-    return F.regexp_replace(_folded(text, "NFKD"), r"\p{M}", "")
+    return _folded(text, "NFKD", r"\p{M}+")
 
 
 def local_answer(questions: DataFrame, hits: DataFrame, params: AnswerParams = AnswerParams()) -> DataFrame:

@@ -1,60 +1,118 @@
-"""Ranked retrieval: an inverted index as DataFrames, topic expansion, BM25 with boosts, a cap per page, top-k per query.
+"""Ranked retrieval: a stored inverted index, topic expansion, BM25 with boosts, a cap per page, top-k per query.
 
-Queries are a DataFrame too, so a batch of any size is one job: terms of queries meet the words of passages in an
-equi-join, before anything is counted, so that only asked terms are aggregated. Scores are numbers until the winners are
-known; texts are joined to these, and to the passages that may hold a query as a phrase. Ties are broken by passage
-order, so results are total. Repeated passages each count; null texts are empty passages and drop out; no passages or
-queries give an empty result.
+The index is written once, part by part as it is asked for, to a folder that can be opened again: ``bodies`` (normalised
+texts, headings, excerpts, lengths), ``postings`` (what each term adds to the score of each passage, by term and falling impact)
+and ``blocks`` (of each term and impact level the largest part and the number of postings).
+
+Queries are a DataFrame too, so a batch of any size is one job. It prunes as MaxScore does, over block maxima. The terms of a
+query stand in falling order of their maxima; a passage whose first term is the i-th scores at most what its block of that term and
+the maxima of the terms behind it give. So:
+
+1. the first blocks of each term give lower bounds of scores, and of the k-th best score that the cap per page leaves;
+2. only blocks that reach that bound are read; what they add up to per query and passage, and what the unread blocks could add,
+   bounds each score from both sides, and the k-th best lower bound (a better one) drops most pairs;
+3. pairs that are left are scored whole, by look-ups of (passage, term), the phrases by the stored texts.
+
+Frequent terms weigh little, so their postings are hardly read unless a query has no others. Results are those of scoring every pair.
+Ties are broken by passage order, so results are total. page_ord and chunk_index tell passages apart;
+null texts are empty passages and drop out; no passages or queries give an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import TRANSLATED_SUFFIX, Bm25Params, Topic
 from quernstone.functions.text import indexed, normalize, stem, tokens_of
+from quernstone.sources.stored import new_path, present, stored
 
 #: What identifies a passage, in rank order for ties.
 KEY = ["page_ord", "chunk_index"]
+#: Scores are rounded to four places, and sums depend on their order; bounds are looser by this.
+SLACK = 1e-3
 
 
 @dataclass(frozen=True)
 class Index:
-    passages: DataFrame  # page_ord, chunk_index, url, title, description, text
-    words: DataFrame  # page_ord, chunk_index, term, tf (1 in the body, 0 in the heading), in_title: a row for each word
-    lengths: DataFrame  # page_ord, chunk_index, url, length
-    stats: DataFrame  # n, avg_length, page_count: one row
+    """Parts of the index of ``passages`` at ``path``; each is written at its first use, or read if an earlier session wrote it."""
 
-    @property
-    def postings(self) -> DataFrame:
-        """page_ord, chunk_index, term, tf, in_title."""
-        return counted(self.words)
+    passages: DataFrame  # page_ord, chunk_index, url, title, description, text: error pages and blank ones are left out
+    page_count: DataFrame  # one row
+    path: str
+    params: Bm25Params
 
-    @property
-    def term_df(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+    def part(self, name: str, rows: DataFrame) -> DataFrame:
+        at = f"{self.path}/{name}"
+        if present(rows.sparkSession, at):
+            return rows.sparkSession.read.schema(rows.schema).parquet(at)
+        return stored(rows, at)
 
+    @property
+    def plain(self) -> DataFrame:
+        """page_ord, chunk_index, url, title, excerpt, body, head (normalised), length: not stored."""
+        heading = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+        p = self.passages.select(*KEY, "url", "title", F.left("text", F.lit(self.params.excerpt)).alias("excerpt"), normalize(F.col("text")).alias("body"), normalize(heading).alias("head"), normalize(F.coalesce("title", F.lit(""))).alias("name"))
+        return p.withColumn("length", F.size(F.filter(F.split("body", " "), indexed)))
+
+    @cached_property
+    def bodies(self) -> DataFrame:
+        return self.part("bodies", self.plain)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """n, avg_length, page_count: one row."""
+        s = self.plain.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"))
+        return s.join(F.broadcast(self.page_count))
+
+    def counted(self, of: DataFrame) -> DataFrame:
+        """page_ord, chunk_index, term, tf, in_title. Words are counted as they stand, and only distinct ones of a passage stemmed."""
+        split = of.select(*KEY, F.split("body", " ").alias("b"), F.split("head", " ").alias("h"))
+        every = split.select(*KEY, F.size("b").alias("_n"), F.posexplode(F.concat("b", "h")).alias("_at", "word"))
+        words = every.groupBy(*KEY, "word").agg(F.count_if(F.col("_at") < F.col("_n")).alias("tf"), F.max(F.col("_at") >= F.col("_n")).alias("in_title")).where(indexed(F.col("word")))
+        return words.groupBy(*KEY, stem(F.col("word")).alias("term")).agg(F.sum("tf").cast("int").alias("tf"), F.max("in_title").alias("in_title"))
 
-def counted(words: DataFrame) -> DataFrame:
-    return words.groupBy(*KEY, "term").agg(F.sum("tf").cast("int").alias("tf"), F.max("in_title").alias("in_title"))
+    @property
+    def term_counts(self) -> DataFrame:
+        return self.counted(self.plain)
 
+    @property
+    def term_df(self) -> DataFrame:
+        return self.term_counts.groupBy("term").agg(F.count("*").alias("df"))
 
-def build_index(passages: DataFrame, page_count: DataFrame | None = None) -> Index:
-    """Index of ``passages`` (page_ord, chunk_index, url, title, description, text); error pages and blank ones are left out."""
+    @cached_property
+    def postings(self) -> DataFrame:
+        """term, level, page_ord, chunk_index, part: dealt and sorted by term and falling part, so that a term is read from a few files."""
+        p, spark = self.params, self.passages.sparkSession
+        n, avg = self.bodies.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
+        counts = self.part("counts", self.counted(self.bodies))
+        df = counts.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        down = F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("length") / F.lit(avg))
+        value = F.when(F.col("tf") > 0, idf * (F.col("tf") * (p.k1 + 1)) / down).otherwise(0.0) + F.when(F.col("in_title"), idf * p.title_weight).otherwise(0.0)
+        rows = counts.join(self.bodies.select(*KEY, "length"), KEY).join(df, "term").select("term", *KEY, value.alias("part"))
+        level = F.floor(-8 * F.log2(F.greatest("part", F.lit(1e-9)))).cast("int")
+        dealt = rows.withColumn("level", level).repartitionByRange("term", "level", *KEY).sortWithinPartitions("term", F.desc("part"))
+        return self.part("postings", dealt.select("term", "level", *KEY, "part"))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """term, level (smaller: larger parts), most (largest part of it), postings (how many)."""
+        return self.part("blocks", self.postings.groupBy("term", "level").agg(F.max("part").alias("most"), F.count("*").alias("postings")))
+
+
+def build_index(passages: DataFrame, page_count: DataFrame | None = None, params: Bm25Params = Bm25Params(), path: str | None = None) -> Index:
+    """Index of ``passages`` (page_ord, chunk_index, url, title, description, text) at ``path``, a new folder in the shared one unless given.
+
+    A folder that holds parts already is opened, not written again: then ``passages`` should be those it was made of.
+    """
     named = ~F.coalesce(F.col("title"), F.lit("")).rlike("(?i)^(page not found|access denied)$")
     kept = passages.where(named & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    heading = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    p = kept.select(*KEY, "url", F.split(normalize(F.col("text")), " ").alias("body"), F.split(normalize(heading), " ").alias("head"))
-    every = p.select(*KEY, F.size("body").alias("_n"), F.posexplode(F.concat("body", "head")).alias("_at", "word")).where(indexed(F.col("word")))
-    words = every.select(*KEY, stem(F.col("word")).alias("term"), (F.col("_at") < F.col("_n")).cast("int").alias("tf"), (F.col("_at") >= F.col("_n")).alias("in_title"))
-    lengths = p.select(*KEY, "url", F.size(F.filter("body", indexed)).alias("length"))
-    stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"))
     pages = page_count if page_count is not None else passages.agg(F.count_distinct("page_ord").alias("page_count"))
-    return Index(kept, words, lengths, stats.join(F.broadcast(pages)))
+    return Index(kept, pages, path or new_path(passages.sparkSession, "index"), params)
 
 
 def analyze_queries(queries: DataFrame, topics: list[Topic]) -> DataFrame:
@@ -73,59 +131,116 @@ def analyze_queries(queries: DataFrame, topics: list[Topic]) -> DataFrame:
     return q.select("query_id", "normalized", F.array_distinct(F.concat(*terms)).alias("terms"), F.size(F.array_distinct(terms[0])).alias("own"), F.array_distinct(F.concat(*paths)).alias("paths"))
 
 
-def score(index: Index, analyzed: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
-    """Every passage that shares a term with a query: query_id, page_ord, chunk_index, url, score."""
-    analyzed = analyzed.persist()  # a few columns a query, used in each step
-    asked = analyzed.select("query_id", F.size("terms").alias("asked"), "own", F.explode("terms").alias("term"))
-    # one count decides: there are no more distinct terms, weights of terms or queries than terms of queries
-    few = (analyzed.agg(F.sum(F.size("terms"))).first()[0] or 0) <= params.broadcast_terms
-    small = F.broadcast if few else lambda df: df
-    found = counted(index.words.join(small(asked.select("term").distinct()), "term", "left_semi"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weight = df.join(F.broadcast(index.stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_length")
-    hits = found.join(index.lengths, KEY).join(small(weight), "term").join(small(asked), "term")
-    down = F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_length"))
-    part = F.when(F.col("tf") > 0, F.col("idf") * (F.col("tf") * (params.k1 + 1)) / down).otherwise(0.0) + F.when(F.col("in_title"), F.col("idf") * params.title_weight).otherwise(0.0)
-    summed = hits.withColumn("part", part).groupBy("query_id", *KEY).agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.first("asked").alias("asked"), F.first("own").alias("own"), F.first("url").alias("url"))
-    # a passage that holds the query as a phrase has all its words, but for the first and last, which may be parts of longer ones
-    maybe = F.col("matched") >= F.col("own") - 2
-    q = small(analyzed.select("query_id", "normalized", "paths"))
-    texts = summed.where(maybe).join(q, "query_id").join(index.passages.select(*KEY, "title", "text"), KEY)
-    phrase = F.length("normalized") > params.phrase_over
-    held = lambda c: phrase & normalize(F.col(c)).contains(F.col("normalized"))
-    bonus = F.when(held("text"), params.body_phrase).otherwise(0.0) + F.when(held("title"), params.title_phrase).otherwise(0.0)
-    full = texts.withColumn("phrase", bonus).drop("title", "text").unionByName(summed.where(~maybe).join(q, "query_id").withColumn("phrase", F.lit(0.0)))
-    value = F.col("score") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + F.col("phrase")
-    return full.select("query_id", *KEY, "url", F.round(value + url_part(params), 4).alias("score"))
-
-
-def url_part(params: Bm25Params) -> Column:
+def share(matched: Column, asked: Column, p: Bm25Params) -> Column:
+    return p.base_share + (1 - p.base_share) * F.least(matched / asked, F.lit(1.0))
+
+
+def url_part(url: Column, paths: Column, params: Bm25Params) -> Column:
     """What the url of a passage adds, given the query's preferred paths."""
-    url = F.coalesce(F.col("url"), F.lit(""))
-    value = F.when(F.exists("paths", lambda x: url.contains(x)), params.preferred).otherwise(0.0)
+    u = F.coalesce(url, F.lit(""))
+    value = F.when(F.exists(paths, lambda x: u.contains(x)), params.preferred).otherwise(0.0)
     for part_of_url, boost in params.url_boosts:
-        value = value + F.when(url.contains(part_of_url), boost).otherwise(0.0)
-    return value + F.when(url.rlike(TRANSLATED_SUFFIX), params.translated).otherwise(0.0)
+        value = value + F.when(u.contains(part_of_url), boost).otherwise(0.0)
+    return value + F.when(u.rlike(TRANSLATED_SUFFIX), params.translated).otherwise(0.0)
 
 
-def top(scored: DataFrame, k: int, params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
-    """The best ``k`` passages of each query, at most ``per_page`` of a page: adds rank.
+def capped(rows: DataFrame, value: str, k: int, params: Bm25Params, page: str) -> DataFrame:
+    """The best ``k`` of each query by ``value``, at most ``per_page`` of a page: adds rank.
 
     Ranks within (query, page) come first: that window is dealt by both columns, and leaves few rows to the second.
     """
-    order = [F.desc("score"), *KEY]
-    capped = scored.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", page).orderBy(*order))).where(F.col("nth") <= params.per_page)
-    return capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("nth")
+    order = [F.desc(value), *KEY]
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", page).orderBy(*order))).where(F.col("nth") <= params.per_page)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("nth")
+
+
+def _kth(rows: DataFrame, k: int, params: Bm25Params, page: str) -> DataFrame:
+    """query_id, least: the k-th best lower bound of each query that has k."""
+    return capped(rows, "low", k, params, page).where(F.col("rank") == k).select("query_id", F.col("low").alias("least"))
+
+
+@dataclass(frozen=True)
+class Pruned:
+    """What a search reads: for tests and for measuring."""
+
+    touched: DataFrame  # query_id, term, level, ...: the blocks read
+    pairs: DataFrame  # query_id, page_ord, chunk_index: the pairs scored whole
+
+
+def prune(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: str, small=lambda df: df, seeds: int = 64) -> Pruned:
+    """Blocks and pairs that can be among the best ``k``."""
+    spark: SparkSession = index.passages.sparkSession
+    asked = analyzed.select("query_id", F.size("terms").alias("asked"), "own", F.size("paths").alias("n_paths"), F.length("normalized").alias("chars"), F.posexplode("terms").alias("place", "term"))
+    blocks, pages = index.blocks.join(small(asked.select("term").distinct()), "term", "left_semi"), index.bodies.select(*KEY, "url")
+    # per term: its maximum, and how many postings stand in larger blocks
+    by_term = Window.partitionBy("term").orderBy("level")
+    blocks = blocks.withColumns({"top": F.max("most").over(Window.partitionBy("term")), "before": F.coalesce(F.sum("postings").over(by_term.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    met = asked.join(small(blocks), "term")
+    # what a query's first terms leave: sums of the maxima behind each term, in falling order
+    terms = met.select("query_id", "term", "top", "place", "asked", "own", "n_paths", "chars").distinct()
+    falling = Window.partitionBy("query_id").orderBy(F.desc("top"), "term")
+    behind = falling.rowsBetween(1, Window.unboundedFollowing)
+    missing = F.coalesce(F.count_if(F.col("place") < F.col("own")).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    boosts = sum(v for _, v in params.url_boosts if v > 0)
+    # a passage that holds the query as a phrase has all its words, but for the first and last, which may be parts of longer ones
+    phrase = F.when((F.col("chars") > params.phrase_over) & (missing <= 2), params.body_phrase + params.title_phrase).otherwise(0.0)
+    terms = terms.select("query_id", "term", F.coalesce(F.sum("top").over(behind), F.lit(0.0)).alias("rest"), share(F.count("*").over(falling.rowsBetween(0, Window.unboundedFollowing)), F.col("asked"), params).alias("factor"), (phrase + F.when(F.col("n_paths") > 0, params.preferred).otherwise(0.0) + boosts).alias("extra"))
+    met = met.join(terms, ["query_id", "term"]).withColumn("bound", (F.col("most") + F.col("rest")) * F.col("factor") + F.col("extra"))
+    met = stored(met.select("query_id", "term", "level", "most", "top", "bound", "before", "postings", "asked", "own", "n_paths", "chars"), new_path(spark, "met"))
+
+    paths = analyzed.select("query_id", "paths")
+
+    def bounded(read: DataFrame, unread: Column) -> DataFrame:
+        """Of each pair: what was read, less what its terms could have had unread; and the lower bound of its score."""
+        hits = index.postings.join(small(read), ["term", "level"])
+        summed = hits.groupBy("query_id", *KEY).agg(F.sum("part").alias("sum"), F.count("*").alias("seen"), F.sum(unread).alias("seen_unread"), F.count_if(unread > 0).alias("seen_open"), F.first("asked").alias("asked"), F.first("own").alias("own"), F.first("chars").alias("chars"))
+        both = summed.join(pages, KEY).join(small(paths), "query_id")
+        return both.withColumn("plus", url_part(F.col("url"), F.col("paths"), params)).withColumn("low", F.col("sum") * share(F.col("seen"), F.col("asked"), params) + F.col("plus")).drop("paths")
+
+    # 1: the first blocks; a first block of many equal parts is no seed
+    first = met.where((F.col("before") < seeds) & (F.col("postings") <= 16 * seeds))
+    least = stored(_kth(bounded(first, F.lit(0.0)), k, params, page), new_path(spark, "least"))
+    # 2: blocks that reach it
+    reach = met.join(small(least), "query_id", "left").withColumn("read", F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
+    left = reach.groupBy("query_id", "term").agg(F.coalesce(F.max(F.when(~F.col("read"), F.col("most"))), F.lit(0.0)).alias("unread"))
+    open_ = left.groupBy("query_id").agg(F.sum("unread").alias("all_unread"), F.count_if(F.col("unread") > 0).alias("all_open"))
+    touched = stored(reach.where("read").join(left, ["query_id", "term"]).select("query_id", "term", "level", "asked", "own", "chars", "unread"), new_path(spark, "touched"))
+    pairs = stored(bounded(touched, F.col("unread")), new_path(spark, "bounds"))
+    better = _kth(pairs, k, params, page).withColumnRenamed("least", "better")
+    most_matched = F.col("seen") + F.col("all_open") - F.col("seen_open")
+    held = F.when((F.col("chars") > params.phrase_over) & (most_matched >= F.col("own") - 2), params.body_phrase + params.title_phrase).otherwise(0.0)
+    high = (F.col("sum") + F.col("all_unread") - F.col("seen_unread")) * share(most_matched, F.col("asked"), params) + F.col("plus") + held
+    kept = pairs.join(small(open_), "query_id").join(small(better), "query_id", "left").where(F.col("better").isNull() | (high >= F.col("better") - SLACK))
+    return Pruned(touched, stored(kept.select("query_id", *KEY), new_path(spark, "pairs")))
+
+
+def score(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: str) -> DataFrame:
+    """query_id, page_ord, chunk_index, url, score of at least the passages that can be among the best ``k``."""
+    analyzed = stored(analyzed, new_path(index.passages.sparkSession, "analyzed"))
+    # one count decides: there are no more distinct terms or queries than terms of queries
+    few = (analyzed.agg(F.sum(F.size("terms"))).first()[0] or 0) <= params.broadcast_terms
+    small = F.broadcast if few else lambda df: df
+    pairs = prune(index, analyzed, k, params, page, small).pairs
+    asked = analyzed.select("query_id", F.explode("terms").alias("term"))
+    wanted = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi").select(*KEY, "term", "part")
+    hits = pairs.join(wanted, KEY).join(small(asked), ["query_id", "term"])
+    summed = hits.groupBy("query_id", *KEY).agg(F.sum("part").alias("sum"), F.count("*").alias("matched"))
+    q = analyzed.select("query_id", "normalized", F.size("terms").alias("asked"), "own", "paths")
+    full = summed.join(small(q), "query_id").join(index.bodies.select(*KEY, "url", "body", "name"), KEY)
+    phrase = (F.length("normalized") > params.phrase_over) & (F.col("matched") >= F.col("own") - 2)
+    bonus = F.when(phrase & F.col("body").contains(F.col("normalized")), params.body_phrase).otherwise(0.0) + F.when(phrase & F.col("name").contains(F.col("normalized")), params.title_phrase).otherwise(0.0)
+    value = F.col("sum") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + bonus
+    return full.select("query_id", *KEY, "url", F.round(value + url_part(F.col("url"), F.col("paths"), params), 4).alias("score"))
 
 
 def rank(index: Index, queries: DataFrame, k: int = 6, topics: list[Topic] = (), params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
-    """query_id, page_ord, chunk_index, url, score, rank of the best ``k`` passages of each query."""
-    return top(score(index, analyze_queries(queries, list(topics)), params), k, params, page)
+    """query_id, page_ord, chunk_index, url, score, rank of the best ``k`` passages of each query, at most ``per_page`` of a ``page``."""
+    return capped(score(index, analyze_queries(queries, list(topics)), k, params, page), "score", k, params, page)
 
 
 def search(index: Index, queries: DataFrame, k: int = 6, topics: list[Topic] = (), params: Bm25Params = Bm25Params(), page: str = "url") -> DataFrame:
     """As ``rank``, with title and excerpt: only the winners are joined to their texts."""
-    texts = index.passages.select(*KEY, "title", F.substring("text", 1, params.excerpt).alias("excerpt"))
+    texts = index.bodies.select(*KEY, "title", "excerpt")
     best = rank(index, queries, k, topics, params, page)
     return best.join(texts, KEY).select("query_id", *KEY, "url", "title", "score", "rank", "excerpt")
 

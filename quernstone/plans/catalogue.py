@@ -65,7 +65,7 @@ def token_stems(spark, sf_dir):
 
 @query
 def term_frequency(spark, sf_dir):
-    return search.build_index(doc_passages(spark, sf_dir)).postings.select(F.col("page_ord").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
+    return search.build_index(doc_passages(spark, sf_dir)).term_counts.select(F.col("page_ord").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
 
 
 @query

@@ -153,7 +153,7 @@ def sql() -> dict[str, str]:
     values = ", ".join(f"({names(r)})" for r in STRINGS)
     holders = lambda x: rf"list_sort(regexp_extract_all({x}, '\{{\{{\s*([A-Za-z0-9_.]+)\s*\}}\}}', 1))"
     refers = r"(len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}-]{3,}')) < 7 OR regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(it|that|this|they|them|those|these)($|[^A-Za-z0-9_])'))"
-    wants = f"SELECT conv_id, turn, {route('text')} AS plain FROM conversations WHERE role = 'user'"
+    plain_turns = f"SELECT conv_id, turn, {route('text')} AS plain FROM conversations WHERE role = 'user'"
     guard = lambda x: {k: f"regexp_matches(coalesce({x}, ''), {lit(p)})" for k, p in SENSITIVE_PATTERNS.items()}
     official = " OR ".join(f"h = {lit(d)} OR ends_with(h, {lit('.' + d)})" for d in DOMAINS)
     topk = ranked(DOCS, ASKED, 10)
@@ -240,8 +240,8 @@ SELECT doc_id AS answer_id, paragraph, s AS start, e AS "end", array_to_string(l
         "intent_scores": "SELECT conv_id, turn, " + ", ".join(f"{best([exact('q', t) for t in ts])}::BIGINT AS {n}" for n, ts in INTENTS.items()) + f" FROM (SELECT conv_id, turn, {route('text')} AS q FROM conversations WHERE role = 'user')",
         "topic_argmax": argmax(TOPIC_PHRASES, 1, "'general'"),
         "flow_match": f"SELECT conv_id, turn, topic AS flow_id FROM ({argmax(list(FLOWS.items()), 4, 'NULL')})",
-        "followup_rules": f"SELECT conv_id, turn, {rules('plain', FOLLOW_UPS, 'next,documents,official')} AS followups FROM ({wants})",
-        "domain_routing": f"SELECT conv_id, turn, {rules('plain', [(VISITOR, ','.join(VISITOR_DOMAINS))], ','.join(OFFICIAL_DOMAINS))} AS domains FROM ({wants})",
+        "followup_rules": f"SELECT conv_id, turn, {rules('plain', FOLLOW_UPS, 'next,documents,official')} AS followups FROM ({plain_turns})",
+        "domain_routing": f"SELECT conv_id, turn, {rules('plain', [(VISITOR, ','.join(VISITOR_DOMAINS))], ','.join(OFFICIAL_DOMAINS))} AS domains FROM ({plain_turns})",
         "rate_limit": f"WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, event_id, n, true AS admitted, [t] AS times FROM e WHERE n = 1 UNION ALL SELECT user_id, event_id, n, len(k) < 3, CASE WHEN len(k) < 3 THEN k || [t] ELSE k END FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(r.times, lambda x: e.t - x < {DAY}) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)) SELECT user_id, event_id, admitted FROM r",
         "cache_ttl_hits": f"WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, event_id, n, false AS hit, t AS made FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t - r.made <= {DAY}, CASE WHEN e.t - r.made <= {DAY} THEN r.made ELSE e.t END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, event_id, hit FROM r",
         "monthly_quota": "SELECT user_id, event_id, month, used, used <= 5 AS allowed FROM (SELECT user_id, event_id, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS used FROM events)",
