@@ -1,8 +1,8 @@
 """Document fingerprints by spot signatures, in DataFrame functions alone.
 
 A text's words are the runs of letters, marks and digits, in lower case; signs of scripts without spaces are words each. Behind every anchor
-the chain of the next ``chain`` content words (not common ones) forms a signature, with the anchor in front; the set of their
-32-bit hashes is the fingerprint, in increasing order, eight hexadecimal digits each. Anchors are the common words of ``common``, the
+the chain of the next ``chain`` content words (not common ones) forms a signature, with the anchor in front; words go by 32-bit
+hashes, and the set of the chains' 32-bit hashes is the fingerprint, in increasing order, eight hexadecimal digits each. Anchors are the common words of ``common``, the
 start of the text, and, as not all languages are in that list, one content word in ``extra`` (by its hash). Texts without a content word have
 the hash of all their words, texts without words have the empty set; equal texts have equal fingerprints.
 
@@ -34,7 +34,9 @@ COMMON = tuple(
     "la las le les lo los mais mit my na ne nicht no not o of on or os ou par para pas per pour que qui se sein she si sich sie so son su sur te that the their they this to um un una und une uno von "
     "was we were which who will with would y you zu zum zur".split()
 )
-WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]+"
+#: Signs that are words by themselves: Thai, Lao, Myanmar, Khmer, kana and Han; by ranges, as script names are slow to match.
+SIGNS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\x{20000}-\x{3134F}"
+WORD = rf"[a-z0-9\u00DF-\u00F6\u00F8-\u00FF\p{{L}}\p{{M}}\p{{N}}&&[^{SIGNS}]]+|[{SIGNS}]"
 
 
 @dataclass(frozen=True)
@@ -51,22 +53,24 @@ def with_signatures(rows: DataFrame, text: str, out: str, p: SpotParams = SpotPa
     """``rows`` and, as ``out``, the sorted distinct 32-bit signatures of the column ``text``. One step a column, so that none is worked out twice."""
     none = F.array().cast("array<int>")
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
-    # a line for each content word, with the common words before it; common words at the end are before none
-    lines = F.array_join(F.transform("_words", lambda w: F.concat(w, F.when(w.isin(*p.common), F.lit(" ")).otherwise(F.lit("\n")))), "")
-
-    def of_piece(q: Column, k: Column) -> Column:
-        before = F.get("_content", k - 1)
-        own = F.when(k == 0, F.array(F.lit("^"))).when(F.pmod(F.hash(before), F.lit(p.extra)) == 0, F.array(before)).otherwise(F.array().cast("array<string>"))
-        chain = [F.get("_content", k + i) for i in range(p.chain)]
-        spots = F.transform(F.concat(F.slice(q, 1, F.size(q) - 1), own), lambda a: F.hash(a, *chain))
-        first = F.when(k == 0, F.array(F.hash(F.lit("^"), F.get("_content", F.lit(0))))).otherwise(none)
-        return F.when(F.element_at(q, -1) == "", none).otherwise(F.concat(spots, first))
-
-    d = rows.withColumn("_words", words).withColumn("_pieces", F.transform(F.split(lines, "\n"), lambda x: F.split(x, " ")))
-    d = d.withColumn("_content", F.transform("_pieces", lambda q: F.element_at(q, -1)))
-    d = d.withColumn("_spots", F.sort_array(F.array_distinct(F.flatten(F.transform("_pieces", of_piece)))))
-    whole = F.when(F.size("_words") > 0, F.array(F.hash(F.array_join("_words", " ")))).otherwise(none)
-    return d.withColumn(out, F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(whole)).drop("_words", "_pieces", "_content", "_spots")
+    common = [F.hash(F.lit(w)) for w in p.common]
+    word = lambda i: F.get("_words", i)
+    start = F.hash(F.lit("^"))
+
+    def of_content(i: Column, k: Column) -> Column:
+        """Of the k-th content word, the i-th of all: behind the common words since the content word before, and perhaps that one."""
+        before = F.when(k == 0, -1).otherwise(F.get("_content", k - 1))
+        own = F.when(k == 0, F.array(start)).when(F.pmod(word(before), F.lit(p.extra)) == 0, F.array(word(before))).otherwise(none)
+        chain = [word(i), *(word(F.get("_content", k + c)) for c in range(1, p.chain))]
+        spots = F.transform(F.concat(F.slice("_words", before + 2, i - before - 1), own), lambda a: F.hash(a, *chain))
+        return F.when(k == 0, F.concat(spots, F.array(F.hash(start, word(i))))).otherwise(spots)
+
+    d = rows.withColumn("_words", F.transform(words, lambda w: F.hash(w)))
+    places = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(none)
+    d = d.withColumn("_content", F.filter(places, lambda i: ~word(i).isin(common)))
+    d = d.withColumn("_spots", F.sort_array(F.array_distinct(F.flatten(F.transform("_content", of_content)))))
+    whole = F.when(F.size("_words") > 0, F.array(F.hash("_words"))).otherwise(none)
+    return d.withColumn(out, F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(whole)).drop("_words", "_content", "_spots")
 
 
 def fingerprint(signatures: Column) -> Column:
