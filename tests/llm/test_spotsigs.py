@@ -15,19 +15,19 @@ def spots(spark, texts, p=SpotParams()):
 
 
 def hashes(spark, chains):
-    return sorted(r.h for c in chains for r in spark.range(1).select(F.hash(*map(F.lit, c)).alias("h")).collect())
+    return sorted(r.h for c in chains for r in spark.range(1).select(F.hash(*[F.hash(F.lit(w)) for w in c]).alias("h")).collect())
 
 
 def test_chains_follow_common_words(spark):
     text = "At a rally, to kick off the weeklong Campaign of"
     got = spots(spark, [text], SpotParams(extra=2**31 - 1))[0]
-    chains = [("at", "rally", "kick"), ("a", "rally", "kick"), ("^", "rally", "kick"), ("^", "rally"), ("to", "kick", "off"), ("the", "weeklong", "campaign"), ("campaign", "")]
-    assert got == hashes(spark, chains[:-1])
+    chains = [("at", "rally", "kick"), ("a", "rally", "kick"), ("^", "rally", "kick"), ("^", "rally"), ("to", "kick", "off"), ("the", "weeklong", "campaign")]
+    assert got == hashes(spark, chains)
 
 
 def test_words_of_all_scripts(spark):
     a, b, c, d, e = spots(spark, ["東京は日本の首都です", "ÜBER die Brücke", "über  die\nbrücke!", "the of", "!?"])
-    assert len(a) > 2 and b == c and len(d) == 1 and e == []
+    assert len(a) > 1 and b == c and len(d) == 1 and e == []
 
 
 def brute(rows):
