@@ -240,6 +240,7 @@ def vector_groups(spark: SparkSession, vectors: DataFrame, params: CoverParams =
     own = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     own = own.select(*group, "vector", "vec_id", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("found"), F.coalesce("root", "id").alias("root"))
     own = materialize(spark, own, "roots")
+    discard(spark, roots)
     first = materialize(spark, own.groupBy("root").agg(F.min("vec_id").alias("component"), F.count("*").alias("classes")).where("classes > 1"), "first")
     key = F.sha2(F.concat_ws(":", F.col("label").cast("string"), F.col("dims").cast("string"), F.hex("vector")), 256).alias("key")
     linked = join_hot(own, first, "root", own.count(), "classes").select(key, "found", "component", "n")
@@ -248,6 +249,6 @@ def vector_groups(spark: SparkSession, vectors: DataFrame, params: CoverParams =
     real = join_hot(rows.where("vector is not null").select("vec_id", key), judged, "key", rows.count())
     real = real.select("vec_id", F.col("found").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     none = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    for df in (placed, blocks, found):
+    for df in (classes, own, first, placed, blocks, found):
         discard(spark, df)
     return real.unionByName(none).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

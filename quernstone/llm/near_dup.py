@@ -123,6 +123,7 @@ def cells(spark: SparkSession, classes: DataFrame, params: NearDupParams) -> Dat
     here = every.withColumn("region", region(params.least))
     sizes = materialize(spark, here.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
     members = materialize(spark, join_hot(here, sizes, "region", classes.count() * params.trees), "members")
+    spent = [sizes, members]
     none = F.lit(None).cast("long").alias("region")
     out = members.where(F.col("n") <= params.region).select(F.col("region").alias("cell"), "id", "own", none)
     crowded = members.where(F.col("n") > params.region)
@@ -137,11 +138,13 @@ def cells(spark: SparkSession, classes: DataFrame, params: NearDupParams) -> Dat
         fits = placed.where((F.col("n") <= params.region) | (F.col("depth") == params.depth))
         crowded = fits.groupBy("id", "tree").agg(F.min(F.struct("depth", "region", "n", "own")).alias("p")).select("id", "tree", "p.region", "p.n", "p.own").where("n > 1")
         crowded = materialize(spark, crowded, "deep")
+        spent += [sizes, crowded]
         out = out.unionByName(crowded.where(F.col("n") <= params.region).select(F.col("region").alias("cell"), "id", "own", none))
     dealt = F.xxhash64("region", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / params.region)))
     out = out.unionByName(crowded.where(F.col("n") > params.region).select(dealt.alias("cell"), "id", "own", "region"))
     made = materialize(spark, out, "cells")
-    discard(spark, members)
+    for df in spent:
+        discard(spark, df)
     return made
 
 
@@ -361,16 +364,19 @@ def class_components(spark: SparkSession, docs: DataFrame, classes: DataFrame, p
         wanted = few(open_.select("id").distinct(), params)  # so that only their sets move
         rows = open_.join(looks.select("id", "sketch"), "id").join(sets.join(wanted, "id", "left_semi"), "id").withColumn("to_all", F.lit(True))
         links.append(materialize(spark, cell_links(rows, ["cell"], params), "confirmed"))
+        discard(spark, open_)
         star = links[-1].select(F.col("b").alias("id"), F.col("a").alias("root"))
         if sweep == 0:  # each class was in one cell only: its star is all of its component
             labels = star
         elif sweep == 1:
             labels = materialize(spark, merged(labels, star), "labels")
-    every = reduce(DataFrame.unionByName, links)
     more = region_links(spark, forest, looks, sets, labels, params)
-    roots = components(spark, every if more is None else every.unionByName(more)).select(F.col("node").alias("id"), "root")
-    for df in (forest, info, sets):
+    links += [] if more is None else [more]
+    found = components(spark, reduce(DataFrame.unionByName, links))
+    for df in (forest, info, sets, labels, *links):
         discard(spark, df)
+    roots = found.select(F.col("node").alias("id"), "root")
+    roots._quern_path = found._quern_path
     return roots
 
 
@@ -397,6 +403,7 @@ def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets:
     main = main.where("n > most").select("region", "main", F.ceil((F.col("n") - F.col("most")) / params.region).cast("int").alias("parts"), "n")
     main = materialize(spark, main, "open")
     if main.isEmpty():
+        discard(spark, main)
         return None
     judged = materialize(spark, join_hot(dealt, main, "region", dealt.count()), "judged")
     open_ = judged.where("root <> main").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
@@ -406,7 +413,10 @@ def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets:
     against = judged.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "own", "root", "cell", F.lit(False).alias("to_all"))
     wanted = few(judged.select("id").distinct(), params)
     rows = ask.unionByName(against).join(looks.select("id", "sketch"), "id").join(sets.join(wanted, "id", "left_semi"), "id")
-    return materialize(spark, cell_links(rows, ["region", "part", "cell"], params), "confirmed")
+    found = materialize(spark, cell_links(rows, ["region", "part", "cell"], params), "confirmed")
+    for df in (main, judged):
+        discard(spark, df)
+    return found
 
 
 def grouped(spark: SparkSession, docs: DataFrame, params: NearDupParams) -> DataFrame:
@@ -418,6 +428,7 @@ def grouped(spark: SparkSession, docs: DataFrame, params: NearDupParams) -> Data
     roots = class_components(spark, docs, classes, params)
     own = classes.select("id", "key", "doc_id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     own = materialize(spark, own, "roots")
+    discard(spark, roots)
     first = own.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("classes")).where("classes > 1")
     first = materialize(spark, first.select("root", F.col("first.doc_id").alias("component"), F.col("first.key").alias("lead"), "classes"), "first")
     alone = own.join(first.select("root"), "root", "left_anti").select("key", F.col("doc_id").alias("component"), F.col("key").alias("lead"), "n")
