@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.config import CacheParams, ChunkParams, LimiterParams, QuotaParams, Topic, UrlRules
 from quernstone.functions import text as T
 from quernstone.functions import urls as U
-from quernstone.operators import answer, checklist, corpus, intent, search, tasks
+from quernstone.operators import answer, checklist, corpus, intent, phrases, search, tasks
 from quernstone.plans import oracle
 from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 from quernstone.streaming import limits
@@ -315,6 +315,39 @@ def section_sources(spark, sf_dir):
     return found.select("answer_id", F.col("paragraph").cast("long").alias("paragraph"), "url", "title", F.col("source_rank").cast("long").alias("source_rank"))
 
 
+# --- phrases of a large table ------------------------------------------------------------------------------------
+
+
+def _item_grams(spark, sf_dir, *sizes: int) -> DataFrame:
+    """Each benchmark item's runs of words, as phrases that name it."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.split(T.normalize_intent(F.col("text")), " ").alias("w"))
+    return w.select("item_id", F.explode(phrases.word_grams(F.col("w"), list(sizes))).alias("phrase"))
+
+
+@query
+def phrase_intents(spark, sf_dir):
+    """Runs of one to four words of the benchmark items as terms of as many intents: thousands of phrases."""
+    terms = _item_grams(spark, sf_dir, 1, 2, 3, 4).select(F.col("item_id").alias("intent"), F.col("phrase").alias("term"))
+    return phrases.intent_scores(user_turns(spark, sf_dir), ["conv_id", "turn"], terms).select("conv_id", "turn", F.col("intent").alias("item_id"), F.col("score").cast("long").alias("score"))
+
+
+@query
+def phrase_expansion(spark, sf_dir):
+    """Each benchmark item as a topic that its runs of two words name."""
+    grams = _item_grams(spark, sf_dir, 2).groupBy("item_id").agg(F.collect_list("phrase").alias("phrases"))
+    name = F.col("item_id").cast("string")
+    topics = grams.select(F.col("item_id").alias("topic_ord"), "phrases", F.array(F.concat(F.lit("topic"), name)).alias("terms"), F.array(F.concat(F.lit("/item/"), name)).alias("paths"))
+    asked = user_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return phrases.expand_queries(asked, topics).select("query_id", F.array_join("terms", " ").alias("terms"), F.array_join("paths", " ").alias("paths"))
+
+
+@query
+def phrase_best_topic(spark, sf_dir):
+    """Each benchmark item as a topic, its sentences as phrases."""
+    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic_ord"), F.col("item_id").cast("string").alias("topic"), F.explode(F.split("text", "[.]")).alias("phrase"))
+    return phrases.best_topic(user_turns(spark, sf_dir), ["conv_id", "turn"], t)
+
+
 # --- commands ----------------------------------------------------------------------------------------------------
 
 

@@ -82,6 +82,15 @@ def match(q: str, c: str) -> str:
     return f"CASE WHEN {q} = '' THEN 0::DOUBLE WHEN {q} = {lit(c)} THEN 12 ELSE greatest({inside}, {words})::DOUBLE END"
 
 
+def match_of(q: str, c: str) -> str:
+    """``match`` for a column of phrases."""
+    qt, ct = (f"list_filter(string_split({x}, ' '), lambda w: length(w) > 1)" for x in (q, c))
+    m = f"len(list_filter({ct}, lambda t: len(list_filter({qt}, lambda w: starts_with(w, t) OR starts_with(t, w) OR (length(w) > 4 AND length(t) > 4 AND (contains(t, w) OR contains(w, t))))) > 0))::DOUBLE"
+    words = f"CASE WHEN {m} > 0 THEN {m} + 2.0::DOUBLE * {m} / len({ct}) + {m} / greatest(len({qt}), 1) ELSE 0 END"
+    inside = f"CASE WHEN contains({q}, {c}) OR contains({c}, {q}) THEN least(10, 4 + len({ct})) ELSE 0 END"
+    return f"CASE WHEN {q} = '' OR {c} = '' THEN 0::DOUBLE WHEN {q} = {c} THEN 12 ELSE greatest({inside}, {words})::DOUBLE END"
+
+
 def exact(q: str, c: str) -> str:
     return f"CASE WHEN contains(' ' || {q} || ' ', {lit(' ' + c + ' ')}) THEN {min(10, 4 + len(c.split()))} ELSE 0 END"
 
@@ -109,6 +118,11 @@ EVENTS = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (
 DAY = 86_400_000_000
 
 
+def item_grams(*sizes: int) -> str:
+    runs = " || ".join(f"list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i : i + {n - 1}], ' '))" for n in sizes)
+    return f"g AS (SELECT DISTINCT item_id, unnest({runs}) AS phrase FROM (SELECT item_id, string_split({route('text')}, ' ') AS w FROM benchmark))"
+
+
 def last_at(w: str, p: str) -> str:
     """Where the last ``p`` in ``w`` begins, from 0; -1 if nowhere."""
     return f"CASE WHEN strpos(reverse({w}), reverse({p})) > 0 THEN length({w}) - strpos(reverse({w}), reverse({p})) + 1 - length({p}) ELSE -1 END"
@@ -203,6 +217,13 @@ SELECT doc_id AS answer_id, paragraph, s AS start, e AS "end", array_to_string(l
         "answer_cache_keys": f"WITH {LAST}, c AS (SELECT conv_id, plain, conv_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = l.conv_id AND u.turn < l.turn AND u.plain <> '' AND u.plain <> l.plain) AS ok FROM l WHERE nxt IS NULL) SELECT conv_id, ok AS cacheable, CASE WHEN ok AND plain <> '' THEN 'v3|en|m|no-vector|' || substr(plain, 1, 900) ELSE '' END AS key FROM c",
         "answer_profiles": f"WITH {official_pages}, g AS (SELECT lang, url, min(page_id) AS page_id FROM s WHERE {official} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS n FROM g), a AS (SELECT lang, count(*) AS retrieved FROM s GROUP BY lang), k AS (SELECT lang, count(*) AS n, bool_or(contains(url, 'example.org')) AS org FROM r WHERE n <= 6 GROUP BY lang) SELECT lang AS answer_id, coalesce(n, 0) AS source_count, retrieved AS retrieval_count, lang = 'fr' AS degraded, 'unknown' AS grounded_on, CASE WHEN contains(lang, 'es') THEN 'fees,forms,next' WHEN contains(lang, 'de') OR org THEN 'documents,official,next' ELSE 'next,documents,official' END AS followups FROM a LEFT JOIN k USING (lang)",
         "section_sources": f"WITH {official_pages} SELECT page_id AS answer_id, p AS paragraph, url, 'Official U.S. government source' AS title, 1::BIGINT AS source_rank FROM s, (VALUES (0::BIGINT), (1::BIGINT)) v(p) WHERE {official}",
+        "phrase_intents": f"WITH {item_grams(1, 2, 3, 4)}, q AS (SELECT conv_id, turn, {route('text')} AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, item_id, max(least(10, 4 + len(string_split(phrase, ' '))))::BIGINT AS score FROM q JOIN g ON contains(' ' || q || ' ', ' ' || phrase || ' ') WHERE phrase <> '' AND q <> '' GROUP BY ALL",
+        "phrase_expansion": f"""WITH {item_grams(2)}, q AS (SELECT query_id, {norm('text')} AS normalized FROM ({USERS})), f AS (SELECT DISTINCT query_id, item_id FROM q JOIN g ON contains(normalized, phrase) WHERE phrase <> ''),
+a AS (SELECT query_id, list('topic' || item_id ORDER BY item_id) AS t, list('/item/' || item_id ORDER BY item_id) AS p FROM f GROUP BY query_id)
+SELECT query_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' ') AS terms, coalesce(array_to_string(p, ' '), '') AS paths FROM (SELECT query_id, {toks('normalized')} || coalesce(t, []) AS x, p FROM q LEFT JOIN a USING (query_id))""",
+        "phrase_best_topic": f"""WITH p AS (SELECT DISTINCT item_id, {route('s')} AS c FROM (SELECT item_id, unnest(string_split(text, '.')) AS s FROM benchmark)), q AS (SELECT conv_id, turn, {route('text')} AS q FROM conversations WHERE role = 'user'),
+s AS (SELECT conv_id, turn, item_id, {match_of('q', 'c')} AS score FROM q CROSS JOIN p), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS n FROM s)
+SELECT conv_id, turn, CASE WHEN score >= 1 THEN item_id::VARCHAR ELSE 'general' END AS topic, round(score, 4) AS topic_score FROM r WHERE n = 1""",
         "task_action": f"WITH f AS ({argmax(list(FLOWS.items()), 4, 'NULL')}), q AS (SELECT conv_id, turn, {route('text')} AS q, regexp_extract(coalesce(text, ''), '(^|[^0-9A-Za-z_])([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})($|[^0-9A-Za-z_])', 2) AS d FROM conversations WHERE role = 'user') SELECT conv_id, turn, {decide} AS action FROM (SELECT q.*, f.topic AS flow_id FROM q JOIN f USING (conv_id, turn))",
         "official_link": f"SELECT conv_id, turn, CASE {' '.join('WHEN ' + best([exact('q', t) for t in ts] + ['0']) + f' > 0 THEN {lit(u)}' for ts, u in LINKS)} ELSE 'https://example.com' END AS url FROM (SELECT conv_id, turn, {route('text')} AS q FROM conversations WHERE role = 'user')",
         "step_match": f"WITH q AS (SELECT query_id, {route('text')} AS q FROM ({USERS})), s AS ({' UNION ALL '.join(step_scores)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN inside THEN -o ELSE o END) AS n FROM s WHERE score >= 1) SELECT query_id, step_id, round(score, 4) AS score FROM r WHERE n = 1",
