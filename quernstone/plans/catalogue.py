@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import CacheParams, ChunkParams, LimiterParams, QuotaParams, Topic, UrlRules
@@ -13,7 +13,8 @@ from quernstone.functions import urls as U
 from quernstone.operators import answer, checklist, corpus, intent, phrases, search, tasks
 from quernstone.plans import oracle
 from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
-from quernstone.streaming import limits
+from quernstone.sources.stored import new_path
+from quernstone.streaming import answers, limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -405,6 +406,30 @@ def rate_limit(spark, sf_dir):
     return limits.admit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", LimiterParams(3, 86_400))
 
 
+@query
+def rate_limit_stream(spark, sf_dir):
+    """The events as a stream of files, and one far event that lets the watermark pass all others; as ``rate_limit``."""
+    at = new_path(spark, "limiter")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    last = spark.range(1).select(F.lit(None).cast("long").alias("client"), F.col("id").alias("event_id"), F.lit("2200-01-01").cast("timestamp").alias("at"))
+    last.write.parquet(f"{at}/last/end")
+    end = spark.readStream.schema(last.schema).parquet(f"{at}/last/*")
+    rows = events.select(F.col("user_id").alias("client"), "event_id", F.col("ts").cast("timestamp").alias("at")).unionByName(end)
+    done = limits.run_to_end(limits.admit_stream(rows, LimiterParams(3, 86_400)), at)
+    return done.where("client is not null").select(F.col("client").alias("user_id"), "event_id", "admitted")
+
+
+@query
+def answer_replay(spark, sf_dir):
+    """User turns as requests one second apart, the turn that follows each as its answer; only its text's form is shown."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user'")
+    request = F.col("conv_id") * 1000 + F.col("turn")
+    key = F.when(F.col("conv_id") % 7 > 0, answer.cache_key(F.col("text"), F.lit("en"), F.lit("m"), F.lit("no-vector")))
+    done = answers.replay(turns.select(request.alias("request_id"), key.alias("cache_key"), F.timestamp_seconds(request).alias("at"), "answer"), CacheParams(ttl_seconds=200_000))
+    return done.select("request_id", "hit", F.md5("answer").alias("answer"))
+
+
 @query
 def cache_ttl_hits(spark, sf_dir):
     return limits.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", CacheParams(ttl_seconds=86_400))

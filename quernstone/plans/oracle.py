@@ -200,7 +200,7 @@ pl AS (SELECT c_custkey AS user_id, flow_id, count(*) AS total, coalesce(string_
 hx AS (SELECT u.query_id AS id, u.text AS question, substr(parts.text, 1, 2000) AS excerpt, parts.source AS url FROM ({USERS}) u LEFT JOIN hits ON hits.query_id = u.query_id LEFT JOIN parts ON parts.doc_id * 1000 + parts.part = hits.doc_id), {sentences('hx')}
 SELECT hx.id AS query_id, CASE WHEN excerpt IS NULL THEN {lit(en['missing'])} ELSE {lit(en['intro'])} || chr(10) || chr(10) || passage || chr(10) || chr(10) || {lit(en['verify'])} END AS output_text, CASE WHEN excerpt IS NULL THEN 'no_matching_source' ELSE 'local_corpus' END AS grounded_on, url FROM hx JOIN passages ON passages.id = hx.id"""
     official_pages = f"s AS (SELECT page_id, {HOST} AS h, regexp_replace({ORIGIN} || {PATH}, '/$', '') AS url, regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS lang FROM pages)"
-    return {
+    found = {
         "split_oversized": f"WITH RECURSIVE {SPLIT} SELECT doc_id, part, length(text) AS n_chars, md5(text) AS md5 FROM parts",
         "pack_paragraphs": r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
 r AS (SELECT doc_id, p, 1 AS i, []::VARCHAR[] AS done, '' AS open FROM l UNION ALL SELECT doc_id, p, i + 1, CASE WHEN open = '' OR length(open) + 1 + length(p[i]) <= 1800 THEN done ELSE done || [open] END,
@@ -264,9 +264,16 @@ SELECT conv_id, turn, CASE WHEN score >= 1 THEN item_id::VARCHAR ELSE 'general'
         "followup_rules": f"SELECT conv_id, turn, {rules('plain', FOLLOW_UPS, 'next,documents,official')} AS followups FROM ({plain_turns})",
         "domain_routing": f"SELECT conv_id, turn, {rules('plain', [(VISITOR, ','.join(VISITOR_DOMAINS))], ','.join(OFFICIAL_DOMAINS))} AS domains FROM ({plain_turns})",
         "rate_limit": f"WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, event_id, n, true AS admitted, [t] AS times FROM e WHERE n = 1 UNION ALL SELECT user_id, event_id, n, len(k) < 3, CASE WHEN len(k) < 3 THEN k || [t] ELSE k END FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(r.times, lambda x: e.t - x < {DAY}) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)) SELECT user_id, event_id, admitted FROM r",
+        "answer_replay": f"""WITH RECURSIVE a AS (SELECT conv_id * 1000 + turn AS id, {route('text')} AS plain, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role, conv_id FROM conversations),
+k AS (SELECT id, answer, CASE WHEN conv_id % 7 > 0 AND plain <> '' AND length(plain) <= 900 THEN plain ELSE '' END AS key FROM a WHERE role = 'user'),
+e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM k WHERE key <> ''),
+r AS (SELECT id, key, n, false AS hit, id AS made, answer FROM e WHERE n = 1 UNION ALL SELECT e.id, e.key, e.n, e.id - r.made <= 200000, CASE WHEN e.id - r.made <= 200000 THEN r.made ELSE e.id END, CASE WHEN e.id - r.made <= 200000 THEN r.answer ELSE e.answer END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT id AS request_id, hit, md5(answer) AS answer FROM r UNION ALL SELECT id, false, md5(answer) FROM k WHERE key = ''""",
         "cache_ttl_hits": f"WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, event_id, n, false AS hit, t AS made FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t - r.made <= {DAY}, CASE WHEN e.t - r.made <= {DAY} THEN r.made ELSE e.t END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, event_id, hit FROM r",
         "monthly_quota": "SELECT user_id, event_id, month, used, used <= 5 AS allowed FROM (SELECT user_id, event_id, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS used FROM events)",
         "progress_rollup": f"SELECT user_id, {len(STEPS)}::BIGINT AS total, count(DISTINCT CASE WHEN event_type IN ({names(STEPS)}) THEN event_type END) AS completed, round(100.0 * count(DISTINCT CASE WHEN event_type IN ({names(STEPS)}) THEN event_type END) / {len(STEPS)})::BIGINT AS percent FROM events GROUP BY user_id",
         "key_dates": "SELECT o_orderkey, id, strftime(CAST(o_orderdate AS DATE) - days, '%Y-%m-%d') AS iso FROM orders, (VALUES ('reminder_30', 30), ('reminder_7', 7), ('target_date', 0)) v(id, days)",
         "key_parity": f"WITH s AS (SELECT * FROM (VALUES {values}) v(lang, key_path, value)), b AS (SELECT l.lang, s.key_path, s.value FROM s, (SELECT DISTINCT lang FROM s WHERE lang <> 'en') l WHERE s.lang = 'en'), o AS (SELECT * FROM s WHERE lang <> 'en'), j AS (SELECT coalesce(b.lang, o.lang) AS lang, coalesce(b.key_path, o.key_path) AS key_path, CASE WHEN o.value IS NULL THEN 'missing' WHEN b.value IS NULL THEN 'extra' WHEN {holders('o.value')} <> {holders('b.value')} THEN 'placeholders' END AS problem FROM b FULL JOIN o ON b.lang = o.lang AND b.key_path = o.key_path) SELECT lang, key_path, problem FROM j WHERE problem IS NOT NULL",
     }
+    found["rate_limit_stream"] = found["rate_limit"]
+    return found

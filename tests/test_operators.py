@@ -149,16 +149,3 @@ def test_checklists(spark):
     items = spark.createDataFrame([("i", {"title_en": "x", "title_es": " ", "title_fr": "y"})], "item_id string, fields map<string,string>")
     assert [tuple(r) for r in checklist.incomplete_fields(items, ("es", "fr")).collect()] == [("i", "es", "title")]
     assert checklist.flat_keys({"a": {"b": "x"}, "c": [1]}) == [("a.b", "x"), ("c", "[1]")]
-
-
-def test_streaming_limiter_equals_the_batch_form(spark, tmp_path):
-    r = random.Random(5)
-    rows = sorted((r.choice("ab"), i, r.randint(0, 3000) * 1_000_000) for i in range(60))
-    plain = spark.createDataFrame(rows, "client string, event_id long, at long")
-    batch = limits.admit(plain.withColumn("ts", F.timestamp_micros("at")), "client", "ts", "event_id", LimiterParams(3, 600))
-    plain.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(plain.schema).parquet(str(tmp_path / "in"))
-    q = limits.admit_stream(stream, LimiterParams(3, 600)).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("admitted").collect())) == sorted(map(tuple, batch.collect()))
-    assert limits.admit(spark.createDataFrame([], "client string, event_id long, ts timestamp"), "client", "ts", "event_id").count() == 0
