@@ -14,7 +14,7 @@ from quernstone.operators import answer, checklist, corpus, intent, phrases, sea
 from quernstone.plans import oracle
 from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 from quernstone.sources.stored import new_path
-from quernstone.streaming import answers, limits
+from quernstone.streaming import answers, crawl, limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -491,6 +491,18 @@ def crawl_run(spark, sf_dir):
     return corpus.crawl(found.where("last_modified <> 'fr'").select("url", "last_modified"), cached, fetched)
 
 
+@query
+def crawl_stream(spark, sf_dir):
+    """The crawl of ``crawl_run`` as a stream of planned steps, each fetched from the pages and stored."""
+    found = _found_pages(spark, sf_dir)
+    cached = found.where(F.col("url").startswith("https:")).select("url", F.lit("en").alias("last_modified"), F.lit("old").alias("html"))
+    site = found.select("url", F.when(F.col("page_id") % 3 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 == 1, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 2, "Text/HTML").otherwise("text/plain").alias("content_type"), F.lit("new").alias("html"))
+    approved, at = found.where("last_modified <> 'fr'").select("url", "last_modified"), new_path(spark, "crawl")
+    crawl.plan(approved, cached, at)
+    crawl.run(spark, at, lambda asked: asked.select("url").join(site, "url"))
+    return crawl.corpus(approved, cached, at)
+
+
 @query
 def key_dates(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(checklist.key_dates(F.to_date("o_orderdate"))).alias("d"))

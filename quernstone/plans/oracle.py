@@ -275,5 +275,6 @@ SELECT id AS request_id, hit, md5(answer) AS answer FROM r UNION ALL SELECT id,
         "key_dates": "SELECT o_orderkey, id, strftime(CAST(o_orderdate AS DATE) - days, '%Y-%m-%d') AS iso FROM orders, (VALUES ('reminder_30', 30), ('reminder_7', 7), ('target_date', 0)) v(id, days)",
         "key_parity": f"WITH s AS (SELECT * FROM (VALUES {values}) v(lang, key_path, value)), b AS (SELECT l.lang, s.key_path, s.value FROM s, (SELECT DISTINCT lang FROM s WHERE lang <> 'en') l WHERE s.lang = 'en'), o AS (SELECT * FROM s WHERE lang <> 'en'), j AS (SELECT coalesce(b.lang, o.lang) AS lang, coalesce(b.key_path, o.key_path) AS key_path, CASE WHEN o.value IS NULL THEN 'missing' WHEN b.value IS NULL THEN 'extra' WHEN {holders('o.value')} <> {holders('b.value')} THEN 'placeholders' END AS problem FROM b FULL JOIN o ON b.lang = o.lang AND b.key_path = o.key_path) SELECT lang, key_path, problem FROM j WHERE problem IS NOT NULL",
     }
-    found["rate_limit_stream"] = found["rate_limit"]
+    # streams give what their batch forms give
+    found |= {"rate_limit_stream": found["rate_limit"], "crawl_stream": found["crawl_run"]}
     return found
