@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.config import CacheParams, ChunkParams, LimiterParams, QuotaParams, Topic, UrlRules
 from quernstone.functions import text as T
 from quernstone.functions import urls as U
-from quernstone.operators import answer, checklist, corpus, intent, phrases, search, tasks
+from quernstone.operators import answer, checklist, corpus, intent, phrases, responses, search, tasks
 from quernstone.plans import oracle
 from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 from quernstone.sources.stored import new_path
@@ -307,6 +307,37 @@ def citation_alignment(spark, sf_dir):
     return s.select("answer_id", *[F.col(c).cast("long").alias(c) for c in ("paragraph", "start", "end")], F.array_join("cited", ",").alias("cited"))
 
 
+@query
+def annotation_join(spark, sf_dir):
+    """Each document as an answer with a mark at every 97th character, every third without an end."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    at = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(97))
+    marks = d.select("doc_id", F.posexplode(at).alias("n", "start_index")).withColumn("end_index", F.when(F.col("n") % 3 != 2, F.col("start_index") + 150))
+    met = responses.aligned(responses.paragraph_rows(d, ["doc_id"]), marks, ["doc_id"])
+    return met.groupBy("doc_id", "paragraph").agg(F.count("*").alias("marks"), F.min("start_index").cast("long").alias("first"), F.max("start_index").cast("long").alias("last"))
+
+
+@query
+def model_answers(spark, sf_dir):
+    """User turns as requests; the assistant's next turn as a model's response in two parts, some attempts refused, broken or not to be read."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").withColumns({"reply": F.lead("text").over(w), "by": F.lead("role").over(w)}).where("role = 'user'")
+    t = t.withColumn("request_id", F.col("conv_id") * 1000 + F.col("turn"))
+    requests = t.select("request_id", F.col("text").alias("question"), F.lit("").alias("conversation"), F.lit("").alias("checklist_context"), F.lit("en").alias("language"))
+    url = F.concat(F.lit("https://www.example.com/p/"), F.col("conv_id").cast("string"), F.lit("?utm=1"))
+    mark = F.struct(F.lit(0).alias("start_index"), F.lit(10).alias("end_index"), F.lit("Page").alias("title"), F.when(F.col("conv_id") % 4 > 0, url).alias("url"))
+    say = lambda text, marks: F.struct(F.lit("output_text").alias("type"), text.alias("text"), marks.alias("annotations"))
+    wrapped = F.array(F.struct(mark.alias("url_citation")))
+    content = F.array(say(F.col("reply"), wrapped), say(F.concat(F.lit(" See **page** "), F.col("conv_id").cast("string"), F.lit(" .\n\nEnd ")), F.array().cast(f"array<struct<url_citation: struct<{'start_index: int, end_index: int, title: string, url: string'}>>>")))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("message").alias("type"), content.alias("content"))).alias("output")))
+    replied = t.where("by = 'assistant'").select("request_id", "conv_id", body.alias("body"))
+    first = replied.select("request_id", F.lit(1).alias("attempt"), F.when(F.col("conv_id") % 5 == 0, 503).when(F.col("conv_id") % 5 == 1, 400).otherwise(200).alias("status"), F.when(F.col("conv_id") % 7 == 0, "{").otherwise(F.col("body")).alias("body"))
+    second = replied.where("conv_id % 5 = 0").select("request_id", F.lit(2).alias("attempt"), F.when(F.col("conv_id") % 10 == 0, 200).otherwise(429).alias("status"), "body")
+    hits = spark.createDataFrame([], "query_id long, rank int, score double, title string, url string, excerpt string")
+    a = responses.answer_requests(requests, hits, first.unionByName(second), DOMAINS)
+    return a.select("request_id", F.col("status").cast("long").alias("status"), "error", "output_text", F.size("sections").cast("long").alias("n_sections"), F.array_join("sources.url", " ").alias("sources"), "grounded_on", "degraded")
+
+
 @query
 def section_sources(spark, sf_dir):
     """Each page's address cited in every paragraph of a short answer."""

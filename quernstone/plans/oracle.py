@@ -118,6 +118,17 @@ EVENTS = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (
 DAY = 86_400_000_000
 
 
+def edges(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def cleaned(x: str) -> str:
+    """Output text without formats, as far as texts of the tables have any."""
+    for pattern, by in ((r"\*\*([^*]+)\*\*", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"[ \t]+([,.;:!?])", r"\1"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
+        x = f"regexp_replace({x}, {lit(pattern)}, {lit(by)}, 'g')"
+    return x
+
+
 def item_grams(*sizes: int) -> str:
     runs = " || ".join(f"list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i : i + {n - 1}], ' '))" for n in sizes)
     return f"g AS (SELECT DISTINCT item_id, unnest({runs}) AS phrase FROM (SELECT item_id, string_split({route('text')}, ' ') AS w FROM benchmark))"
@@ -212,6 +223,20 @@ SELECT doc_id, n AS part, length(t) AS n_chars, md5(t) AS md5 FROM (SELECT doc_i
 o AS (SELECT doc_id, i, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM l),
 p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS paragraph, base + length(t) - length(ltrim(t)) AS s, base + length(t) AS e FROM o WHERE trim(t) <> '')
 SELECT doc_id AS answer_id, paragraph, s AS start, e AS "end", array_to_string(list_filter([CASE WHEN 0 < e AND 10 > s THEN 'a' END, CASE WHEN 150 < e AND 400 > s THEN 'b' END, CASE WHEN 300 < e AND 300 >= s THEN 'c' END], lambda x: x IS NOT NULL), ',') AS cited FROM p""",
+        "annotation_join": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, i, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM l),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS paragraph, base + length(t) - length(ltrim(t)) AS s, base + length(t) AS e FROM o WHERE trim(t) <> ''),
+m AS (SELECT doc_id, unnest(range(0, greatest(length(replace(text, chr(10), chr(10) || chr(10))), 1), 97)) AS a FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, a, CASE WHEN (a // 97) % 3 <> 2 THEN a + 150 END AS b FROM m)
+SELECT doc_id, paragraph, count(*) AS marks, min(a) AS first, max(a) AS last FROM n JOIN p USING (doc_id) WHERE a < e AND CASE WHEN b IS NULL THEN a >= s ELSE b > s END GROUP BY ALL""",
+        "model_answers": f"""WITH a AS (SELECT conv_id, conv_id * 1000 + turn AS id, role, trim(coalesce(text, '')) AS q, lead(text) OVER w AS reply, lead(role) OVER w AS replier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+u AS (SELECT *, CASE WHEN q = '' THEN 'question_required' WHEN length(q) > 4000 THEN 'question_too_long' WHEN {" OR ".join(guard("q || chr(10) || chr(10)").values())} THEN 'sensitive_identifier' END AS error FROM a WHERE role = 'user'),
+g AS (SELECT *, coalesce(replier = 'assistant', false) AND error IS NULL AND (conv_id % 10 = 0 OR (conv_id % 5 > 1 AND conv_id % 7 <> 0)) AS good, {edges('reply')} AS said, conv_id % 4 > 0 AND {edges("coalesce(reply, '')")} <> '' AS cites FROM u)
+SELECT id AS request_id, CASE WHEN error IS NULL THEN 200 ELSE 400 END::BIGINT AS status, error,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN good THEN {cleaned("coalesce(nullif(said, '') || chr(10) || chr(10), '')")} || 'See page ' || conv_id || '.' || chr(10) || chr(10) || 'End' ELSE {lit(en['missing'])} END AS output_text,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN good THEN len(list_filter(regexp_split_to_array(coalesce(reply, ''), '\n[ \t]*\n'), lambda x: trim(x) <> '')) + 2 ELSE 1 END::BIGINT AS n_sections,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN good AND cites THEN 'https://www.example.com/p/' || conv_id ELSE '' END AS sources,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN good AND cites THEN 'live_official_sources' WHEN good THEN 'local_corpus' ELSE 'no_matching_source' END AS grounded_on, CASE WHEN error IS NULL THEN NOT good END AS degraded FROM g""",
         "extractive_answer": answered,
         "local_context": f"SELECT query_id, length(c) AS n_chars, md5(c) AS md5 FROM (SELECT query_id, string_agg('[Passage ' || rank || ']' || chr(10) || 'Title: ' || chr(10) || 'URL: ' || coalesce(source, '') || chr(10) || 'Last modified: unknown' || chr(10) || 'Passage: ' || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY rank) AS c FROM ({ranked(DOCS, ASKED, 3)}) JOIN documents USING (doc_id) GROUP BY query_id)",
         "answer_cache_keys": f"WITH {LAST}, c AS (SELECT conv_id, plain, conv_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = l.conv_id AND u.turn < l.turn AND u.plain <> '' AND u.plain <> l.plain) AS ok FROM l WHERE nxt IS NULL) SELECT conv_id, ok AS cacheable, CASE WHEN ok AND plain <> '' THEN 'v3|en|m|no-vector|' || substr(plain, 1, 900) ELSE '' END AS key FROM c",
