@@ -34,6 +34,8 @@ from quernstone.sources.stored import new_path, present, stored
 KEY = ["page_ord", "chunk_index"]
 #: Scores are rounded to four places, and sums depend on their order; bounds are looser by this.
 SLACK = 1e-3
+#: So many preferred paths are looked up in the index, to see which can prefer anything.
+PATHS = 64
 
 
 @dataclass(frozen=True)
@@ -69,11 +71,11 @@ class Index:
         return s.join(F.broadcast(self.page_count))
 
     def counted(self, of: DataFrame) -> DataFrame:
-        """page_ord, chunk_index, term, tf, in_title. Words are counted as they stand, and only distinct ones of a passage stemmed."""
-        split = of.select(*KEY, F.split("body", " ").alias("b"), F.split("head", " ").alias("h"))
-        every = split.select(*KEY, F.size("b").alias("_n"), F.posexplode(F.concat("b", "h")).alias("_at", "word"))
-        words = every.groupBy(*KEY, "word").agg(F.count_if(F.col("_at") < F.col("_n")).alias("tf"), F.max(F.col("_at") >= F.col("_n")).alias("in_title")).where(indexed(F.col("word")))
-        return words.groupBy(*KEY, stem(F.col("word")).alias("term")).agg(F.sum("tf").cast("int").alias("tf"), F.max("in_title").alias("in_title"))
+        """page_ord, chunk_index, length, term, tf, in_title. Words are counted as they stand, and only distinct ones of a passage stemmed."""
+        split = of.select(*KEY, "length", F.split("body", " ").alias("b"), F.split("head", " ").alias("h"))
+        every = split.select(*KEY, "length", F.size("b").alias("_n"), F.posexplode(F.concat("b", "h")).alias("_at", "word"))
+        words = every.groupBy(*KEY, "length", "word").agg(F.count_if(F.col("_at") < F.col("_n")).alias("tf"), F.max(F.col("_at") >= F.col("_n")).alias("in_title")).where(indexed(F.col("word")))
+        return words.groupBy(*KEY, "length", stem(F.col("word")).alias("term")).agg(F.sum("tf").cast("int").alias("tf"), F.max("in_title").alias("in_title"))
 
     @property
     def term_counts(self) -> DataFrame:
@@ -93,11 +95,17 @@ class Index:
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         down = F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("length") / F.lit(avg))
         value = F.when(F.col("tf") > 0, idf * (F.col("tf") * (p.k1 + 1)) / down).otherwise(0.0) + F.when(F.col("in_title"), idf * p.title_weight).otherwise(0.0)
-        rows = counts.join(self.bodies.select(*KEY, "length"), KEY).join(df, "term").select("term", *KEY, value.alias("part"))
+        rows = counts.join(df, "term").select("term", *KEY, value.alias("part"))
         level = F.floor(-8 * F.log2(F.greatest("part", F.lit(1e-9)))).cast("int")
         dealt = rows.withColumn("level", level).repartitionByRange("term", "level", *KEY).sortWithinPartitions("term", F.desc("part"))
         return self.part("postings", dealt.select("term", "level", *KEY, "part"))
 
+    def most_bonus(self, paths: list[str]) -> tuple[float, float, list[str]]:
+        """What the index can add at most to any score: by a title that holds the query, by a url, and which of ``paths`` some url has."""
+        url = F.coalesce("url", F.lit(""))
+        found = self.bodies.agg(F.max((F.col("name") != "").cast("int")), F.max(static_part(F.col("url"), self.params)), *[F.max(url.contains(x).cast("int")) for x in paths]).first()
+        return self.params.title_phrase * (found[0] or 0), found[1] or 0.0, [x for x, hit in zip(paths, found[2:], strict=True) if hit]
+
     @cached_property
     def blocks(self) -> DataFrame:
         """term, level (smaller: larger parts), most (largest part of it), postings (how many)."""
@@ -135,13 +143,19 @@ def share(matched: Column, asked: Column, p: Bm25Params) -> Column:
     return p.base_share + (1 - p.base_share) * F.least(matched / asked, F.lit(1.0))
 
 
-def url_part(url: Column, paths: Column, params: Bm25Params) -> Column:
-    """What the url of a passage adds, given the query's preferred paths."""
+def static_part(url: Column, params: Bm25Params) -> Column:
+    """What the url of a passage adds to every score."""
     u = F.coalesce(url, F.lit(""))
-    value = F.when(F.exists(paths, lambda x: u.contains(x)), params.preferred).otherwise(0.0)
+    value = F.when(u.rlike(TRANSLATED_SUFFIX), params.translated).otherwise(0.0)
     for part_of_url, boost in params.url_boosts:
         value = value + F.when(u.contains(part_of_url), boost).otherwise(0.0)
-    return value + F.when(u.rlike(TRANSLATED_SUFFIX), params.translated).otherwise(0.0)
+    return value
+
+
+def url_part(url: Column, paths: Column, params: Bm25Params) -> Column:
+    """What the url of a passage adds, given the query's preferred paths."""
+    u = F.coalesce(url, F.lit(""))
+    return F.when(F.exists(paths, lambda x: u.contains(x)), params.preferred).otherwise(0.0) + static_part(url, params)
 
 
 def capped(rows: DataFrame, value: str, k: int, params: Bm25Params, page: str) -> DataFrame:
@@ -167,10 +181,15 @@ class Pruned:
     pairs: DataFrame  # query_id, page_ord, chunk_index: the pairs scored whole
 
 
-def prune(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: str, small=lambda df: df, seeds: int = 64) -> Pruned:
-    """Blocks and pairs that can be among the best ``k``."""
+def prune(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: str, small=lambda df: df, seeds: int = 64, cheap: int = 1024) -> Pruned:
+    """Blocks and pairs that can be among the best ``k``. The first ``seeds`` postings of a term, to the end of a block, give the first
+    bound; its first ``cheap`` ones are read in any case, as what stays unread loosens the bound of every pair."""
     spark: SparkSession = index.passages.sparkSession
-    asked = analyzed.select("query_id", F.size("terms").alias("asked"), "own", F.size("paths").alias("n_paths"), F.length("normalized").alias("chars"), F.posexplode("terms").alias("place", "term"))
+    wished = [r.x for r in analyzed.select(F.explode("paths").alias("x")).distinct().limit(PATHS + 1).collect()]
+    title, boosts, there = index.most_bonus(wished if len(wished) <= PATHS else [])
+    # paths that no url has prefer nothing; of very many paths each may prefer something
+    real = F.size("paths") if len(wished) > PATHS else F.size(F.filter("paths", lambda x: x.isin(there))) if there else F.lit(0)
+    asked = analyzed.select("query_id", F.size("terms").alias("asked"), "own", real.alias("n_paths"), F.length("normalized").alias("chars"), F.posexplode("terms").alias("place", "term"))
     blocks, pages = index.blocks.join(small(asked.select("term").distinct()), "term", "left_semi"), index.bodies.select(*KEY, "url")
     # per term: its maximum, and how many postings stand in larger blocks
     by_term = Window.partitionBy("term").orderBy("level")
@@ -181,9 +200,8 @@ def prune(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: s
     falling = Window.partitionBy("query_id").orderBy(F.desc("top"), "term")
     behind = falling.rowsBetween(1, Window.unboundedFollowing)
     missing = F.coalesce(F.count_if(F.col("place") < F.col("own")).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    boosts = sum(v for _, v in params.url_boosts if v > 0)
     # a passage that holds the query as a phrase has all its words, but for the first and last, which may be parts of longer ones
-    phrase = F.when((F.col("chars") > params.phrase_over) & (missing <= 2), params.body_phrase + params.title_phrase).otherwise(0.0)
+    phrase = F.when((F.col("chars") > params.phrase_over) & (missing <= 2), params.body_phrase + title).otherwise(0.0)
     terms = terms.select("query_id", "term", F.coalesce(F.sum("top").over(behind), F.lit(0.0)).alias("rest"), share(F.count("*").over(falling.rowsBetween(0, Window.unboundedFollowing)), F.col("asked"), params).alias("factor"), (phrase + F.when(F.col("n_paths") > 0, params.preferred).otherwise(0.0) + boosts).alias("extra"))
     met = met.join(terms, ["query_id", "term"]).withColumn("bound", (F.col("most") + F.col("rest")) * F.col("factor") + F.col("extra"))
     met = stored(met.select("query_id", "term", "level", "most", "top", "bound", "before", "postings", "asked", "own", "n_paths", "chars"), new_path(spark, "met"))
@@ -201,14 +219,14 @@ def prune(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: s
     first = met.where((F.col("before") < seeds) & (F.col("postings") <= 16 * seeds))
     least = stored(_kth(bounded(first, F.lit(0.0)), k, params, page), new_path(spark, "least"))
     # 2: blocks that reach it
-    reach = met.join(small(least), "query_id", "left").withColumn("read", F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
+    reach = met.join(small(least), "query_id", "left").withColumn("read", F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK) | (F.col("before") + F.col("postings") <= cheap))
     left = reach.groupBy("query_id", "term").agg(F.coalesce(F.max(F.when(~F.col("read"), F.col("most"))), F.lit(0.0)).alias("unread"))
     open_ = left.groupBy("query_id").agg(F.sum("unread").alias("all_unread"), F.count_if(F.col("unread") > 0).alias("all_open"))
     touched = stored(reach.where("read").join(left, ["query_id", "term"]).select("query_id", "term", "level", "asked", "own", "chars", "unread"), new_path(spark, "touched"))
     pairs = stored(bounded(touched, F.col("unread")), new_path(spark, "bounds"))
     better = _kth(pairs, k, params, page).withColumnRenamed("least", "better")
     most_matched = F.col("seen") + F.col("all_open") - F.col("seen_open")
-    held = F.when((F.col("chars") > params.phrase_over) & (most_matched >= F.col("own") - 2), params.body_phrase + params.title_phrase).otherwise(0.0)
+    held = F.when((F.col("chars") > params.phrase_over) & (most_matched >= F.col("own") - 2), params.body_phrase + title).otherwise(0.0)
     high = (F.col("sum") + F.col("all_unread") - F.col("seen_unread")) * share(most_matched, F.col("asked"), params) + F.col("plus") + held
     kept = pairs.join(small(open_), "query_id").join(small(better), "query_id", "left").where(F.col("better").isNull() | (high >= F.col("better") - SLACK))
     return Pruned(touched, stored(kept.select("query_id", *KEY), new_path(spark, "pairs")))
@@ -221,15 +239,20 @@ def score(index: Index, analyzed: DataFrame, k: int, params: Bm25Params, page: s
     few = (analyzed.agg(F.sum(F.size("terms"))).first()[0] or 0) <= params.broadcast_terms
     small = F.broadcast if few else lambda df: df
     pairs = prune(index, analyzed, k, params, page, small).pairs
+    near = F.broadcast if pairs.count() <= params.broadcast_terms else lambda df: df
     asked = analyzed.select("query_id", F.explode("terms").alias("term"))
     wanted = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi").select(*KEY, "term", "part")
-    hits = pairs.join(wanted, KEY).join(small(asked), ["query_id", "term"])
+    hits = wanted.join(near(pairs), KEY).join(small(asked), ["query_id", "term"])
     summed = hits.groupBy("query_id", *KEY).agg(F.sum("part").alias("sum"), F.count("*").alias("matched"))
     q = analyzed.select("query_id", "normalized", F.size("terms").alias("asked"), "own", "paths")
-    full = summed.join(small(q), "query_id").join(index.bodies.select(*KEY, "url", "body", "name"), KEY)
-    phrase = (F.length("normalized") > params.phrase_over) & (F.col("matched") >= F.col("own") - 2)
-    bonus = F.when(phrase & F.col("body").contains(F.col("normalized")), params.body_phrase).otherwise(0.0) + F.when(phrase & F.col("name").contains(F.col("normalized")), params.title_phrase).otherwise(0.0)
-    value = F.col("sum") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + bonus
+    full = stored(summed.join(small(q), "query_id"), new_path(index.passages.sparkSession, "summed"))
+    # only pairs that may hold the query as a phrase meet texts; the others' urls alone are read
+    maybe = (F.length("normalized") > params.phrase_over) & (F.col("matched") >= F.col("own") - 2)
+    held = lambda c: F.col(c).contains(F.col("normalized"))
+    texts = index.bodies.select(*KEY, "url", "body", "name").join(near(full.where(maybe)), KEY)
+    texts = texts.withColumn("bonus", F.when(held("body"), params.body_phrase).otherwise(0.0) + F.when(held("name"), params.title_phrase).otherwise(0.0)).drop("body", "name")
+    full = texts.unionByName(index.bodies.select(*KEY, "url").join(near(full.where(~maybe)), KEY).withColumn("bonus", F.lit(0.0)))
+    value = F.col("sum") * (params.base_share + (1 - params.base_share) * (F.col("matched") / F.col("asked"))) + F.col("bonus")
     return full.select("query_id", *KEY, "url", F.round(value + url_part(F.col("url"), F.col("paths"), params), 4).alias("score"))
 
 
