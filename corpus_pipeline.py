@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.common import discard, materialize, table
 
-#: No SQL: classifiers and tokens are in it. tests/llm/test_pipeline.py has a brute-force version.
+#: No SQL: classifiers and tokens are in it. tests/llm/test_pipeline.py states which planted rows go and which stay.
 ORACLE_SQL = None
 
 

@@ -12,6 +12,13 @@ STOP_WORDS = (
     "this uscis was what when where which who will with would you your"
 ).split()
 
+#: Words of a command that name no step of a checklist.
+STEP_STOP_WORDS = tuple(
+    "a an and are for i is it me my of on or please step the this to with mark check complete finish done undo uncheck remove not all tps tpa ead work permit travel authorization "
+    "um uma os as e ou de do da dos das para por meu minha marcar marque concluir concluido desmarcar remover pendente todos todas trabalho viagem autorizacao "
+    "un una il lo la i gli le e o di del della dei delle per mio mia segna segnare completa completato deseleziona rimuovi mancante tutti lavoro viaggio".split()
+)
+
 #: Endings that stemming strips, the long ones first, each list once.
 LONG_SUFFIXES = "ization ational fulness ousness iveness".split()
 SHORT_SUFFIXES = "ments ment ingly edly ation ities ity ing ers ies ed es s".split()

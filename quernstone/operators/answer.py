@@ -123,6 +123,14 @@ def known_followups(ids: Column, known: tuple[str, ...], most: int = 3) -> Colum
     return F.slice(F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: x.isin(list(known)))), 1, most)
 
 
+def revealed_sections(text: Column, sources: Column, sections: Column) -> Column:
+    """The sections to show: those with a text; else each paragraph of the text, with all sources; none without any text."""
+    full = F.filter(sections, lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
+    edges = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    cut = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t]*\n"), edges), lambda t: t != "")
+    return F.when(F.coalesce(F.size(full), F.lit(0)) > 0, full).otherwise(F.transform(cut, lambda t: F.struct(t.alias("text"), sources.alias("sources"))))
+
+
 def local_context(hits: DataFrame) -> DataFrame:
     """query_id, context: the numbered passages of each query's ``hits`` (rank, title, url, last_modified, excerpt) as one text."""
     of = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))

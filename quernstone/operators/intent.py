@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.config import STEP_STOP_WORDS
 from quernstone.functions.text import normalize_intent, text_tokens
 
 #: Scripts without word spaces, or with endings that stick to the word: terms match anywhere.
@@ -53,7 +54,7 @@ def best_topic(utterances: DataFrame, topics: list[tuple[str, tuple[str, ...]]],
     return best.withColumns({"topic": F.when(good, F.col("_b.name")).otherwise(otherwise), "topic_score": F.round(F.col("_b.s"), 4)}).drop("_q", "_b")
 
 
-def find_step(queries: DataFrame, steps: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def find_step(queries: DataFrame, steps: DataFrame, stop_words: tuple[str, ...] = STEP_STOP_WORDS) -> DataFrame:
     """query_id, step_id: the step that a text names. ``steps``: flow_id, step_ord, step_id, parts (array of texts).
 
     Containment either way counts 999, and of such steps the last wins; otherwise the best score of 1 or more, the first of equals.

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quernstone.config import CacheParams, ChunkParams, LimiterParams, QuotaParams, Topic, UrlRules
 from quernstone.functions import text as T
 from quernstone.functions import urls as U
-from quernstone.operators import answer, checklist, corpus, intent, phrases, responses, search, tasks
+from quernstone.operators import answer, checklist, corpus, intent, phrases, responses, search, tasks, trees
 from quernstone.plans import oracle
-from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
+from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 from quernstone.sources.stored import new_path
 from quernstone.streaming import answers, crawl, limits
 
@@ -471,6 +471,13 @@ def monthly_quota(spark, sf_dir):
     return limits.monthly_quota(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", QuotaParams(5)).withColumn("used", F.col("used").cast("long"))
 
 
+@query
+def answered_quota(spark, sf_dir):
+    """Events as questions: those of type error got no answer, every fourth user has the plan."""
+    e = table(spark, sf_dir, "events").withColumns({"answered": F.col("event_type") != "error", "plus": F.col("user_id") % 4 == 0})
+    return limits.answered_quota(e, "user_id", "ts", "event_id", "answered", "plus", QuotaParams(5)).withColumn("used", F.col("used").cast("long"))
+
+
 @query
 def progress_rollup(spark, sf_dir):
     steps = spark.createDataFrame([(s,) for s in STEPS], "step string")
@@ -498,10 +505,29 @@ def flow_summary(spark, sf_dir):
     return _progress_lists(spark, sf_dir).select("user_id", "flow_id", text.alias("summary"))
 
 
+def _catalogues(spark, sf_dir) -> DataFrame:
+    """Each document as a nested catalogue of its language: source, a number, then a title with a placeholder and a list."""
+    number = F.concat(F.lit("k"), (F.col("doc_id") % 13).cast("string"))
+    title = F.concat(F.lit("{{n"), (F.col("n_chars") % 3).cast("string"), F.lit("}} "), F.left("text", F.lit(8)))
+    entry = F.struct(title.alias("title"), F.array("lang", (F.col("doc_id") % 5).cast("string")).alias("tags"))
+    d = table(spark, sf_dir, "documents")
+    return trees.flat_keys(d.select("doc_id", "lang", F.to_json(F.create_map("source", F.create_map(number, entry))).alias("tree")), ["doc_id", "lang"], "tree")
+
+
+def _strings(spark, sf_dir) -> DataFrame:
+    """The catalogues of a language as one, of a repeated key the last document's."""
+    return _catalogues(spark, sf_dir).groupBy("lang", "key_path").agg(F.max_by("value", "doc_id").alias("value"))
+
+
+@query
+def nested_keys(spark, sf_dir):
+    return _catalogues(spark, sf_dir).select("doc_id", "key_path", "value")
+
+
 @query
 def localized_strings(spark, sf_dir):
-    s = spark.createDataFrame(STRINGS, "lang string, key_path string, value string")
-    wanted = s.select("key_path").distinct().join(F.broadcast(s.select("lang").distinct())).where("lang <> 'yy' or key_path <> 'home.title'")
+    s = _strings(spark, sf_dir)
+    wanted = s.select("key_path").distinct().join(F.broadcast(s.select("lang").distinct()))
     return checklist.translated(s, wanted)
 
 
@@ -542,7 +568,7 @@ def key_dates(spark, sf_dir):
 
 @query
 def key_parity(spark, sf_dir):
-    return checklist.key_parity(spark.createDataFrame(STRINGS, "lang string, key_path string, value string"))
+    return checklist.key_parity(_strings(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

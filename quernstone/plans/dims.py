@@ -27,17 +27,6 @@ FOLLOW_UPS = [(("eau", "scam"), "scams,help,official"), (("thing", "frais"), "fe
 #: Domains taken as official in the synthetic pages.
 DOMAINS = ("example.com", "example.org")
 
-STRINGS = [
-    ("en", "home.title", "Hello {{name}}"),
-    ("en", "home.text", "{{a}} and {{b}}"),
-    ("en", "flow.step", "Step"),
-    ("xx", "home.title", "Salut {{name}}"),
-    ("xx", "home.text", "{{b}} et {{c}}"),
-    ("xx", "flow.more", "Plus"),
-    ("yy", "home.title", "Hallo"),
-    ("yy", "home.text", "{{b}}, {{a}}"),
-    ("yy", "flow.step", "Schritt"),
-]
 
 #: A small checklist for each of two flows, and what its steps are called.
 FLOW_STEPS = [("first", 0, "view"), ("first", 1, "click"), ("second", 0, "signup"), ("second", 1, "purchase"), ("second", 2, "click")]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quernstone.config import LONG_SUFFIXES, OFFICIAL_DOMAINS, SENSITIVE_PATTERNS, SHORT_SUFFIXES, STOP_WORDS, VISITOR_DOMAINS, AnswerParams, Topic
-from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, STRINGS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
+from quernstone.config import LONG_SUFFIXES, OFFICIAL_DOMAINS, SENSITIVE_PATTERNS, SHORT_SUFFIXES, STEP_STOP_WORDS, STOP_WORDS, VISITOR_DOMAINS, AnswerParams, Topic
+from quernstone.plans.dims import DOMAINS, FIXED_QUERIES, FLOW_STEPS, FLOWS, FOLLOW_UPS, INTENTS, LABELS, LINKS, PAGE_QUERY, STEP_PARTS, STEPS, TASKS, TOPIC_PHRASES, TOPICS, VISITOR
 
 
 def lit(x: str) -> str:
@@ -175,7 +175,9 @@ def sql() -> dict[str, str]:
     pages = f"SELECT page_id AS ord, url, {title} AS text, {title} AS title FROM pages"
     one_path = rf"regexp_replace({PATH}, '/{{2,}}', '/', 'g')"
     turns = "SELECT {conv_id: conv_id, turn: turn} AS query_id, text FROM conversations WHERE role = 'user'"
-    values = ", ".join(f"({names(r)})" for r in STRINGS)
+    nested = r"""raw AS (SELECT doc_id, lang, source || '.k' || (doc_id % 13) AS p, '{{n' || (n_chars % 3) || '}} ' || left(text, 8) AS title, '["' || lang || '","' || (doc_id % 5) || '"]' AS tags FROM documents),
+nk AS (SELECT doc_id, lang, p || '.title' AS key_path, title AS value FROM raw WHERE title IS NOT NULL UNION ALL SELECT doc_id, lang, p || '.tags', tags FROM raw)"""
+    strings = f"{nested}, s AS (SELECT lang, key_path, arg_max(value, doc_id) AS value FROM nk GROUP BY ALL)"
     holders = lambda x: rf"list_sort(regexp_extract_all({x}, '\{{\{{\s*([A-Za-z0-9_.]+)\s*\}}\}}', 1))"
     refers = r"(len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}-]{3,}')) < 7 OR regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(it|that|this|they|them|those|these)($|[^A-Za-z0-9_])'))"
     plain_turns = f"SELECT conv_id, turn, {route('text')} AS plain FROM conversations WHERE role = 'user'"
@@ -203,7 +205,7 @@ pl AS (SELECT c_custkey AS user_id, flow_id, count(*) AS total, coalesce(string_
     step_scores = []
     for _, o, name, parts in STEP_PARTS:
         inside = " OR ".join(f"contains(q, {lit(x)}) OR contains({lit(x)}, q)" for x in parts)
-        hits = f"len(list_filter(list_filter(string_split(q, ' '), lambda x: length(x) > 2), lambda x: contains({lit(' '.join(parts))}, x)))"
+        hits = f"len(list_filter(list_filter(string_split(q, ' '), lambda x: length(x) > 2 AND x NOT IN ({names(STEP_STOP_WORDS)})), lambda x: contains({lit(' '.join(parts))}, x)))"
         step_scores.append(f"SELECT query_id, {o} AS o, {lit(name)} AS step_id, ({inside}) AS inside, CASE WHEN {inside} THEN 999.0 ELSE greatest({hits}::DOUBLE, {', '.join(match('q', x) for x in parts)}) END AS score FROM q")
     en = AnswerParams().copy["en"]
     chunk_passages = "SELECT doc_id * 1000 + part AS ord, source AS url, text, '' AS title FROM parts"
@@ -257,7 +259,8 @@ SELECT conv_id, turn, CASE WHEN score >= 1 THEN item_id::VARCHAR ELSE 'general'
         "shared_contexts": "SELECT event_id, given, CASE WHEN given AND event_id % 2 = 0 THEN event_type ELSE '' END AS context, CASE WHEN event_id % 5 = 0 THEN 'ai.quotaIssue' WHEN event_type = 'error' THEN 'privacy.consentSensitive' WHEN event_id % 7 = 0 THEN event_type ELSE 'ai.requestFailed' END AS error FROM (SELECT *, user_id % 2 = 0 AND event_id % 3 = 1 AS given FROM events)",
         "progress_lists": f"WITH {lists} SELECT user_id, flow_id, total, completed, remaining, percent FROM pl",
         "flow_summary": f"WITH {lists} SELECT user_id, flow_id, flow_id || ': ' || n || '/' || total || ' {LABELS['complete']} (' || percent || '%).' || chr(10) || '{LABELS['due']}: ' || CASE WHEN user_id % 2 = 0 THEN '2024-03-01' ELSE {lit(LABELS['not_set'])} END || '.' || chr(10) || '{LABELS['completed']}: ' || {shown('completed')} || '.' || chr(10) || '{LABELS['remaining']}: ' || {shown('remaining')} || '.' || chr(10) || '{LABELS['key_dates']}: ' || CASE WHEN user_id % 2 = 0 THEN 'reminder_30: 2024-01-31; reminder_7: 2024-02-23; target_date: 2024-03-01' ELSE {lit(LABELS['not_calculated'])} END || '.' AS summary FROM pl",
-        "localized_strings": f"WITH s AS (SELECT * FROM (VALUES {values}) v(lang, key_path, value)) SELECT w.lang, w.key_path, coalesce(o.value, b.value, w.key_path) AS text FROM (SELECT DISTINCT l.lang, k.key_path FROM s k, s l WHERE l.lang <> 'yy' OR k.key_path <> 'home.title') w LEFT JOIN s o USING (lang, key_path) LEFT JOIN s b ON b.lang = 'en' AND b.key_path = w.key_path",
+        "nested_keys": f"WITH {nested} SELECT doc_id, key_path, value FROM nk",
+        "localized_strings": f"WITH {strings} SELECT w.lang, w.key_path, coalesce(o.value, b.value, w.key_path) AS text FROM (SELECT DISTINCT l.lang, k.key_path FROM s k, s l) w LEFT JOIN s o USING (lang, key_path) LEFT JOIN s b ON b.lang = 'en' AND b.key_path = w.key_path",
         "discovered_pages": f"WITH a AS (SELECT page_id, lang, CASE WHEN length(o) > 1 THEN regexp_replace(o, '/$', '') ELSE o END AS p FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS lang, {one_path} AS o FROM pages)) SELECT 'https://www.uscis.gov' || p AS url, arg_max(lang || page_id, page_id) AS last_modified FROM a WHERE NOT (regexp_matches(p, '(?i)\\.html$') OR p = '/en/1' OR starts_with(p, '/de/9') OR {under('p', ['/en/2'])}) AND (p = '/fr' OR {under('p', ['/en', '/de'])}) GROUP BY p",
         "crawl_run": f"WITH {FOUND}, x AS (SELECT *, starts_with(url, 'https:') AS known FROM fd WHERE last_modified <> 'fr'), y AS (SELECT *, (NOT known OR last_modified <> 'en') AND page_id % 3 <> 0 AS fresh FROM x) SELECT url, CASE WHEN fresh THEN last_modified ELSE 'en' END AS last_modified, CASE WHEN fresh THEN 'new' ELSE 'old' END AS html FROM y WHERE fresh OR known",
         "normalize_text": f"SELECT doc_id, {norm('text')} AS normalized FROM documents",
@@ -296,9 +299,10 @@ r AS (SELECT id, key, n, false AS hit, id AS made, answer FROM e WHERE n = 1 UNI
 SELECT id AS request_id, hit, md5(answer) AS answer FROM r UNION ALL SELECT id, false, md5(answer) FROM k WHERE key = ''""",
         "cache_ttl_hits": f"WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, event_id, n, false AS hit, t AS made FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t - r.made <= {DAY}, CASE WHEN e.t - r.made <= {DAY} THEN r.made ELSE e.t END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, event_id, hit FROM r",
         "monthly_quota": "SELECT user_id, event_id, month, used, used <= 5 AS allowed FROM (SELECT user_id, event_id, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS used FROM events)",
+        "answered_quota": "SELECT user_id, event_id, month, used, user_id % 4 = 0 OR used < 5 AS allowed FROM (SELECT user_id, event_id, strftime(ts, '%Y-%m') AS month, least(5, count(*) FILTER (event_type <> 'error' AND user_id % 4 <> 0) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS used FROM events)",
         "progress_rollup": f"SELECT user_id, {len(STEPS)}::BIGINT AS total, count(DISTINCT CASE WHEN event_type IN ({names(STEPS)}) THEN event_type END) AS completed, round(100.0 * count(DISTINCT CASE WHEN event_type IN ({names(STEPS)}) THEN event_type END) / {len(STEPS)})::BIGINT AS percent FROM events GROUP BY user_id",
         "key_dates": "SELECT o_orderkey, id, strftime(CAST(o_orderdate AS DATE) - days, '%Y-%m-%d') AS iso FROM orders, (VALUES ('reminder_30', 30), ('reminder_7', 7), ('target_date', 0)) v(id, days)",
-        "key_parity": f"WITH s AS (SELECT * FROM (VALUES {values}) v(lang, key_path, value)), b AS (SELECT l.lang, s.key_path, s.value FROM s, (SELECT DISTINCT lang FROM s WHERE lang <> 'en') l WHERE s.lang = 'en'), o AS (SELECT * FROM s WHERE lang <> 'en'), j AS (SELECT coalesce(b.lang, o.lang) AS lang, coalesce(b.key_path, o.key_path) AS key_path, CASE WHEN o.value IS NULL THEN 'missing' WHEN b.value IS NULL THEN 'extra' WHEN {holders('o.value')} <> {holders('b.value')} THEN 'placeholders' END AS problem FROM b FULL JOIN o ON b.lang = o.lang AND b.key_path = o.key_path) SELECT lang, key_path, problem FROM j WHERE problem IS NOT NULL",
+        "key_parity": f"WITH {strings}, b AS (SELECT l.lang, s.key_path, s.value FROM s, (SELECT DISTINCT lang FROM s WHERE lang <> 'en') l WHERE s.lang = 'en'), o AS (SELECT * FROM s WHERE lang <> 'en'), j AS (SELECT coalesce(b.lang, o.lang) AS lang, coalesce(b.key_path, o.key_path) AS key_path, CASE WHEN o.value IS NULL THEN 'missing' WHEN b.value IS NULL THEN 'extra' WHEN {holders('o.value')} <> {holders('b.value')} THEN 'placeholders' END AS problem FROM b FULL JOIN o ON b.lang = o.lang AND b.key_path = o.key_path) SELECT lang, key_path, problem FROM j WHERE problem IS NOT NULL",
     }
     # streams give what their batch forms give
     found |= {"rate_limit_stream": found["rate_limit"], "crawl_stream": found["crawl_run"]}

@@ -98,6 +98,19 @@ def monthly_quota(events: DataFrame, key: str, time: str, order: str, params: Qu
     return used.select(key, order, "month", "used", (F.col("used") <= params.limit).alias("allowed"))
 
 
+def answered_quota(questions: DataFrame, key: str, time: str, order: str, answered: str, exempt: str, params: QuotaParams = QuotaParams()) -> DataFrame:
+    """key, order, month, used, allowed: a question passes until ``limit`` answered ones of its key and month came before it.
+
+    Only questions that got an answer (``answered``) count, and none of those with the plan (``exempt``), which always pass. What
+    is not allowed is not asked, so the count stops at the limit. Null flags are false.
+    """
+    month = F.date_format(time, "yyyy-MM")
+    counts = F.coalesce(F.col(answered), F.lit(False)) & ~F.coalesce(F.col(exempt), F.lit(False))
+    before = Window.partitionBy(key, "month").orderBy(time, order).rowsBetween(Window.unboundedPreceding, -1)
+    used = questions.withColumn("month", month).withColumn("used", F.least(F.coalesce(F.count_if(counts).over(before), F.lit(0)), F.lit(params.limit)))
+    return used.select(key, order, "month", "used", (F.coalesce(F.col(exempt), F.lit(False)) | (F.col("used") < params.limit)).alias("allowed"))
+
+
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
     """State with lists, maps and timers needs this store; queries take the setting with them when they start."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -139,4 +139,14 @@ def test_search_of_nothing(spark):
     asked = spark.createDataFrame([(1, "some words"), (2, None), (3, "the")], "query_id long, text string")
     assert search.search(search.build_index(passages), asked).count() == 0 and search.search(search.build_index(passages), asked.limit(0)).count() == 0
     events = spark.createDataFrame([], "user_id long, ts timestamp, event_id long")
+    flags = spark.createDataFrame([(1, i, f"2024-01-{i + 1:02d}", i != 1, u) for u, i in ((False, 0), (False, 1), (False, 2), (False, 3), (False, 4))] + [(2, 9, "2024-01-01", True, True), (3, 10, "2024-01-31", None, None)], "user_id int, event_id int, ts string, answered boolean, plus boolean")
+    quota = {r.event_id: (r.used, r.allowed) for r in limits.answered_quota(flags, "user_id", "ts", "event_id", "answered", "plus", QuotaParams(2)).collect()}
+    assert quota == {0: (0, True), 1: (1, True), 2: (1, True), 3: (2, False), 4: (2, False), 9: (0, True), 10: (0, True)}
     assert limits.monthly_quota(events, "user_id", "ts", "event_id").count() == 0 and limits.cache_hits(events, "user_id", "ts", "event_id").count() == 0
+
+
+def test_sections_to_show(spark):
+    kind = "text string, sources array<string>, sections array<struct<text: string, sources: array<string>>>"
+    rows = [("a\n \n b \n\n", ["s"], []), ("a", ["s"], [("x", ["t"]), (" ", []), (None, [])]), ("a", [], None), (" ", ["s"], []), (None, ["s"], [(" ", [])])]
+    d = spark.createDataFrame(rows, kind).select(answer.revealed_sections(F.col("text"), F.col("sources"), F.col("sections")).alias("r"))
+    assert [[tuple(x) for x in r.r] for r in d.collect()] == [[("a", ["s"]), ("b", ["s"])], [("x", ["t"])], [("a", [])], [], []]
