@@ -116,18 +116,16 @@ def parse(source: str) -> Page:
             if link is not None:
                 linked += len(raw.strip())
 
-    at, skip_to = 0, 0
-    for m in TOKEN.finditer(source):
-        if m.start() < skip_to:
-            continue
-        put(source[max(at, skip_to) : m.start()])
+    at = 0
+    while m := TOKEN.search(source, at):  # from the end of each silent stretch: what begins in one is no token
+        put(source[at : m.start()])
         at = m.end()
         name, closing = (m[2] or "").lower(), bool(m[1])
         if not name:
             continue
         if name in SILENT:
             if not closing:
-                skip_to = at = after_silent(source, name, at)
+                at = after_silent(source, name, at)
             continue
         if name not in STRUCTURE:
             if name == "a":
@@ -171,7 +169,7 @@ def parse(source: str) -> Page:
             push(name, words, "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower(), attrs.get("data-y", ""))
         if link is not None and len(stack) < link:
             link = None
-    rest = source[max(at, skip_to) :]
+    rest = source[at:]
     cut = rest.rfind("<")  # a tag that the page's end cuts off
     put(rest[:cut] if cut >= 0 and ">" not in rest[cut:] and re.match(r"<[/!?]?[a-zA-Z]|<[/!?]", rest[cut:]) else rest)
     flush()
@@ -358,7 +356,10 @@ def training_page(r: random.Random) -> str:
     inner = head + "".join(body) + (off(talk()) if r.random() < 0.15 else "")
     inner += off(f"<footer>{' '.join(anchors(2))}</footer>") if r.random() < 0.12 else ""
     main = r.choice((f'<article data-y="1">{inner}</article>',) * 3 + (f'<main data-y="1">{inner}</main>', f'<main><article data-y="1">{inner}</article></main>', f'<div data-y="1" {named("content post entry article story main-content body-text")}>{inner}</div>', f'<div data-y="1" {named("content post entry")}>{inner}</div>', f'<div data-y="1" class="{plain()}">{inner}</div>', f'<section data-y="1" {named("article story")}>{inner}</section>'))
-    if r.random() < 0.35:
+    if r.random() < 0.08:  # a layout table: links in one cell, the main text in another
+        cells = [f"<td>{r.choice(('<br>', ' ')).join(anchors(r.randint(1, 6)))}</td>", f'<td data-y="1">{inner}</td>']
+        main = f"<table><tr>{''.join(cells if r.random() < 0.7 else cells[::-1])}</tr></table>"
+    elif r.random() < 0.35:
         main = f'<div class="{r.choice(("wrap", "container", "page", plain()))}">{main}{sidebar() if r.random() < 0.5 else ""}</div>'
     above = [f() for f, chance in ((menu, 0.85), (advert, 0.5), (notice, 0.3), (search, 0.2)) if r.random() < chance]
     r.shuffle(above)

@@ -17,7 +17,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bad = F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).drop("bound")
+    return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).withColumn("bound", F.round("bound", 6))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

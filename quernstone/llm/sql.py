@@ -50,7 +50,7 @@ ruled as (
 )
 select page_id, host, path, rule, case
   when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block'
-  when low > 0.5 then 'block' else 'allow' end as verdict
+  when low > 0.5 then 'block' else 'allow' end as verdict, round(low, 6) as bound
 from ruled left join bound using (host)
 """.replace("TWO", ", ".join(f"'{x}'" for x in TWO_LABELS))
 

@@ -29,5 +29,10 @@ PAGES = {
     "comment tags": (f"<body><!-- <article><p>old</p></article> --><article>{BODY}<!--> <p>{FIRST}</p></article>", f"{TEXT}\n{FIRST}"),
     "unclosed paragraphs": (f"<body><article><p>{FIRST}<p>{SECOND}<p>{THIRD}</article>{FOOT}", TEXT),
     "wrapped deeply": (f'<body><div class=page><div class=wrap><div class=header><a href="/">The Valley Post</a></div><div class=row><div class="post entry"><h1>Flood</h1>{BODY}</div><div class=sidebar><p><a href=1>More</a></p></div></div></div></div>{FOOT}', f"Flood\n{TEXT}"),
+    "comment marks in a script": (f'<body><script>var s="<!--";</script>{MENU}<article>{BODY}</article>{FOOT}', TEXT),
+    "comment marks in a style": (f"<head><style>p:before {{content: '<!--'}}</style></head><body>{MENU}<article>{BODY}</article>{FOOT}", TEXT),
+    "comment marks in a title": (f"<head><title>How to use <!-- in HTML</title></head><body>{MENU}<article>{BODY}</article>{FOOT}", TEXT),
+    "tags in a script": (f"<body><script>document.write('<div title=\"</scr' + '<nav>')</script>{MENU}<article>{BODY}</article>", TEXT),
+    "layout table": (f"<body><table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><h1>Flood</h1>{BODY}</td></tr></table>{FOOT}", f"Flood\n{TEXT}"),
     "truncated": (f"<body>{MENU}<article><p>{FIRST}</p><p>{SECOND}</p><p>{THIRD}</p><a hre", TEXT),
 }
