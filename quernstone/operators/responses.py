@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.config import OFFICIAL_DOMAINS, AnswerParams
-from quernstone.operators.answer import clean_output, local_answer, source_title, unique_sources, validate
-from quernstone.operators.search import relative_cut
+from quernstone.config import OFFICIAL_DOMAINS, AnswerParams, Topic
+from quernstone.functions.text import normalize_routing
+from quernstone.operators.answer import cache_key, cacheable, clean_output, follow_ups, last_user_turns, local_answer, resolve_language, retrieval_query, source_title, transcript, unique_sources, validate
+from quernstone.operators.search import Index, relative_cut, search
+from quernstone.sources.stored import new_path, stored
 
 CITED = "start_index: double, end_index: double, title: string, url: string"
 RESPONSE = (
@@ -145,3 +147,40 @@ def answer_requests(requests: DataFrame, hits: DataFrame, attempts: DataFrame, d
     whole = F.when(F.col("error").isNull(), F.array(F.struct(text.alias("text"), sources.alias("sources"))))
     ground = F.when(good, F.when(live.isNotNull(), "live_official_sources").otherwise("local_corpus")).otherwise(F.col("own_ground"))
     return a.select("request_id", "status", "error", text.alias("output_text"), F.when(good, F.coalesce("parts", whole)).otherwise(whole).alias("sections"), sources.alias("sources"), ground.alias("grounded_on"), F.when(F.col("error").isNull(), ~good).alias("degraded"))
+
+
+def ask(index: Index, turns: DataFrame, attempts: DataFrame | None = None, topics: list[Topic] = (), rules: list[tuple[tuple[str, ...], str]] = (), domains: tuple[str, ...] = OFFICIAL_DOMAINS, k: int = 8, page: str = "url", languages: tuple[str, ...] = ("en",), model: str = "m", store: str = "no-vector", params: AnswerParams = AnswerParams()) -> DataFrame:
+    """The last question of each conversation, from guard to profile: request_id (the conversation), and what ``answer_requests`` gives, with
+    cache_key (empty if the answer depends on more than the question), followups and answer_profile.
+
+    ``turns``: conv_id, turn, role, text, and perhaps language and checklist_context (of the last question's row). A short or referring question is searched with the one before it.
+    """
+    none = F.lit("")
+    has = lambda c: F.col(c) if c in turns.columns else F.lit(None).cast("string")
+    last = last_user_turns(turns)
+    own = turns.select("conv_id", "turn", has("language").alias("language"), has("checklist_context").alias("checklist_context"))
+    before = transcript(turns.join(last.select("conv_id", F.col("turn").alias("_last")), "conv_id").where(F.col("turn") < F.col("_last")).drop("_last"))
+    q = last.join(own, ["conv_id", "turn"]).join(before, "conv_id", "left").withColumnRenamed("conv_id", "request_id").dropDuplicates(["request_id"])
+    q = q.withColumn("language", resolve_language(F.col("language"), languages)).withColumn("checklist_context", F.coalesce("checklist_context", none))
+    q = stored(q.withColumn("conversation", F.coalesce("transcript", none)), new_path(turns.sparkSession, "asked"))
+    good = validate(q).where("error is null")
+    hits = stored(search(index, good.select(F.col("request_id").alias("query_id"), retrieval_query(F.col("question"), F.col("previous"), params).alias("text")), k, topics, page=page), new_path(turns.sparkSession, "hits"))
+    if attempts is None:
+        attempts = turns.sparkSession.createDataFrame([], "attempt int, status int, body string").join(q.select("request_id").limit(0), how="cross")
+    answers = answer_requests(q, hits, attempts, domains, params)
+    found = hits.groupBy(F.col("query_id").alias("request_id")).agg(F.count("*").cast("int").alias("n"))
+    alone = cacheable(F.col("checklist_context"), F.col("has_prior_different"))
+    key = F.when(alone, cache_key(F.col("question"), F.col("language"), F.lit(model), F.lit(store), params)).otherwise("")
+    a = answers.join(q.select("request_id", "question", "language", key.alias("cache_key")), "request_id").join(found, "request_id", "left")
+    text = F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["title"], s["url"])), " ")
+    profile = F.struct(
+        "language",
+        F.size("sources").alias("source_count"),
+        F.coalesce("n", F.lit(0)).alias("retrieval_count"),
+        F.coalesce("grounded_on", F.lit("unknown")).alias("grounded_on"),
+        F.lit(False).alias("cached"),
+        F.coalesce("degraded", F.lit(False)).alias("degraded"),
+    )
+    ok = F.col("error").isNull()
+    follow = F.split(follow_ups(normalize_routing(F.col("question")), text, list(rules), {}, "next,documents,official"), ",")
+    return a.select(*answers.columns, F.when(ok, F.col("cache_key")).alias("cache_key"), F.when(ok, follow).alias("followups"), F.when(ok, profile).alias("answer_profile"))

@@ -338,6 +338,16 @@ def model_answers(spark, sf_dir):
     return a.select("request_id", F.col("status").cast("long").alias("status"), "error", "output_text", F.size("sections").cast("long").alias("n_sections"), F.array_join("sources.url", " ").alias("sources"), "grounded_on", "degraded")
 
 
+@query
+def ask_conversations(spark, sf_dir):
+    """The last question of each conversation to the pages, by their titles; no model is asked."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_ord"), F.lit(0).alias("chunk_index"), "url", title.alias("title"), F.lit(None).cast("string").alias("description"), title.alias("text"))
+    a = responses.ask(search.build_index(pages), table(spark, sf_dir, "conversations"), rules=FOLLOW_UPS, domains=DOMAINS, page="page_ord")
+    profile = [F.col(f"answer_profile.{c}").cast("long").alias(c) for c in ("source_count", "retrieval_count")]
+    return a.select(F.col("request_id").alias("conv_id"), F.col("status").cast("long").alias("status"), "error", "output_text", "grounded_on", "degraded", F.array_join("sources.url", " ").alias("sources"), "cache_key", F.array_join("followups", ",").alias("followups"), *profile)
+
+
 @query
 def section_sources(spark, sf_dir):
     """Each page's address cited in every paragraph of a short answer."""

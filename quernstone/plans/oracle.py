@@ -239,6 +239,17 @@ SELECT id AS request_id, CASE WHEN error IS NULL THEN 200 ELSE 400 END::BIGINT A
  CASE WHEN error IS NOT NULL THEN NULL WHEN good THEN len(list_filter(regexp_split_to_array(coalesce(reply, ''), '\n[ \t]*\n'), lambda x: trim(x) <> '')) + 2 ELSE 1 END::BIGINT AS n_sections,
  CASE WHEN error IS NOT NULL THEN NULL WHEN good AND cites THEN 'https://www.example.com/p/' || conv_id ELSE '' END AS sources,
  CASE WHEN error IS NOT NULL THEN NULL WHEN good AND cites THEN 'live_official_sources' WHEN good THEN 'local_corpus' ELSE 'no_matching_source' END AS grounded_on, CASE WHEN error IS NULL THEN NOT good END AS degraded FROM g""",
+        "ask_conversations": f"""WITH {LAST}, lq AS (SELECT conv_id, text AS question, plain, CASE WHEN {refers} AND coalesce(previous, '') NOT IN ('', text) THEN text || chr(10) || 'Previous user question: ' || previous ELSE text END AS query,
+ conv_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = l.conv_id AND u.turn < l.turn AND u.plain <> '' AND u.plain <> l.plain) AS alone,
+ (SELECT string_agg(line, chr(10) ORDER BY turn) FROM (SELECT turn, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(c.text, '') AS line FROM conversations c WHERE c.conv_id = l.conv_id AND c.turn < l.turn AND role IN ('user', 'assistant') ORDER BY turn DESC LIMIT 8)) AS said FROM l WHERE nxt IS NULL),
+gq AS (SELECT *, CASE WHEN question = '' THEN 'question_required' WHEN length(question) > 4000 THEN 'question_too_long' WHEN {" OR ".join(guard("question || chr(10) || left(coalesce(said, ''), 12000) || chr(10)").values())} THEN 'sensitive_identifier' END AS error FROM lq),
+hits AS ({ranked(pages, "SELECT conv_id AS query_id, query AS text FROM gq WHERE error IS NULL", 8, key="page_id")}),
+hx AS (SELECT gq.conv_id AS id, question, {title} AS excerpt, url FROM gq LEFT JOIN hits ON hits.query_id = gq.conv_id AND hits.rank = 1 LEFT JOIN pages USING (page_id)), {sentences('hx')},
+ou AS (SELECT id, excerpt, url, passage, CASE WHEN {official.replace('h ', HOST + ' ').replace('(h,', '(' + HOST + ',')} THEN regexp_replace({ORIGIN} || {PATH}, '/$', '') END AS src FROM hx JOIN passages USING (id))
+SELECT conv_id, CASE WHEN error IS NULL THEN 200 ELSE 400 END::BIGINT AS status, error, CASE WHEN error IS NOT NULL THEN NULL WHEN excerpt IS NULL THEN {lit(en['missing'])} ELSE {lit(en['intro'])} || chr(10) || chr(10) || passage || chr(10) || chr(10) || {lit(en['verify'])} END AS output_text,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN excerpt IS NULL THEN 'no_matching_source' ELSE 'local_corpus' END AS grounded_on, CASE WHEN error IS NULL THEN true END AS degraded, CASE WHEN error IS NULL THEN coalesce(src, '') END AS sources,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN alone AND plain <> '' THEN 'v3|en|m|no-vector|' || left(plain, 900) ELSE '' END AS cache_key, CASE WHEN error IS NULL THEN {rules('plain', FOLLOW_UPS, 'next,documents,official')} END AS followups,
+ CASE WHEN error IS NULL THEN CASE WHEN src IS NULL THEN 0 ELSE 1 END END::BIGINT AS source_count, CASE WHEN error IS NULL THEN (SELECT count(*) FROM hits WHERE query_id = conv_id) END::BIGINT AS retrieval_count FROM gq JOIN ou ON ou.id = gq.conv_id""",
         "extractive_answer": answered,
         "local_context": f"SELECT query_id, length(c) AS n_chars, md5(c) AS md5 FROM (SELECT query_id, string_agg('[Passage ' || rank || ']' || chr(10) || 'Title: ' || chr(10) || 'URL: ' || coalesce(source, '') || chr(10) || 'Last modified: unknown' || chr(10) || 'Passage: ' || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY rank) AS c FROM ({ranked(DOCS, ASKED, 3)}) JOIN documents USING (doc_id) GROUP BY query_id)",
         "answer_cache_keys": f"WITH {LAST}, c AS (SELECT conv_id, plain, conv_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = l.conv_id AND u.turn < l.turn AND u.plain <> '' AND u.plain <> l.plain) AS ok FROM l WHERE nxt IS NULL) SELECT conv_id, ok AS cacheable, CASE WHEN ok AND plain <> '' THEN 'v3|en|m|no-vector|' || substr(plain, 1, 900) ELSE '' END AS key FROM c",

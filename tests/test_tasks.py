@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.config import QuotaParams
 from quernstone.functions import text as T
 from quernstone.functions import urls
 from quernstone.operators import answer, checklist, corpus, search, tasks
