@@ -72,7 +72,7 @@ UNKNOWN = "unknown"
 class LicenseParams:
     forms: int = 24  # varied forms of each template
     sample: int = 3_000  # corpus paragraphs at most, as unknowns
-    sample_chars: int = 5_000  # of each of them, at most
+    sample_chars: int = 5_000  # of each of them, at most: a window at a place that its hash gives
     accept: float = 0.5  # least calibrated probability
     overlap: float = 0.6  # of a template's word pairs
     seed: int = 5
@@ -242,7 +242,9 @@ def fit(unknown: list[str], params: LicenseParams = LicenseParams()) -> Model:
 def sample_paragraphs(docs: DataFrame, params: LicenseParams) -> list[str]:
     """A bounded sample of distinct paragraphs of all texts, by hash: what trains the unknown class."""
     lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    some = lowest_hashes(lines, F.col("line"), params.sample, F.substring("line", 1, params.sample_chars).alias("line"))
+    spare = F.greatest(F.length("line") - params.sample_chars, F.lit(0))
+    at = (F.pmod(F.xxhash64("line", F.lit(1)), spare + 1) + 1).cast("int")  # of a long one a window somewhere, by its hash
+    some = lowest_hashes(lines, F.col("line"), params.sample, F.substring("line", at, F.lit(params.sample_chars)).alias("line"))
     return [row.line for row in some.collect()]
 
 
