@@ -356,7 +356,7 @@ def training_page(r: random.Random) -> str:
     inner = head + "".join(body) + (off(talk()) if r.random() < 0.15 else "")
     inner += off(f"<footer>{' '.join(anchors(2))}</footer>") if r.random() < 0.12 else ""
     main = r.choice((f'<article data-y="1">{inner}</article>',) * 3 + (f'<main data-y="1">{inner}</main>', f'<main><article data-y="1">{inner}</article></main>', f'<div data-y="1" {named("content post entry article story main-content body-text")}>{inner}</div>', f'<div data-y="1" {named("content post entry")}>{inner}</div>', f'<div data-y="1" class="{plain()}">{inner}</div>', f'<section data-y="1" {named("article story")}>{inner}</section>'))
-    if r.random() < 0.08:  # a layout table: links in one cell, the main text in another
+    if r.random() < 0.1:  # a layout table: links in one cell, the main text in another
         cells = [f"<td>{r.choice(('<br>', ' ')).join(anchors(r.randint(1, 6)))}</td>", f'<td data-y="1">{inner}</td>']
         main = f"<table><tr>{''.join(cells if r.random() < 0.7 else cells[::-1])}</tr></table>"
     elif r.random() < 0.35:
