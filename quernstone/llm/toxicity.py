@@ -1,6 +1,6 @@
 """Toxicity behind a noisy channel.
 
-Learnt from labelled rows of the training folds only, on a bounded sample of them (a parameter): which words and
+Learnt from all labelled rows of the training folds and no others: which words and
 word beginnings or stems go with the label (candidates by z-score, weights by ridge logistic regression, so that words that
 merely keep company with others get little), and a character trigram model of the language. Scoring reads a token
 as the output of a noisy channel: leetspeak substitutes letters, punctuation and spacing are put in, letters are
@@ -9,8 +9,9 @@ channel's costs; the features of the restored text, not of the disguise, are sco
 letters are written apart, are read to their end: feature words are looked for inside the lattice itself, where only
 the best path to each state is kept.
 
-Plain tokens, nearly all, need no decoding and are looked up; each task remembers a bounded number of tokens. No
-text is shuffled: the labelled sample is small by its bound and is broadcast.
+Plain tokens, nearly all, need no decoding and are looked up; each task remembers a bounded number of tokens. Labels are
+broadcast up to a bound (``broadcast_labels``); beyond it the texts of the training folds are shuffled to them once. The regression is
+Spark's, on feature sets with their numbers, so the driver holds the model alone.
 
 Edge cases: null and empty texts get the score of a text without any feature; with no labelled training row every
 score is 0.5; labels with a null toxic or doc_id are ignored, several labels of a doc_id count as toxic if one is;
@@ -30,17 +31,19 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import lowest_hashes, most_frequent
+from quernstone.llm.common import discard, materialize, most_frequent
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     folds: int = 3  # crc32(doc_id) mod folds
     held_out: int = 1  # = this is held out
-    sample: int = 20_000  # labelled training rows at most
+    broadcast_labels: int = 500_000  # labelled training rows above which they are joined by a shuffle
     features: int = 4_000  # words and word beginnings at most
     min_z: float = 4.0
     ridge: float = 0.1
@@ -57,7 +60,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’…–—¿¡"
 #: Letters written apart: single characters with separators between.
 APART = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]{1,2}|[@$!|][ .*_-]{1,2}){2,}(?:[^\W_]|[@$!|])(?!\S)")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE, TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 #: Between words that punctuation glues together: what stands for no letter.
 GLUE = re.compile("(?:_|[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "])+")
 LONG = 40  # longer tokens are read in the lattice
@@ -159,6 +162,8 @@ class Restorer:
 
 def disguised(core: str, token: str) -> bool:
     """Whether a token (and it without its edges) may be a word in disguise."""
+    if core == token and core.isalpha():
+        return len(core) > 1 and bool(TRIPLE.search(core))
     if sum(c.isalpha() for c in core) < 2:
         return False
     if not core.isalpha() or TRIPLE.search(core):
@@ -183,9 +188,12 @@ class Model:
         self.long = {w: w for w in self.weights if not w.endswith("*") and len(w) >= self.params.apart_letters}
         self.spelt = self.squeezed | {w: w for w in self.squeezed.values()}
         self.long_starts, self.starts = ({w[:n] for w in x for n in range(len(w) + 1)} for x in (self.long, self.spelt))
+        self.heads = {f[:4] for f in self.weights}  # all features of a word begin as it does
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def known(self, word: str) -> tuple[str, ...]:
+        if word[:4] not in self.heads:
+            return ()
         return tuple(f for f in feature_names(word) if f in self.weights)
 
     def of_token(self, token: str) -> tuple[str, ...]:
@@ -208,8 +216,8 @@ class Model:
                 best = p if best is None else best
                 if p >= best - self.params.margin and (w in self.weights or collapsed(w) in self.squeezed):
                     return self.known(w if w in self.weights else self.squeezed[collapsed(w)])
-        if core.isalpha() and (short := collapsed(core)) != core and short in self.squeezed:
-            return self.known(self.squeezed[short])
+        if core.isalpha():  # nothing glues parts together
+            return self.known(self.squeezed[short]) if DOUBLE.search(core) and (short := collapsed(core)) in self.squeezed else ()
         return self.of_parts(core)
 
     def of_parts(self, core: str) -> tuple[str, ...]:
@@ -250,11 +258,26 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
-    """text, toxic of the labelled sample."""
-    own = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), params.folds) != params.held_out)
-    each = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = lowest_hashes(each, F.col("doc_id"), params.sample, F.col("doc_id"), F.col("toxic"))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    """text, toxic of all labelled rows of the training folds."""
+    trains = lambda df: df.where(fold(F.col("doc_id"), params.folds) != params.held_out)
+    each = trains(labels.where("doc_id is not null and toxic is not null")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = trains(docs.select("doc_id", "text").where("text is not null"))
+    if each.count() <= params.broadcast_labels:
+        return texts.join(F.broadcast(each), "doc_id").select("text", "toxic")
+    return materialize(docs.sparkSession, texts.join(each, "doc_id").select("text", "toxic"), "training")
+
+
+class _Remembered(dict):
+    """What ``make`` makes of a word, for a bounded number of words."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) > 100_000:
+            self.clear()
+        self[word] = made = self.make(word)
+        return made
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -263,26 +286,30 @@ def count_words(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         t: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            names, kinds = [k for k, _ in n], [g for _, g in n]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.bool_()), pa.array(list(n.values()), pa.int64()), pa.array([t[k] for k in n], pa.int64())], ["key", "is_gram", "n", "t"])
+        said: Counter = Counter()  # texts with a word: trigrams are counted once a word
+        names_of = _Remembered(feature_names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            grams: Counter = Counter()
+            for w, times in said.items():
+                w = START * 2 + w + STOP
+                for i in range(len(w) - 2):
+                    grams[w[i : i + 3]] += times
+            for is_gram, some in ((False, n), (True, grams)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array([is_gram] * len(some), pa.bool_()), pa.array(list(some.values()), pa.int64()), pa.array([0 if is_gram else t[k] for k in some], pa.int64())], ["key", "is_gram", "n", "t"])
+            n.clear(), t.clear(), said.clear()
 
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = plain_words(text)
-                names = [(f, False) for f in set(chain.from_iterable(map(feature_names, words)))]
+                names = set(chain.from_iterable(map(names_of.__getitem__, words)))
                 n.update(names)
                 if toxic:
                     t.update(names)
-                for w in words:
-                    if w.isalpha():
-                        w = START * 2 + w + STOP
-                        n.update((w[i : i + 3], True) for i in range(len(w) - 2))
+                said.update(w for w in words if w.isalpha())
                 if len(n) > 500_000:
-                    yield out()
-                    n, t = Counter(), Counter()
-        yield out()
+                    yield from out()
+        yield from out()
 
     counted = rows.mapInArrow(run, "key string, is_gram boolean, n long, t long")
     return counted.groupBy("key", "is_gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
@@ -297,22 +324,16 @@ def trigram_model(grams: pd.DataFrame) -> dict[str, float]:
     return model
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, times: np.ndarray, m: int, ridge: float = 0.1, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression over sparse 0/1 rows, each as often as ``times`` says, by accelerated gradient steps."""
-    sizes = np.array([len(r) for r in rows])
-    col, row = np.fromiter(chain.from_iterable(rows), np.int64, sizes.sum()), np.repeat(np.arange(len(rows)), sizes)
-    w, b, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
-    top = max(1.0, 0.25 * float(np.bincount(row, minlength=len(rows)).max(initial=0) + 1))
-    scale = 1 / (top * np.maximum(np.bincount(col, times[row], m), 1) + ridge)  # a step for each column by its curvature
-    scale_b = 1 / (top * max(1.0, float(times.sum())))
-    for i in range(steps):
-        look, mo = w + (k := i / (i + 3)) * vw, b + k * vb
-        z = np.bincount(row, look[col], len(rows)) + mo
-        g = times * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        new = look - scale * (np.bincount(col, g[row], m) + ridge * look)
-        nb = mo - scale_b * g.sum()
-        vw, vb, w, b = new - w, nb - b, new, nb
-    return w, b
+def logistic(data: DataFrame, m: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on 0/1 rows of ``m`` features (have: their numbers; toxic), each as often as ``count`` says."""
+    vector = F.udf(lambda have: Vectors.sparse(m, have, [1.0] * len(have)), VectorUDT())
+    total, toxic = data.agg(F.sum("count"), F.sum(F.when(F.col("toxic") > 0, F.col("count")).otherwise(0))).first()
+    if not m or toxic in (0, total):
+        return np.zeros(m), log((toxic + 0.5) / (total - toxic + 0.5))
+    rows = data.select(vector("have").alias("features"), (F.col("toxic") > 0).cast("double").alias("label"), F.col("count").cast("double").alias("weight"))
+    # Spark's loss is a mean, the ridge is that of the sum
+    found = LogisticRegression(weightCol="weight", regParam=ridge / total, standardization=False, maxIter=300, tol=1e-9).fit(rows)
+    return found.coefficients.toArray(), float(found.intercept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Model:
@@ -321,23 +342,25 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     if not total:
         return Model({}, 0.0, {"": -8.0}, params)
     rate = (toxic + 0.5) / (total + 1)
-    counted = count_words(rows).persist()
+    counted = materialize(docs.sparkSession, count_words(rows), "words")
     grams = most_frequent(counted.where("is_gram").where("n >= 3"), "n", params.trigrams, "key").toArrow().to_pandas().sort_values("key")
     z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     found = counted.where(~F.col("is_gram")).where((F.col("t") >= params.min_rate * F.col("n")) & (F.col("n") >= 3)).withColumn("z", z)
     names = [r.key for r in found.where(F.col("z") >= params.min_z).orderBy(F.desc("z"), "key").limit(params.features).collect()]
-    counted.unpersist()
+    discard(docs.sparkSession, counted)
     at = {f: i for i, f in enumerate(names)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = _Remembered(lambda w: tuple(at[f] for f in feature_names(w) if f in at))
         for b in batches:
-            have = [sorted({at[f] for w in plain_words(t) for f in feature_names(w) if f in at}) for t in b["text"]]
+            have = [sorted(set(chain.from_iterable(map(numbers.__getitem__, plain_words(t))))) for t in b["text"]]
             yield pd.DataFrame({"have": have, "toxic": b["toxic"].astype(int)})
 
-    # equal rows of features come to the driver once, with their number: copies of a labelled text do not add to it
-    data = rows.mapInPandas(present, "have array<int>, toxic int").groupBy("have", "toxic").count().orderBy("have", "toxic").toPandas()
-    y, times = data["toxic"].to_numpy(float), data["count"].to_numpy(float)
-    w, b = logistic([list(h) for h in data["have"]], y, times, len(names), params.ridge)
+    # equal rows of features count with their number: copies of a labelled text do not add to the work
+    data = materialize(docs.sparkSession, rows.mapInPandas(present, "have array<int>, toxic int").groupBy("have", "toxic").count(), "features")
+    w, b = logistic(data, len(names), params.ridge)
+    for done in (data, rows):
+        discard(docs.sparkSession, done)
     return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, b, trigram_model(grams), params)
 
 

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from quernstone.llm.toxicity import fit, keep_clean, score_toxicity
+from quernstone.llm.toxicity import ToxicityParams, count_words, fit, keep_clean, score_toxicity, training_rows
 
 from .data import documents, no_documents, prose
 
@@ -68,3 +68,17 @@ def test_long_clean_tokens_stay(model):
     junk = random.Random(3)
     for x in ("0123456789abcdef" * 40, "".join(junk.choice("abcdefgh0123!@$") for _ in range(3000)), " ".join("thesearenothingbutlettersofasentence" * 5), "https://www.example.org/some/long/path/of/a/page-that-is-longer-than-that"):
         assert model.score(f"{prose(5, 20)} {x}") < 0.5
+
+
+@pytest.mark.parametrize("params", [ToxicityParams(), ToxicityParams(broadcast_labels=5)])
+def test_all_labelled_training_rows_are_learnt_from(spark, params):
+    docs = spark.range(33_000).selectExpr("id as doc_id", "concat('some words ', id % 7) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 11 = 0 as int) as toxic")
+    every = {i for i in range(33_000) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(every) > 21_000
+    rows = training_rows(docs, labels, params)
+    assert rows.count() == len(every) and rows.agg({"toxic": "sum"}).first()[0] == sum(i % 11 == 0 for i in every)
+    n = {r.key: (r.n, r.t) for r in count_words(rows).where("not is_gram").collect()}
+    assert n["words"] == (len(every), sum(i % 11 == 0 for i in every))
+    grams = {r.key: r.n for r in count_words(rows).where("is_gram").collect()}
+    assert grams["^^w"] == grams["ds$"] == len(every)
