@@ -20,6 +20,8 @@ from quernstone.operators.intent import UNSPACED
 
 #: Characters by which a phrase that may stand anywhere is looked up.
 ANCHOR = 6
+#: Rows of phrases (of their words) up to which they are broadcast.
+BROADCAST = 200_000
 #: Words count as long from here on.
 LONG = 5
 
@@ -97,30 +99,42 @@ def alike_words(some: DataFrame, others: DataFrame) -> DataFrame:
     return up.select("w", "c").unionByName(down.select("w", "c")).unionByName(held.select("w", "c")).unionByName(holds.select("w", "c")).distinct()
 
 
-def match_scores(utterances: DataFrame, key: list[str], phrases: DataFrame) -> DataFrame:
-    """(key, phrase, score > 0): likeness of each text and each of ``phrases`` (phrase, normalised), as ``intent.match_score`` has it."""
+def _scores(utterances: DataFrame, key: list[str], phrases: DataFrame) -> DataFrame:
+    """(key, phrase, score > 0), perhaps several of a pair, of which the largest counts.
+
+    Nearly every text has some word like one of nearly every phrase. So the words go by the text's key once and are added up
+    where they are: pairs of texts and phrases do not move, unless the phrases are too many to be broadcast.
+    """
     q = utterances.select(*key, normalize_intent(F.col("text")).alias("q"))
     p = phrases.select("phrase").where("phrase <> ''").distinct()
-    said = q.select(*key, F.explode(F.array_distinct(text_tokens(F.col("q")))).alias("w"))
+    said = q.select(*key, F.size(text_tokens(F.col("q"))).alias("n_q"), F.explode(F.array_distinct(text_tokens(F.col("q")))).alias("w"))
     asked = p.select("phrase", F.explode(text_tokens(F.col("phrase"))).alias("c")).groupBy("phrase", "c").agg(F.count("*").alias("times"))
+    few = F.broadcast if asked.count() <= BROADCAST else lambda df: df
     alike = alike_words(said.select("w").distinct(), asked.select("c").distinct())
+    parts = int(utterances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a word of a phrase counts once, however many words of the text are like it
-    met = said.join(alike, "w").select(*key, "c").distinct().join(asked, "c").groupBy(*key, "phrase").agg(F.sum("times").cast("double").alias("matched"))
-    lengths = q.select(*key, F.size(text_tokens(F.col("q"))).alias("n_q"))
+    met = said.join(alike, "w").select(*key, "n_q", "c").repartition(parts, *key).groupBy(*key, "c").agg(F.max("n_q").alias("n_q"))
+    met = met.join(few(asked), "c").groupBy(*key, "phrase").agg(F.sum("times").cast("double").alias("matched"), F.max("n_q").alias("n_q"))
     n_c = F.size(text_tokens(F.col("phrase")))
-    words = met.join(lengths, key).select(*key, "phrase", (F.col("matched") + 2 * F.col("matched") / n_c + F.col("matched") / F.greatest("n_q", F.lit(1))).alias("score"))
+    words = met.select(*key, "phrase", (F.col("matched") + 2 * F.col("matched") / n_c + F.col("matched") / F.greatest("n_q", F.lit(1))).alias("score"))
     # containment either way; equal texts are both
     holds = inside_hits(q, key, "q", p)
     texts = q.where("q <> ''").select(F.col("q").alias("phrase")).distinct()
     held = inside_hits(p.select(F.col("phrase").alias("p")), ["p"], "p", texts).select(F.col("p"), F.col("phrase").alias("q")).join(q, "q").select(*key, F.col("p").alias("phrase"))
     contained = holds.unionByName(held).distinct().join(q, key).select(*key, "phrase", F.when(F.col("q") == F.col("phrase"), 12.0).otherwise(F.least(F.lit(10), 4 + n_c).cast("double")).alias("score"))
-    return words.unionByName(contained).groupBy(*key, "phrase").agg(F.max("score").alias("score"))
+    return words.unionByName(contained)
+
+
+def match_scores(utterances: DataFrame, key: list[str], phrases: DataFrame) -> DataFrame:
+    """(key, phrase, score > 0): likeness of each text and each of ``phrases`` (phrase, normalised), as ``intent.match_score`` has it."""
+    return _scores(utterances, key, phrases).groupBy(*key, "phrase").agg(F.max("score").alias("score"))
 
 
 def best_topic(utterances: DataFrame, key: list[str], topics: DataFrame, least: float = 1.0, otherwise: str = "general") -> DataFrame:
     """key, topic, topic_score of every row: the best of ``topics`` (topic_ord, topic, phrase), the first of equals; ``otherwise`` below ``least``."""
     t = topics.select("topic_ord", "topic", normalize_intent(F.col("phrase")).alias("phrase")).distinct()
-    scored = match_scores(utterances, key, t).join(t, "phrase")
+    few = F.broadcast if t.count() <= BROADCAST else lambda df: df
+    scored = _scores(utterances, key, t).join(few(t), "phrase")
     best = scored.groupBy(*key).agg(F.max(F.struct("score", (-F.col("topic_ord")).alias("o"), "topic")).alias("b"))
     out = utterances.select(*key).join(best, key, "left")
     score = F.coalesce("b.score", F.lit(0.0))

@@ -44,3 +44,11 @@ def test_substrings_of_every_length(spark):
     texts = spark.createDataFrame([(1, "abcdefghijk"), (2, "xyz"), (3, "")], "id int, t string")
     p = spark.createDataFrame([(x,) for x in ("a", "ijk", "abcdef", "bcdefgh", "bcdefgx", "abcdefghijkl", "")], "phrase string")
     assert sorted(tuple(r) for r in phrases.inside_hits(texts, ["id"], "t", p).collect()) == [(1, "a"), (1, "abcdef"), (1, "bcdefgh"), (1, "ijk")]
+
+
+def test_pairs_of_texts_and_phrases_are_not_shuffled(spark, capsys):
+    texts, terms = frames(spark)
+    phrases.best_topic(texts, ["id"], terms.selectExpr("0 as topic_ord", "intent as topic", "term as phrase")).explain()
+    plan = capsys.readouterr().out.splitlines()
+    summed = [i for i, line in enumerate(plan) if "[sum(times" in line]
+    assert summed and all("partial_sum(times" in plan[i + 1] for i in summed)  # no exchange between the two halves of the sum
