@@ -35,9 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.batches import by_portions
 from quernstone.llm.common import discard, materialize
 
 
@@ -123,7 +125,7 @@ class Index:
     def search(self, owner: np.ndarray, term: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
         """(passage, item) of all items whose impacts add up to the threshold; ``owner``, ``term``: the passages' distinct terms."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        batch = max(1, 2_000_000 // max(1, self.blocks))  # bounds held at once
+        batch = max(1, 500_000 // max(1, self.blocks))  # bounds held at once
         for low in range(0, passages, batch):
             a, b = np.searchsorted(owner, [low, low + batch])
             out.append(self._batch(owner[a:b] - low, term[a:b], min(batch, passages - low)))
@@ -163,7 +165,7 @@ class Index:
         seen, low = self.seen, 0
         while low < len(texts):
             high, size, all_terms, starts, ends, owner, chunked = low, 0, [], [], [], [], {}
-            while high < len(texts) and size < 400_000:
+            while high < len(texts) and size < 100_000:
                 chunks = (texts[high] or "").lower().split()
                 seen.bound()
                 terms = np.fromiter(map(seen.__getitem__, chunks), np.int64, len(chunks))
@@ -211,7 +213,7 @@ class Terms(dict):
         return found
 
     def bound(self) -> None:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
 
     def __reduce__(self):
@@ -295,9 +297,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, params: L
 
 
 def _clean(loaded: Loaded):
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([not x for x in loaded.leaks(list(texts))], dtype=bool)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from by_portions(lambda texts: [not x for x in loaded.leaks(texts)], pa.bool_())(batches)
 
-    return clean
+    return F.arrow_udf(run, "boolean")

@@ -30,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.batches import portions
 from quernstone.llm.common import LOWER, UPPER, discard, join_hot, materialize
 from quernstone.llm.graph import components
 
@@ -94,9 +96,9 @@ def signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for low in range(0, len(ids), 256):
-                made = [shingles(t, params.words) for t in texts[low : low + 256]]
+            ids = b.column("doc_id").to_pylist()
+            for low, texts in zip(range(0, len(ids), 256), portions(b.column("text")), strict=True):
+                made = [shingles(t, params.words) for t in texts]
                 real = [i for i, (s, _) in enumerate(made) if len(s)]
                 sig: list[bytes | None] = [None] * len(made)
                 if real:
@@ -316,15 +318,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, params: NearDupParams) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # so that copies leave a task once
-        for b in batches:
+        for texts in chain.from_iterable(portions(b.column("text")) for b in batches):
             keys, sets = [], []
-            for t in b.column("text").to_pylist():
+            for t in texts:
                 s, k = shingles(t, params.words)
                 if k is not None and k not in seen:
                     seen.add(k)
                     keys.append(k)
                     sets.append(s.tobytes())
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 

@@ -28,9 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.batches import by_portions
+
 #: Output order of the kinds; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "name", "secret", "ssn", "address", "iban")
 LABELERS = ("shape", "checksum", "gazetteer", "context", "neighbours")
@@ -325,20 +328,18 @@ def redact(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets; n_chars follows the new text."""
     weights = fit(docs, params)
 
-    @F.pandas_udf("string")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                at, parts = 0, []
-                for k, s, e in sorted(decide(t, weights, params)[1], key=lambda x: (x[1], -x[2])):
-                    if s >= at:
-                        parts += [t[at:s], f"<{KINDS[k]}>"]
-                        at = e
-                    elif e > at:  # overlaps the span before: its rest goes too
-                        at = e
-                out.append(t if at == 0 else "".join(parts) + t[at:])
-            yield pd.Series(out, dtype=object)
-
-    out = docs.withColumn("text", mask("text"))
+    def masked(t: str | None) -> str | None:
+        at, parts = 0, []
+        for k, s, e in sorted(decide(t, weights, params)[1], key=lambda x: (x[1], -x[2])):
+            if s >= at:
+                parts += [t[at:s], f"<{KINDS[k]}>"]
+                at = e
+            elif e > at:  # overlaps the span before: its rest goes too
+                at = e
+        return t if at == 0 else "".join(parts) + t[at:]
+
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from by_portions(lambda texts: list(map(masked, texts)), pa.string())(batches)
+
+    out = docs.withColumn("text", F.arrow_udf(mask, "string")("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -36,6 +36,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.batches import by_portions, portions
 from quernstone.llm.common import discard, materialize, most_frequent
 
 
@@ -235,7 +236,7 @@ class Model:
     def score(self, text: str | None) -> float:
         found: set[str] = set()
         if text:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             seen = self.seen
             tokens = text.split()
@@ -274,7 +275,7 @@ class _Remembered(dict):
         self.make = make
 
     def __missing__(self, word: str):
-        if len(self) > 100_000:
+        if len(self) > 30_000:
             self.clear()
         self[word] = made = self.make(word)
         return made
@@ -300,14 +301,14 @@ def count_words(rows: DataFrame) -> DataFrame:
             n.clear(), t.clear(), said.clear()
 
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            for text, toxic in zip(chain.from_iterable(portions(b.column("text"))), b.column("toxic").to_pylist(), strict=True):
                 words = plain_words(text)
                 names = set(chain.from_iterable(map(names_of.__getitem__, words)))
                 n.update(names)
                 if toxic:
                     t.update(names)
                 said.update(w for w in words if w.isalpha())
-                if len(n) > 500_000:
+                if len(n) > 200_000:
                     yield from out()
         yield from out()
 
@@ -367,13 +368,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 def score_column(spark: SparkSession, text: Column, model: Model) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            yield pd.Series([m.score(t) for t in texts], dtype=float)
+        yield from by_portions(lambda texts: list(map(m.score, texts)), pa.float64())(batches)
 
-    return score(text)
+    return F.arrow_udf(run, "double")(text)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
