@@ -200,8 +200,7 @@ def source_dedup(spark, sf_dir):
 
 @query
 def pii_guard(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", *[t.rlike(p).alias(k) for k, p in answer.SENSITIVE_PATTERNS.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", *[answer.sensitive(F.col("text"), k).alias(k) for k in answer.SENSITIVE_PATTERNS])
 
 
 @query
