@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import ChunkParams, UrlRules
+from quernstone.functions.batches import by_portions
 from quernstone.functions.text import clean_text
 from quernstone.functions.urls import is_relevant, normalize_url
 
@@ -160,12 +162,13 @@ def read_page(html: str | None) -> tuple[str, str, str]:
 def extract_pages(pages: DataFrame, params: ChunkParams = ChunkParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     """url, title, description, text, chunks of ``pages`` (url, html); pages without a title or of short text are dropped."""
 
-    @F.pandas_udf("title string, description string, text string")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for htmls in batches:
-            yield pd.DataFrame([read_page(h) for h in htmls], columns=["title", "description", "text"])
+    names = ("title", "description", "text")
+    kind = pa.struct([(c, pa.string()) for c in names])
 
-    p = pages.select(*keep, "url", read("html").alias("r"))
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from by_portions(lambda htmls: [dict(zip(names, read_page(h), strict=True)) for h in htmls], kind)(batches)
+
+    p = pages.select(*keep, "url", F.arrow_udf(read, "title string, description string, text string")("html").alias("r"))
     p = p.select(*keep, "url", *[clean_text(F.col(f"r.{c}")).alias(c) for c in ("title", "description", "text")])
     return p.where((F.col("title") != "") & (F.length("text") >= params.min_text)).withColumn("chunks", pack_paragraphs(F.col("text"), params))
 
