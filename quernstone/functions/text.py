@@ -1,6 +1,6 @@
 """Normalisation, tokens and stems.
 
-Spark has no Unicode normalisation: texts with other than ASCII letters take that one step in an Arrow-batched pandas UDF, to which
+Spark has no Unicode normalisation: texts with other than ASCII letters take that one step in an Arrow UDF, to which
 the rest goes as null. Folding, cleaning, splitting and stemming are built-in expressions. Null texts count as empty.
 """
 
@@ -10,23 +10,22 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.config import LONG_SUFFIXES, SHORT_SUFFIXES, STOP_WORDS
+from quernstone.functions.batches import by_portions
 
 
 @cache
 def _decomposed(form: str):
     """One function object a form, so that equal plans are equal and exchanges can be reused."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from by_portions(lambda texts: [None if t is None else unicodedata.normalize(form, t) for t in texts], pa.string())(batches)
 
-    return run
+    return F.arrow_udf(run, "string")
 
 
 def _folded(text: Column, form: str, marks: str) -> Column:
