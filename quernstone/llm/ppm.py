@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.batches import portions
 from quernstone.llm.common import join_hot, materialize, most_frequent
 
 ORDER = 5  # context bytes; an n-gram is these and the byte after them, in one number
+ROWS = 256  # texts that scoring takes from a batch at once
 PAD = b"\n" * ORDER  # a text begins as if after empty lines; 0xFF, which is in no UTF-8 text, ends it
 
 
@@ -90,8 +93,8 @@ def count_training(docs: DataFrame, flush: int) -> DataFrame:
             n = pa.array(np.concatenate([np.fromiter(w.values(), np.int64, len(w)), s]), pa.int64())
             return pa.RecordBatch.from_arrays([word, gram, n], ["word", "gram", "n"])
 
-        for b in batches:
-            texts = [folded(t) for t in b.column("text").to_pylist()]
+        for some in chain.from_iterable(portions(b.column("text")) for b in batches):
+            texts = [folded(t) for t in some]
             for t in texts:
                 words.update(t.split())
                 if len(words) > flush:
@@ -110,7 +113,7 @@ def count_training(docs: DataFrame, flush: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def _blocks(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
+def _blocks(texts: list[bytes], size: int = 1_000_000) -> Iterator[list[bytes]]:
     """Runs of texts of about so many bytes; one longer text is a run of its own."""
     part, have = [], 0
     for t in texts:
@@ -220,8 +223,8 @@ def settle(spark: SparkSession, grams: DataFrame, wanted: DataFrame) -> DataFram
 # --- scoring ----------------------------------------------------------------------------------------------------
 
 
-def score_head(texts: list[bytes], head: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-    """What the given n-grams add to each text's score, and each text's other n-grams with their numbers."""
+def score_head(texts: list[bytes], head: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the given n-grams add to each text's score; how many other n-grams each text has, and these with their numbers, text after text."""
     key, sizes = gram_keys(texts)
     kinds, back = np.unique(key, return_inverse=True)
     at, hit = place(head, kinds)
@@ -230,10 +233,7 @@ def score_head(texts: list[bytes], head: np.ndarray, logp: np.ndarray) -> tuple[
     scores = np.bincount(text, value[back], len(texts))
     left = np.flatnonzero(~hit[back])
     pair, times = np.unique(text[left] * len(kinds) + back[left], return_counts=True)
-    owner, gram = pair // len(kinds), kinds[pair % len(kinds)]
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    grams, numbers = gram.tolist(), times.tolist()
-    return scores, [[{"gram": g, "times": n} for g, n in zip(grams[a:b], numbers[a:b], strict=True)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return scores, np.bincount(pair // len(kinds), minlength=len(texts)), kinds[pair % len(kinds)], times
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmParams()) -> DataFrame:
@@ -262,7 +262,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmPar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, logp, known = shared.value
         logs = {w: float(np.log10((n + 0.1) / scale)) for w, n in known.items()}
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [folded(t) for t in b.column("text").to_pylist()]
             n_tokens, n_known, base, tails = [], [], [], []
             for t in texts:
@@ -272,16 +272,12 @@ def score_texts(spark: SparkSession, docs: DataFrame, params: PpmParams = PpmPar
                 n_known.append(len(found) + (ends > 0))
                 base.append(sum(found) + end_score)
                 tails.append(list(Counter(w for w in tokens if w not in logs).items()) if len(found) < len(tokens) else [])
-            scores, open_grams = [np.zeros(0)], []
-            for part in _blocks(texts):
-                x, y = score_head(part, gram, logp)
-                scores.append(x)
-                open_grams += y
-            gram_type = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))
+            scores, sizes, grams, times = (np.concatenate(x) for x in zip(*(score_head(part, gram, logp) for part in _blocks(texts)), strict=True))
+            open_grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays([pa.array(grams), pa.array(times, pa.int64())], ["gram", "times"]))
             tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             tail = pa.array([[{"word": w, "n": n} for w, n in x] for x in tails], tail_type)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), tail, pa.array(open_grams, gram_type)],
+                [b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), tail, open_grams],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "grams"],
             )
 

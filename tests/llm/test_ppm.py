@@ -92,3 +92,22 @@ def test_other_scripts_are_learnt_beside_a_hot_one(spark):
     rows = [*((i, hot * 20) for i in range(20)), *((100 + i, "снег и слово мир ") for i in range(20)), (207, "слово и снег"), (213, "оволс и генс")]  # the last two are held out
     got = {r.doc_id: r.score for r in score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[207] > got[213] + 5
+
+
+def test_open_ngrams_of_a_block_are_arrays():
+    import random
+    import tracemalloc
+
+    from quernstone.llm.ppm import score_head
+
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60_000, 0, 40_000)]
+    key, sizes = gram_keys(texts)
+    tracemalloc.start()
+    scores, many, grams, times = score_head(texts, np.zeros(0, np.int64), np.zeros(0))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40 * len(key) and not scores.any() and many.sum() == len(grams) == len(times)
+    at = np.cumsum([0, *sizes])
+    for i, (a, b) in enumerate(zip(np.cumsum([0, *many[:-1]]), np.cumsum(many))):
+        assert dict(zip(grams[a:b].tolist(), times[a:b].tolist())) == Counter(key[at[i] : at[i + 1]].tolist())
