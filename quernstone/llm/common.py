@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,19 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside: 10 000 texts or shingle sets are tens of megabytes, in the JVM and again in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lowest_hashes(rows: DataFrame, key: Column, n: int, *kept: Column) -> DataFrame:
     """``kept`` of the ``n`` distinct keys with the lowest hashes, one row a key (the smallest).
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.batches import portions
-from quernstone.llm.common import LOWER, UPPER, discard, join_hot, materialize
+from quernstone.llm.common import LOWER, UPPER, batch_rows, discard, join_hot, materialize
 from quernstone.llm.graph import components
 
 
@@ -52,6 +52,7 @@ class NearDupParams:
     least: int = 3  # minima that a region's members share
     deeper: int = 2  # minima more that those of a crowded region share
     region: int = 128  # classes that a region may hold before it goes deeper, and a cell
+    batch: int = 1024  # texts or shingle sets of an Arrow batch
     broadcast_mb: int = 64  # ids above this estimate are joined by a shuffle
 
     @property
@@ -423,11 +424,12 @@ def region_links(spark: SparkSession, forest: DataFrame, looks: DataFrame, sets:
 
 def grouped(spark: SparkSession, docs: DataFrame, params: NearDupParams) -> DataFrame:
     """doc_id, n_shingles, key, component_id, lead of every row; lead: the key of the first text of the component."""
-    rows = materialize(spark, signed(docs, params), "signed")
-    known = rows.where("key is not null and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
-    classes = materialize(spark, classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the ids stay
-    roots = class_components(spark, docs, classes, params)
+    with batch_rows(spark, params.batch):
+        rows = materialize(spark, signed(docs, params), "signed")
+        known = rows.where("key is not null and doc_id is not null")
+        classes = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+        classes = materialize(spark, classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the ids stay
+        roots = class_components(spark, docs, classes, params)
     own = classes.select("id", "key", "doc_id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     own = materialize(spark, own, "roots")
     discard(spark, roots)

@@ -101,3 +101,16 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(2, 41)} | {200 + i: 100 for i in range(30)}
+
+
+def test_texts_and_sets_come_in_small_batches(spark, monkeypatch):
+    from quernstone.llm import near_dup
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda s, df, tag: (seen.append((tag, int(s.conf.get(name)))), write(s, df, tag))[1])
+    rows = [(i, f"one two three four five six seven eight {i // 2}") for i in range(12)]
+    got = near_dup.duplicate_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0, 2, 4, 6, 8, 10} and spark.conf.get(name) == before
+    assert {"signed", "sets", "confirmed"} <= {tag for tag, n in seen if n <= 1024}
+    assert all(n <= 1024 for tag, n in seen if tag in ("signed", "info", "sets", "open", "confirmed"))
