@@ -59,8 +59,11 @@ class ToxicityParams:
 #: What a written character may stand for: fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’…–—¿¡"
+SOFT = "".join(c for c in EDGE if c not in LEET)  # stands for no letter
 #: Letters written apart: single characters with separators between.
 APART = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]{1,2}|[@$!|][ .*_-]{1,2}){2,}(?:[^\W_]|[@$!|])(?!\S)")
+#: What each of them begins with: a single character, separators, a single character, a separator.
+APART_START = re.compile(r"[ .*_-](?<=(?<!\S)[\w@$!|].)[ .*_-]?[\w@$!|][ .*_-]")
 DOUBLE, TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 #: Between words that punctuation glues together: what stands for no letter.
 GLUE = re.compile("(?:_|[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "])+")
@@ -74,11 +77,20 @@ def collapsed(word: str) -> str:
 
 def feature_names(word: str) -> list[str]:
     """A word is a feature, so are its first four and five letters, and its stems: four to seven letters before an ending of at most five."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n), *(f"{word[:n]}+*" for n in (4, 5, 6, 7) if n < len(word) <= n + 5)]
+    size = len(word)
+    if size < 5:
+        return [word]
+    out = [word, word[:4] + "*"]
+    if size > 5:
+        out.append(word[:5] + "*")
+    for n in (4, 5, 6, 7):
+        if n < size <= n + 5:
+            out.append(word[:n] + "+*")
+    return out
 
 
 def plain_words(text: str) -> set[str]:
-    return {w for t in text.lower().split() if (w := t.strip(EDGE))}
+    return {w for t in set(text.lower().split()) if (w := t.strip(EDGE))}
 
 
 @dataclass
@@ -189,14 +201,24 @@ class Model:
         self.long = {w: w for w in self.weights if not w.endswith("*") and len(w) >= self.params.apart_letters}
         self.spelt = self.squeezed | {w: w for w in self.squeezed.values()}
         self.long_starts, self.starts = ({w[:n] for w in x for n in range(len(w) + 1)} for x in (self.long, self.spelt))
-        self.heads = {f[:4] for f in self.weights}  # all features of a word begin as it does
-        self.seen: dict[str, tuple[str, ...]] = {}
+        heads: dict[str, set[str]] = {}  # what all features of a word are or begin with, by its first letters
+        for f in self.weights:
+            heads.setdefault(f[:4], set()).add(f.removesuffix("*").removesuffix("+") if f.endswith("*") else f)
+        self.heads = {head: tuple(sorted(starts)) for head, starts in heads.items()}
+        self.seen: dict[str, tuple[str, ...]] = {}  # features of tokens
+        self.plain: set[str] = set()  # words that have none, whatever punctuation is around them
 
     def known(self, word: str) -> tuple[str, ...]:
-        if word[:4] not in self.heads:
+        if not word.startswith(self.heads.get(word[:4], ())):
             return ()
         return tuple(f for f in feature_names(word) if f in self.weights)
 
+    def featureless(self, word: str) -> bool:
+        """Whether letters have no feature, in whatever punctuation of ``SOFT``: nothing is to be restored or cut there."""
+        if word.startswith(self.heads.get(word[:4], ())):
+            return False
+        return not DOUBLE.search(word) or (not TRIPLE.search(word) and collapsed(word) not in self.squeezed)
+
     def of_token(self, token: str) -> tuple[str, ...]:
         """Features of a written token, restored where it may be a disguise."""
         token = token.lower()
@@ -236,17 +258,24 @@ class Model:
     def score(self, text: str | None) -> float:
         found: set[str] = set()
         if text:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            seen = self.seen
-            tokens = text.split()
-            for t in tokens:
+            plain, seen = self.plain, self.seen
+            if len(plain) > 70_000:
+                plain.clear()
+            if len(seen) > 30_000:
+                seen.clear()
+            for t in set(text.lower().split()):
+                if (word := t.strip(SOFT)) in plain:
+                    continue
                 f = seen.get(t)
                 if f is None:
+                    if word.isalpha() and self.featureless(word):
+                        plain.add(word)
+                        continue
                     f = seen[t] = self.of_token(t)
                 if f:
                     found.update(f)
-            found.update(self.of_apart(text))
+            if APART_START.search(text):
+                found.update(self.of_apart(text))
         z = self.bias + sum(self.weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))))
 
@@ -269,15 +298,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, params: ToxicityParams) ->
 
 
 class _Remembered(dict):
-    """What ``make`` makes of a word, for a bounded number of words."""
+    """What ``make`` makes of a word, for a bounded number of words; those met again meanwhile stay."""
 
     def __init__(self, make) -> None:
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, word: str):
-        if len(self) > 30_000:
+        if len(self) > 15_000:
+            self.before = dict(self)
             self.clear()
-        self[word] = made = self.make(word)
+        made = self.before.get(word)
+        self[word] = made = self.make(word) if made is None else made
         return made
 
 

@@ -82,3 +82,12 @@ def test_all_labelled_training_rows_are_learnt_from(spark, params):
     assert n["words"] == (len(every), sum(i % 11 == 0 for i in every))
     grams = {r.key: r.n for r in count_words(rows).where("is_gram").collect()}
     assert grams["^^w"] == grams["ds$"] == len(every)
+
+
+def test_plain_words_are_not_read(model, monkeypatch):
+    """Words that no feature begins with need no reading, however many there are; what they score doesn't change."""
+    empty = model.score("")
+    monkeypatch.setattr(model, "of_token", lambda token: pytest.fail(f"{token} was read"))
+    monkeypatch.setattr(model, "heads", {})
+    words = [f"{a}{b}{c}{d}" for a in "bd" for b in "xz" for c in "qk" for d in "vw"]
+    assert model.score(" ".join(f"\"{w}," for w in words)) == empty
