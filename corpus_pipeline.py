@@ -24,27 +24,42 @@ from quernstone.llm.common import discard, materialize, table
 ORACLE_SQL = None
 
 
+#: Texts of an Arrow batch. A worker holds its batch, and its JVM the buffers of it: 10 000 texts are 33 MB in each of them, and again in what is returned.
+BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` rows, for the rest of the session: what a stage returns is computed after its call."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quernstone.llm.toxicity import keep_clean
 
+    small_batches(spark)
     return keep_clean(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quernstone.llm.near_dup import keep_first
 
+    small_batches(spark)
     return keep_first(spark, docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quernstone.llm.decontamination import drop_leaks
 
+    small_batches(spark)
     return drop_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quernstone.llm.pii import redact
 
+    small_batches(spark)
     return redact(docs)
 
 

@@ -22,11 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialize
+from quernstone.functions.batches import portions
+from quernstone.llm.common import batch_rows, materialize
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class PackParams:
     end_id: int = 2
     small: int = 420  # shorter pieces go best-fit only
     groups: int = 72  # rounded sizes
+    batch: int = 1024  # texts of an Arrow batch
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------
@@ -126,19 +129,20 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
     """Every piece with the number of its task and its place among the task's pieces of that length."""
     end = np.array([params.end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = coder(params.tokenizer), TaskContext.get().partitionId()
         seen = [0] * (params.capacity + 1)
+        made = pa.schema([(c, pa.int32() if c in ("piece", "part") else pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")])
         for b in batches:
-            rows = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                i = None if pd.isna(i) else int(i)
-                for p in cut((code.encode(t) if t else b"") + end, params.capacity):
-                    rows.append((i, *p, part, seen[p[2]]))
-                    seen[p[2]] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]).astype({"doc_id": "Int64"})
+            for ids, texts in zip(portions(b.column("doc_id")), portions(b.column("text")), strict=True):
+                rows = []
+                for i, t in zip(ids, texts, strict=True):
+                    for p in cut((code.encode(t) if t else b"") + end, params.capacity):
+                        rows.append((i, *p, part, seen[p[2]]))
+                        seen[p[2]] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES + ", part int, nth long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", part int, nth long")
 
 
 # --- the plan ---------------------------------------------------------------------------------------------------
@@ -274,7 +278,8 @@ def plan_runs(bins: Bins) -> dict[int, np.ndarray]:
 def pack(spark: SparkSession, docs: DataFrame, params: PackParams) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text)."""
     # written once: a piece's place among its task's pieces must not change when a task runs again
-    cutted = materialize(spark, pieces(docs, params), "pieces")
+    with batch_rows(spark, params.batch):
+        cutted = materialize(spark, pieces(docs, params), "pieces")
     parts = cutted.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs = plan_runs(plan_bins(counts, params))

@@ -56,3 +56,16 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
             kept = spark.read.parquet(f"{d}/{k}")
             assert k == 4 or kept.columns == [c.split()[0] for c in docs.split(", ")]
         assert sorted(str(r.doc_id) for r in kept.collect()) == (["1", "3", "5", "None"] if some else [])
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_take_small_batches(spark, folder, name, stage):
+    """What a stage returns is computed later, so its batches have to be small then."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10_000)
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert int(spark.conf.get(key)) <= corpus_pipeline.BATCH
+    finally:
+        spark.conf.set(key, before)
